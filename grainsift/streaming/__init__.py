@@ -1,0 +1 @@
+"""The engine has no stream operators: every report is defined on a whole table."""
