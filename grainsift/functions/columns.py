@@ -33,33 +33,59 @@ def columns_except(df: DataFrame, excluded: Iterable[Optional[str]]) -> list[str
     return [c for c in df.columns if c not in excluded]
 
 
-def as_number(df: DataFrame, name: str) -> Column:
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    """A string as SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def double_literal(value: Optional[float]) -> str:
+    """A number as SQL literal of type double."""
+    return "CAST(NULL AS DOUBLE)" if value is None else f"double('{value!r}')"
+
+
+def number_sql(df: DataFrame, name: str) -> str:
     """The column as double, with NaN turned into NULL."""
-    dtype = df.schema[name].dataType
-    column = F.col(f"`{name}`").cast("double")
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), column)
-    return column
+    number = f"CAST({quoted(name)} AS DOUBLE)"
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return f"nullif({number}, double('NaN'))"
+    return number
 
 
-def present(df: DataFrame, name: str) -> Column:
+def present_sql(df: DataFrame, name: str) -> str:
     """The column with NaN turned into NULL."""
-    column = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), column)
-    return column
+        return f"CASE WHEN NOT isnan({quoted(name)}) THEN {quoted(name)} END"
+    return quoted(name)
 
 
-def cell_text(df: DataFrame, name: str) -> Column:
+def cell_sql(df: DataFrame, name: str) -> str:
     """One text per distinct value of the column; NULL stays NULL."""
     dtype = df.schema[name].dataType
+    if isinstance(dtype, T.StringType):
+        return quoted(name)
     if isinstance(dtype, _NESTED):
-        return F.to_json(F.struct(F.col(f"`{name}`").alias("v")))
+        return f"to_json(named_struct('v', {quoted(name)}))"
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(F.col(f"`{name}`")).cast("string")
+        return f"CAST(unix_micros({quoted(name)}) AS STRING)"
     if isinstance(dtype, T.BinaryType):
-        return F.hex(F.col(f"`{name}`"))
-    return present(df, name).cast("string")
+        return f"hex({quoted(name)})"
+    return f"CAST({present_sql(df, name)} AS STRING)"
+
+
+def as_number(df: DataFrame, name: str) -> Column:
+    return F.expr(number_sql(df, name))
+
+
+def present(df: DataFrame, name: str) -> Column:
+    return F.expr(present_sql(df, name))
+
+
+def cell_text(df: DataFrame, name: str) -> Column:
+    return F.expr(cell_sql(df, name))
 
 
 def sort_key(df: DataFrame, name: str) -> Column:

@@ -6,10 +6,11 @@ import re
 from functools import reduce
 from typing import Optional, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainsift.functions import fixed_values as fixed
-from grainsift.functions.columns import as_number, cell_text, is_categorical, numeric_columns
+from grainsift.functions.columns import (
+    cell_sql, cell_text, is_categorical, number_sql, numeric_columns, quoted, text_literal)
 from grainsift.operators.aggkit import tidy_aggregate, tidy_schema_rows, value_counts
 from grainsift.operators.materialize import materialize
 from grainsift.operators.ordering import with_position
@@ -39,36 +40,45 @@ def positive_label(df: DataFrame, target: str) -> DataFrame:
     return dominant_values(df, [target]).select(F.col("dominant_value").alias("positive_label"))
 
 
-def privileged_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+def privileged_values(df: DataFrame, columns: Sequence[str],
+                      dominant: Optional[dict[str, str]] = None) -> dict[str, list[str]]:
     """Known privileged groups by column name, else the dominant value."""
     unknown = [c for c in columns if c.lower() not in fixed.PRIVILEGED_GROUPS]
-    dominant = {r["column_name"]: r["dominant_value"]
-                for r in dominant_values(df, unknown).collect()} if unknown else {}
+    if dominant is None:
+        dominant = {r["column_name"]: r["dominant_value"]
+                    for r in dominant_values(df, unknown).collect()} if unknown else {}
     return {c: fixed.PRIVILEGED_GROUPS.get(c.lower(), [dominant[c]] if dominant.get(c) else [])
             for c in columns}
 
 
+def _member_sql(df: DataFrame, column: str, values: Sequence[str]) -> str:
+    if not values:
+        return "false"
+    return f"coalesce({cell_sql(df, column)} IN ({', '.join(text_literal(v) for v in values)}), false)"
+
+
 def is_member(df: DataFrame, column: str, values: Sequence[str]) -> Column:
     """Membership in a group of values; a missing value is no member."""
-    if not values:
-        return F.lit(False)
-    return F.coalesce(cell_text(df, column).isin(list(values)), F.lit(False))
+    return F.expr(_member_sql(df, column, values))
 
 
 def fairness_rates(df: DataFrame, columns: Sequence[str], target: str,
-                   privileged: Optional[dict[str, list[str]]] = None) -> DataFrame:
+                   privileged: Optional[dict[str, list[str]]] = None,
+                   label: Optional[str] = None) -> DataFrame:
     """Positive rates of both groups, their ratio and difference, for all columns in one scan."""
-    label = positive_label(df, target).first()
-    positive = F.coalesce(cell_text(df, target) == F.lit(label[0] if label else None), F.lit(False)).cast("double")
+    if label is None:
+        found = positive_label(df, target).first()
+        label = found[0] if found else None
+    positive = f"CASE WHEN {cell_sql(df, target)} = {text_literal(label or '')} THEN 1.0D ELSE 0.0D END"
     groups = privileged if privileged is not None else privileged_values(df, columns)
     rates = tidy_aggregate(df, [
-        {"column_name": F.lit(c),
-         "p_privileged": F.avg(F.when(is_member(df, c, groups[c]), positive)),
-         "p_other": F.avg(F.when(~is_member(df, c, groups[c]), positive))} for c in columns])
-    return rates.select(
-        "column_name", F.round("p_privileged", 6).alias("p_privileged"), F.round("p_other", 6).alias("p_other"),
-        F.round(F.col("p_other") / F.nullif(F.col("p_privileged"), F.lit(0.0)), 4).alias("disparate_impact"),
-        F.round(F.col("p_other") - F.col("p_privileged"), 4).alias("parity_difference"))
+        {"column_name": text_literal(c),
+         "p_privileged": f"avg(CASE WHEN {_member_sql(df, c, groups[c])} THEN {positive} END)",
+         "p_other": f"avg(CASE WHEN NOT {_member_sql(df, c, groups[c])} THEN {positive} END)"} for c in columns])
+    return rates.selectExpr(
+        "column_name", "round(p_privileged, 6) AS p_privileged", "round(p_other, 6) AS p_other",
+        "round(p_other / nullif(p_privileged, 0.0D), 4) AS disparate_impact",
+        "round(p_other - p_privileged, 4) AS parity_difference")
 
 
 def bias_score(fraction: Column, threshold: float) -> Column:
@@ -87,58 +97,82 @@ def bias_scores(df: DataFrame, columns: Sequence[str], threshold: float) -> Data
 
 # --- proxies --------------------------------------------------------------------------
 
-def numeric_proxies(df: DataFrame, sensitive: str, numbers: Sequence[str]) -> DataFrame:
-    """|Pearson| of each number column with the rank of the sensitive value.
+def numeric_proxies(df: DataFrame, sensitive: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """|Pearson| of each number column with the rank of the value of each sensitive column.
 
-    Rows are folded per sensitive value first (count, mean and squared deviations), so ranks and
-    correlations work on one row per value; a missing sensitive value has rank -1.
+    Rows are folded per sensitive value first (count, mean and squared deviations), for all
+    sensitive columns in one scan, so ranks and correlations work on one row per value. A missing
+    sensitive value has rank -1.
     """
-    folded = df.groupBy(F.col(sensitive).alias("_key")).agg(*[
-        e for i, c in enumerate(numbers) for x in [as_number(df, c)]
-        for e in (F.count(x).cast("double").alias(f"n{i}"), F.coalesce(F.avg(x), F.lit(0.0)).alias(f"m{i}"),
-                  (F.coalesce(F.var_pop(x), F.lit(0.0)) * F.count(x)).alias(f"d{i}"))])
+    keys = ", ".join(
+        f"named_struct('sensitive', {text_literal(s)}, 'as_number', {_order_number(df, s)}, 'as_text', {cell_sql(df, s)})"
+        for s in sensitive)
+    values = [f"{number_sql(df, c)} AS x{i}" for i, c in enumerate(numbers)]
+    long = df.selectExpr(f"inline(array({keys}))", *values)
+    folded = long.groupBy("sensitive", "as_number", "as_text").agg(*[e for i in range(len(numbers)) for e in (
+        F.expr(f"CAST(count(x{i}) AS DOUBLE) AS n{i}"), F.expr(f"coalesce(avg(x{i}), 0.0D) AS m{i}"),
+        F.expr(f"coalesce(var_pop(x{i}), 0.0D) * count(x{i}) AS d{i}"))])
     folded = materialize(folded)
-    ranked = with_position(folded.filter("_key IS NOT NULL"), ["_key"], "code")
-    missing = folded.filter("_key IS NULL").withColumn("code", F.lit(-1).cast("long"))
-    coded = materialize(ranked.unionByName(missing))
-    code = F.col("code").cast("double")
-    means = coded.agg(*[e for i in range(len(numbers)) for e in (
-        F.sum(f"n{i}").alias(f"n{i}"),
-        (F.sum(F.col(f"n{i}") * code) / F.nullif(F.sum(f"n{i}"), F.lit(0.0))).alias(f"c{i}"),
-        (F.sum(F.col(f"n{i}") * F.col(f"m{i}")) / F.nullif(F.sum(f"n{i}"), F.lit(0.0))).alias(f"m{i}"))]).first()
-    rows = []
-    for i, c in enumerate(numbers):
-        n, mean = F.col(f"n{i}"), F.col(f"m{i}")
-        dc, dx = code - F.lit(means[f"c{i}"]), mean - F.lit(means[f"m{i}"])
-        product = F.sqrt(F.sum(n * dc * dc) * F.sum(F.col(f"d{i}") + n * dx * dx))
-        r = F.abs(F.sum(n * dc * dx)) / F.nullif(product, F.lit(0.0))
-        rows.append({"sensitive": F.lit(sensitive), "column_name": F.lit(c),
-                     "correlation": F.lit(0.0) if (means[f"n{i}"] or 0) < 2 else r})
-    return tidy_aggregate(coded, rows)
-
-
-def categorical_proxies(df: DataFrame, sensitive: str, others: Sequence[str]) -> DataFrame:
-    """Cramer's V of each text column with the sensitive column; a missing value is its own group.
-
-    Only the pairs of values that occur are counted. The statistic needs the sensitive totals
-    (one small join) and the totals of the other value, which come from the same grouping.
+    placed = with_position(folded, ["sensitive", "as_number", "as_text"])
+    # missing values sort first; the first present value of a column has rank 0
+    present = F.col("as_text").isNotNull()
+    starts = placed.groupBy("sensitive").agg(F.min(F.when(present, F.col("position"))).alias("start"))
+    coded = placed.join(F.broadcast(starts), "sensitive").withColumn(
+        "code", F.when(present, F.col("position") - F.col("start")).otherwise(F.lit(-1)).cast("double"))
+    # shifting by the middle rank and by the mean keeps the sums small before they are subtracted
+    middle = coded.groupBy("sensitive").agg(*[e for i in range(len(numbers)) for e in (
+        F.expr(f"sum(n{i}) AS t{i}"), F.expr(f"sum(n{i} * code) / nullif(sum(n{i}), 0.0D) AS c{i}"),
+        F.expr(f"sum(n{i} * m{i}) / nullif(sum(n{i}), 0.0D) AS a{i}"))])
+    centred = coded.join(F.broadcast(middle), "sensitive")
+    rows = ", ".join(
+        f"named_struct('column_name', {text_literal(c)}, 'correlation', CASE WHEN max(t{i}) < 2 THEN 0.0D ELSE "
+        f"abs(sum(n{i} * (code - c{i}) * (m{i} - a{i}))) / nullif(sqrt(sum(n{i} * (code - c{i}) * (code - c{i})) * "
+        f"sum(d{i} + n{i} * (m{i} - a{i}) * (m{i} - a{i}))), 0.0D) END)" for i, c in enumerate(numbers))
+    return (centred.groupBy("sensitive").agg(F.expr(f"array({rows})").alias("rows"))
+            .select("sensitive", F.inline("rows")).filter("sensitive <> column_name")
+            .withColumn("correlation", F.coalesce("correlation", F.lit(0.0))))
+
+
+def _order_number(df: DataFrame, name: str) -> str:
+    """What number, date and time columns sort by; text columns sort by their text."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return number_sql(df, name)
+    if isinstance(dtype, T.TimestampType):
+        return f"CAST(unix_micros({quoted(name)}) AS DOUBLE)"
+    if isinstance(dtype, T.DateType):
+        return f"CAST(unix_date({quoted(name)}) AS DOUBLE)"
+    return "CAST(NULL AS DOUBLE)"
+
+
+def categorical_proxies(df: DataFrame, sensitive: Sequence[str], others: Sequence[str]) -> DataFrame:
+    """Cramer's V of each text column with each sensitive column; a missing value is its own group.
+
+    Only the pairs of values that occur are counted. The statistic needs the totals of the
+    sensitive value (a join Spark broadcasts when it is small and splits when it is skewed) and
+    the totals of the other value, which come from the same grouping.
     """
-    def filled(c: str) -> Column:
-        return F.coalesce(cell_text(df, c), F.lit(_NULL_TEXT))
-
-    wide = df.select(filled(sensitive).alias("_key"), *[filled(c).alias(c) for c in others])
-    pairs = (wide.unpivot(["_key"], list(others), "column_name", "value")
-             .groupBy("_key", "column_name", "value").agg(F.count("*").alias("o")))
-    totals = wide.groupBy("_key").agg(F.count("*").alias("r"))
-    size = totals.agg(F.sum("r"), F.count("*")).first()
-    n, n_keys = float(size[0] or 0), size[1]
-    per_value = (pairs.join(totals, "_key").groupBy("column_name", "value")
-                 .agg((F.sum(F.col("o") * F.col("o") / F.col("r")) / F.sum("o")).alias("share")))
-    smaller = F.least(F.count("*"), F.lit(n_keys)) - 1
-    v = F.sqrt(F.greatest(F.lit(0.0), F.sum("share") - 1.0) / F.nullif(smaller, F.lit(0)))
-    return (per_value.groupBy("column_name").agg(F.coalesce(v, F.lit(0.0)).alias("correlation"))
-            .select(F.lit(sensitive).alias("sensitive"), "column_name",
-                    (F.col("correlation") if n else F.lit(0.0)).alias("correlation")))
+    def filled(c: str) -> str:
+        return f"coalesce({cell_sql(df, c)}, '{_NULL_TEXT}')"
+
+    wide = df.selectExpr(*[f"{filled(s)} AS s{i}" for i, s in enumerate(sensitive)],
+                         *[f"{filled(c)} AS o{i}" for i, c in enumerate(others)])
+    keys = "inline(array(" + ", ".join(
+        f"named_struct('sensitive', {text_literal(s)}, 'key', s{i})" for i, s in enumerate(sensitive)) + "))"
+    cells = "inline(array(" + ", ".join(
+        f"named_struct('column_name', {text_literal(c)}, 'value', o{i})" for i, c in enumerate(others)) + "))"
+    pairs = (wide.selectExpr(keys, *[f"o{i}" for i in range(len(others))]).selectExpr("sensitive", "key", cells)
+             .filter("sensitive <> column_name")
+             .groupBy("sensitive", "key", "column_name", "value").agg(F.count("*").alias("o")))
+    totals = wide.selectExpr(keys).groupBy("sensitive", "key").agg(F.count("*").alias("r"))
+    n_keys = totals.groupBy("sensitive").agg(F.count("*").alias("n_keys"))
+    per_value = (pairs.join(totals, ["sensitive", "key"]).groupBy("sensitive", "column_name", "value")
+                 .agg(F.expr("sum(o * CAST(o AS DOUBLE) / r) / sum(o) AS share")))
+    sums = per_value.groupBy("sensitive", "column_name").agg(
+        F.expr("greatest(0.0D, sum(share) - 1.0D) AS phi"), F.count("*").alias("n_values"))
+    return sums.join(F.broadcast(n_keys), "sensitive").selectExpr(
+        "sensitive", "column_name",
+        "coalesce(sqrt(phi / nullif(least(n_values, n_keys) - 1, 0)), 0.0D) AS correlation")
 
 
 def _text_or_category(df: DataFrame) -> list[str]:
@@ -147,14 +181,12 @@ def _text_or_category(df: DataFrame) -> list[str]:
 
 def proxy_matrix(df: DataFrame, sensitive: Sequence[str]) -> DataFrame:
     """Correlation of every sensitive column with every other number or text column."""
+    numbers, texts = numeric_columns(df), _text_or_category(df)
     frames = []
-    for s in sensitive:
-        numbers = [c for c in numeric_columns(df) if c != s]
-        texts = [c for c in _text_or_category(df) if c != s]
-        if numbers:
-            frames.append(numeric_proxies(df, s, numbers))
-        if texts:
-            frames.append(categorical_proxies(df, s, texts))
+    if sensitive and numbers:
+        frames.append(numeric_proxies(df, sensitive, numbers))
+    if sensitive and texts:
+        frames.append(categorical_proxies(df, sensitive, texts))
     if not frames:
         return tidy_schema_rows(df, [], "sensitive string, column_name string, correlation double")
     return reduce(DataFrame.unionByName, frames)
@@ -188,22 +220,29 @@ def bias_details(df: DataFrame, sensitive: Sequence[str] = (), target: Optional[
         first_hit.setdefault(other, value)
     proxies = [c for c in first_hit if c not in sensitive]
 
-    hits = tidy_schema_rows(df, [(c, v) for c, v in first_hit.items()], "column_name string, hit double")
-    order = tidy_schema_rows(df, [(c, "demographic") for c in sensitive] + [(c, "proxy") for c in proxies],
-                             "column_name string, bias_type string")
-    base = dominant_values(df, sensitive + proxies)
-    empty = "column_name string, disparate_impact double, parity_difference double"
-    rates = (fairness_rates(df, sensitive, target).select("column_name", "disparate_impact", "parity_difference")
-             if target and target in df.columns else tidy_schema_rows(df, [], empty))
-    own = F.col("bias_type") == "demographic"
-    fraction = F.coalesce("dominant_fraction", F.lit(0.0))
-    return (order.join(F.broadcast(base), "column_name", "left").join(F.broadcast(rates), "column_name", "left")
-            .join(F.broadcast(hits), "column_name", "left")
-            .select("column_name", "bias_type", "dominant_value",
-                    F.round(fraction, 4).alias("dominant_fraction"), "disparate_impact", "parity_difference",
-                    F.round("hit", 4).alias("proxy_correlation"), F.col("hit").isNotNull().alias("is_proxy"),
-                    F.when(own, bias_score(fraction, threshold))
-                    .otherwise(F.round(F.least(F.lit(100.0), 100.0 * F.col("hit")), 2)).alias("bias_score")))
+    measured = sensitive + proxies + ([target] if target and target in df.columns else [])
+    base = {r["column_name"]: r for r in dominant_values(df, list(dict.fromkeys(measured))).collect()}
+    rates = {}
+    if target and target in df.columns and target in base:
+        groups = privileged_values(df, sensitive, {c: base[c]["dominant_value"] for c in base})
+        rates = {r["column_name"]: r for r in fairness_rates(
+            df, sensitive, target, groups, base[target]["dominant_value"]).collect()}
+    # one row per column from here on
+    rows = []
+    for c in sensitive + proxies:
+        top, rate = base.get(c), rates.get(c)
+        rows.append((c, "demographic" if c in sensitive else "proxy", top["dominant_value"] if top else None,
+                     top["dominant_fraction"] if top else 0.0, rate["disparate_impact"] if rate else None,
+                     rate["parity_difference"] if rate else None, first_hit.get(c)))
+    fraction = F.col("fraction")
+    return tidy_schema_rows(
+        df, rows, "column_name string, bias_type string, dominant_value string, fraction double, "
+                  "disparate_impact double, parity_difference double, hit double").select(
+        "column_name", "bias_type", "dominant_value", F.round(fraction, 4).alias("dominant_fraction"),
+        "disparate_impact", "parity_difference", F.round("hit", 4).alias("proxy_correlation"),
+        F.col("hit").isNotNull().alias("is_proxy"),
+        F.when(F.col("bias_type") == "demographic", bias_score(fraction, threshold))
+        .otherwise(F.round(F.least(F.lit(100.0), 100.0 * F.col("hit")), 2)).alias("bias_score"))
 
 
 def bias_report(details: DataFrame) -> DataFrame:
@@ -261,10 +300,9 @@ def correlation_matrix(df: DataFrame, columns: Optional[Sequence[str]] = None) -
         return tidy_schema_rows(df, [], "column_a string, column_b string, correlation double")
     rows = []
     for a, b in pairs:
-        x, y = as_number(df, a), as_number(df, b)
-        r = F.abs(F.corr(x, y))
-        rows.append({"column_a": F.lit(a), "column_b": F.lit(b),
-                     "correlation": F.when(r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(r)})
+        r = f"abs(corr({number_sql(df, a)}, {number_sql(df, b)}))"
+        rows.append({"column_a": text_literal(a), "column_b": text_literal(b),
+                     "correlation": f"coalesce(nullif({r}, double('NaN')), 0.0D)"})
     return tidy_aggregate(df, rows)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from grainsift.functions.columns import cell_text
 from grainsift.operators.aggkit import tidy_schema_rows
@@ -134,9 +134,9 @@ def near_duplicate_estimate(df: DataFrame, row_id: str, threshold: float = 0.85,
 
 
 def duplicate_report(df: DataFrame, row_id: str, threshold: float = 0.85,
-                     sample_rows: Optional[int] = None) -> DataFrame:
+                     sample_rows: Optional[int] = None, exact: Optional[Row] = None) -> DataFrame:
     """Identical rows, estimated near pairs and repeated columns in one row."""
-    exact = exact_duplicates(df, row_id).first()
+    exact = exact if exact is not None else exact_duplicates(df, row_id).first()
     near = near_duplicate_estimate(df, row_id, threshold, sample_rows).first()
     same = ",".join(sorted(r["column_name"] for r in duplicate_columns(df.drop(row_id)).collect()))
     return tidy_schema_rows(

@@ -64,7 +64,8 @@ def _rare_first(sets: DataFrame) -> Column:
     counts = np.zeros(FREQUENCY_SLOTS, dtype="int64")
     for slot, n in used.collect():          # at most FREQUENCY_SLOTS rows
         counts[slot] = n
-    frequency = F.lit(counts)
+    # one constant array of fixed size, read by position
+    frequency = F.from_json(F.lit("[" + ",".join(map(str, counts)) + "]"), "array<bigint>")
     ordered = F.array_sort(F.transform("tokens", lambda t: F.struct(
         F.get(frequency, _slot(t)).alias("f"), F.xxhash64(t).alias("h"))))
     return F.transform(ordered, lambda s: s["h"])

@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from typing import Optional, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from grainsift.functions import fixed_values as fixed
-from grainsift.functions.columns import cell_text, object_columns, present, strip
-from grainsift.operators.aggkit import cells, distinct_counts, few_valued, tidy_aggregate, tidy_schema_rows
+from grainsift.functions.columns import (
+    cell_sql, cell_text, object_columns, present_sql, quoted, strip, text_literal)
+from grainsift.operators.aggkit import (
+    cells, distinct_counts, distinct_sketch, few_valued, tidy_aggregate, tidy_schema_rows)
 from grainsift.operators.outliers import outlier_details
-from grainsift.operators.profile import missing_by_column
 from grainsift.operators.stringpairs import indel_pairs
 
 _STARTS_OR_ENDS_BLANK = r"(?U)\A\s|\s\z"
@@ -25,10 +26,29 @@ def has_outer_blank(text: Column) -> Column:
     return text.rlike(_STARTS_OR_ENDS_BLANK)
 
 
+def column_facts(df: DataFrame) -> DataFrame:
+    """What one scan tells about every column, one row per column.
+
+    Rows, present cells, whether all present cells are equal, plain numbers in text columns and a
+    sketch of the distinct values of text columns.
+    """
+    text = set(object_columns(df))
+    rows = []
+    for c in df.columns:
+        cell = cell_sql(df, c)
+        rows.append({
+            "column_name": text_literal(c), "n_rows": "count(1)", "present_count": f"count({present_sql(df, c)})",
+            "constant": f"min({cell}) <=> max({cell})",
+            "plain_numbers": (f"count_if({quoted(c)} RLIKE {text_literal(fixed.PLAIN_NUMBER_PATTERN)})"
+                              if c in text else "CAST(NULL AS BIGINT)"),
+            "distinct_sketch": distinct_sketch(quoted(c)) if c in text else "CAST(NULL AS BIGINT)"})
+    return tidy_aggregate(df, rows)
+
+
 def empty_rows(df: DataFrame, row_id: str, columns: Optional[Sequence[str]] = None) -> DataFrame:
     """Rows in which every column is missing."""
     columns = columns or [c for c in df.columns if c != row_id]
-    return df.filter(reduce(lambda a, b: a & b, [present(df, c).isNull() for c in columns])).select(row_id)
+    return df.filter(" AND ".join(f"({present_sql(df, c)}) IS NULL" for c in columns)).select(row_id)
 
 
 def sentinel_rows(df: DataFrame, column: str, row_id: str) -> DataFrame:
@@ -42,7 +62,7 @@ def whitespace_rows(df: DataFrame, column: str, row_id: str) -> DataFrame:
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with at most one distinct value; the smallest equals the largest."""
     return (tidy_aggregate(df, [
-        {"column_name": F.lit(c), "constant": F.min(cell_text(df, c)).eqNullSafe(F.max(cell_text(df, c)))}
+        {"column_name": text_literal(c), "constant": f"min({cell_sql(df, c)}) <=> max({cell_sql(df, c)})"}
         for c in df.columns]).filter("constant").select("column_name"))
 
 
@@ -78,15 +98,14 @@ def high_cardinality_columns(df: DataFrame) -> DataFrame:
     if not names:
         return tidy_schema_rows(df, [], "column_name string")
     row = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.approx_count_distinct(c, 0.01).alias(f"d{i}") for i, c in enumerate(names)]).first()
-    n = max(row["n"], 1)
-    chosen, unsure = [], []
-    for i, c in enumerate(names):
-        ratio = row[f"d{i}"] / n
-        if ratio > 0.6 and row[f"d{i}"] > 100:
-            chosen.append(c)
-        elif ratio > 0.4:
-            unsure.append(c)
+                 *[F.expr(f"{distinct_sketch(quoted(c))} AS d{i}") for i, c in enumerate(names)]).first()
+    return _high_cardinality(df, row["n"], {c: row[f"d{i}"] for i, c in enumerate(names)})
+
+
+def _high_cardinality(df: DataFrame, n_rows: int, sketches: dict[str, int]) -> DataFrame:
+    n = max(n_rows, 1)
+    chosen = [c for c, d in sketches.items() if d / n > 0.6 and d > 100]
+    unsure = [c for c, d in sketches.items() if c not in chosen and d / n > 0.4]
     if unsure:
         chosen += [r["column_name"] for r in distinct_counts(df, unsure).collect()
                    if r["unique_count"] > fixed.HIGH_CARDINALITY_RATIO * n
@@ -114,22 +133,23 @@ def _formatting(df: DataFrame, names: Sequence[str]) -> DataFrame:
     if not names:
         return tidy_schema_rows(df, [], "column_name string, error_count long")
     return (tidy_aggregate(df, [
-        {"column_name": F.lit(c), "n": F.count(c),
-         "numeric": F.count_if(F.col(c).rlike(fixed.PLAIN_NUMBER_PATTERN))} for c in names])
-        .filter("numeric > 0 AND numeric < n")
-        .select("column_name", (F.col("n") - F.col("numeric")).alias("error_count")))
+        {"column_name": text_literal(c), "n": f"count({quoted(c)})",
+         "plain": f"count_if({quoted(c)} RLIKE {text_literal(fixed.PLAIN_NUMBER_PATTERN)})"} for c in names])
+        .filter("plain > 0 AND plain < n")
+        .selectExpr("column_name", "n - plain AS error_count"))
 
 
 def datatype_noise(df: DataFrame) -> DataFrame:
     """Text columns that hold numbers, in part or throughout."""
     names = object_columns(df)
+    if not names:
+        return tidy_schema_rows(df, [], "column_name string, mismatch_count long, issue string")
     counted = tidy_aggregate(df, [
-        {"column_name": F.lit(c), "n": F.count(c),
-         "mismatch_count": F.count_if(F.col(c).rlike(fixed.NUMERIC_LIKE_PATTERN))} for c in names])
-    return (counted.filter("mismatch_count > 0")
-            .select("column_name", "mismatch_count",
-                    F.when(F.col("mismatch_count") < F.col("n"), F.lit("Mixed numeric and string types"))
-                    .otherwise(F.lit("Numeric values stored as strings")).alias("issue")))
+        {"column_name": text_literal(c), "n": f"count({quoted(c)})",
+         "mismatch_count": f"count_if({quoted(c)} RLIKE {text_literal(fixed.NUMERIC_LIKE_PATTERN)})"} for c in names])
+    return counted.filter("mismatch_count > 0").selectExpr(
+        "column_name", "mismatch_count", "CASE WHEN mismatch_count < n THEN 'Mixed numeric and string types' "
+                                         "ELSE 'Numeric values stored as strings' END AS issue")
 
 
 def fuzzy_pairs(df: DataFrame) -> DataFrame:
@@ -157,9 +177,11 @@ def fuzzy_categories(df: DataFrame) -> DataFrame:
 
 def value_noise(df: DataFrame) -> DataFrame:
     """Placeholders, outer white space and similar spellings per text column."""
+    words = ", ".join(text_literal(w) for w in fixed.SENTINELS)
     counted = tidy_aggregate(df, [
-        {"column_name": F.lit(c), "sentinel_count": F.count_if(is_sentinel(F.col(c))),
-         "whitespace_count": F.count_if(has_outer_blank(F.col(c)))} for c in object_columns(df)])
+        {"column_name": text_literal(c), "sentinel_count": f"count_if(lower({quoted(c)}) IN ({words}))",
+         "whitespace_count": f"count_if({quoted(c)} RLIKE {text_literal(_STARTS_OR_ENDS_BLANK)})"}
+        for c in object_columns(df)])
     groups = fuzzy_categories(df).groupBy("column_name").agg(F.count("*").alias("fuzzy_values"))
     joined = counted.join(groups, "column_name", "left").withColumn(
         "fuzzy_values", F.coalesce("fuzzy_values", F.lit(0).cast("long")))
@@ -182,23 +204,34 @@ def structural_noise(df: DataFrame, row_id: str) -> DataFrame:
             .union(labelled(low_variance_columns(data), "low_variance_column", "column_name")))
 
 
+FINDING_SCHEMA = "finding string, column_name string, value double"
+
+
+def noise_findings(df: DataFrame, facts: Sequence[Row], details: Sequence[Row]) -> list[tuple[str, str, float]]:
+    """Findings from the facts and the outlier details of the columns (one row each)."""
+    n_rows = facts[0]["n_rows"] if facts else 0
+    many = _high_cardinality(df, n_rows, {r["column_name"]: r["distinct_sketch"] for r in facts
+                                          if r["distinct_sketch"] is not None}).collect()
+    out = [("missing_cells", r["column_name"], r["n_rows"] - r["present_count"]) for r in facts
+           if r["present_count"] < r["n_rows"]]
+    out += [("outliers", r["column_name"], r["outlier_count"]) for r in details]
+    out += [("outlier_fraction", r["column_name"], r["outlier_fraction"]) for r in details]
+    out += [("formatting_errors", r["column_name"], r["present_count"] - r["plain_numbers"]) for r in facts
+            if 0 < (r["plain_numbers"] or 0) < r["present_count"]]
+    out += [("constant_column", r["column_name"], 1) for r in facts if r["constant"]]
+    out += [("high_cardinality_column", r["column_name"], 1) for r in many]
+    return [(kind, column, float(value)) for kind, column, value in out]
+
+
 def noise_report(df: DataFrame, outlier_method: str = "iqr") -> DataFrame:
-    """All noise findings as (finding, column_name, value) rows."""
-
-    def finding(frame: DataFrame, name: str, value: Column) -> DataFrame:
-        return frame.select(F.lit(name).alias("finding"), "column_name", value.cast("double").alias("value"))
-
-    missing = missing_by_column(df)
-    details = outlier_details(df, outlier_method)
-    parts = [
-        finding(missing.filter("missing_count > 0"), "missing_cells", F.col("missing_count")),
-        finding(details, "outliers", F.col("outlier_count")),
-        finding(details, "outlier_fraction", F.col("outlier_fraction")),
-        finding(formatting_errors(df), "formatting_errors", F.col("error_count")),
-        finding(constant_columns(df), "constant_column", F.lit(1)),
-        finding(high_cardinality_columns(df), "high_cardinality_column", F.lit(1)),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All noise findings as (finding, column_name, value) rows.
+
+    One scan for the facts of all columns, then the outliers of the number columns.
+    """
+    facts = column_facts(df).collect()
+    sizes = {r["column_name"]: r["present_count"] for r in facts}
+    details = outlier_details(df, outlier_method, sizes=sizes).collect()
+    return tidy_schema_rows(df, noise_findings(df, facts, details), FINDING_SCHEMA)
 
 
 def noise_breakdown(df: DataFrame, outlier_method: str = "iqr") -> DataFrame:

@@ -7,6 +7,7 @@ per bucket. The bounds only steer balance: any bounds give the same result.
 
 from __future__ import annotations
 
+import json
 import math
 from typing import Optional, Sequence
 
@@ -39,16 +40,15 @@ def bucket_of(df: DataFrame, order_by: Sequence[str], bounds: Sequence[tuple]) -
     if not bounds:
         return F.lit(0)
     row = F.struct(*[sort_key(df, c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    kind = df.select(row.alias("k")).schema["k"].dataType.simpleString()
     step = max(1, math.isqrt(len(bounds)))
-    types = [df.select(sort_key(df, c)).schema[0].dataType for c in order_by]
 
-    def literal(bound: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(bound, types))])
+    def constant(part: Sequence[tuple]) -> Column:
+        text = json.dumps([{f"k{i}": v for i, v in enumerate(b)} for b in part], default=str)
+        return F.from_json(F.lit(text), f"array<{kind}>")
 
-    every = F.array(*[literal(b) for b in bounds])
-    coarse = F.array(*[literal(b) for b in bounds[step - 1::step]])
-    passed = F.size(F.filter(coarse, lambda b: b <= row)) * step
-    rest = F.filter(F.slice(every, passed + 1, F.lit(step)), lambda b: b <= row)
+    passed = F.size(F.filter(constant(bounds[step - 1::step]), lambda b: b <= row)) * step
+    rest = F.filter(F.slice(constant(bounds), passed + 1, F.lit(step)), lambda b: b <= row)
     return (passed + F.size(rest)).cast("int")
 
 
@@ -70,5 +70,5 @@ def with_position(df: DataFrame, order_by: Sequence[str], name: str = "position"
     for b in range(len(bounds) + 1):
         offsets.append(total)
         total += counts.get(b, 0)
-    start = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_bucket"))
+    start = F.get(F.from_json(F.lit(json.dumps(offsets)), "array<bigint>"), F.col("_bucket"))
     return bucketed.withColumn(name, start + within).drop("_bucket")

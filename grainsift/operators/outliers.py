@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from typing import Optional, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from grainsift.functions import fixed_values as fixed
-from grainsift.functions.columns import as_number, numeric_columns
+from grainsift.functions.columns import as_number, double_literal, number_sql, numeric_columns, quoted, text_literal
 from grainsift.operators.aggkit import tidy_aggregate, tidy_schema_rows
 from grainsift.operators.quantiles import exact_quantiles
 
@@ -15,8 +15,8 @@ _DETAIL_SCHEMA = ("column_name string, method string, outlier_count long, outlie
                   "lower_bound double, upper_bound double, suggested_cap double")
 
 
-def _round(value: Optional[float], places: int = 4) -> Column:
-    return F.round(F.lit(value).cast("double"), places)
+def _rounded(value: Optional[float], places: int = 4) -> str:
+    return f"round({double_literal(value)}, {places})"
 
 
 def iqr_fences(df: DataFrame, columns: Sequence[str], k: float = fixed.IQR_MULTIPLIER
@@ -28,37 +28,43 @@ def iqr_fences(df: DataFrame, columns: Sequence[str], k: float = fixed.IQR_MULTI
 
 
 def _moments(df: DataFrame, columns: Sequence[str], population: bool) -> dict[str, tuple[float, Optional[float]]]:
-    spread = F.stddev_pop if population else F.stddev_samp
-    row = df.agg(*[e for i, c in enumerate(columns)
-                   for x in [as_number(df, c)]
-                   for e in (F.avg(x).alias(f"a{i}"),
-                             F.when(F.count(x) > 1, spread(x)).alias(f"s{i}"))]).first()
+    spread = "stddev_pop" if population else "stddev_samp"
+    row = df.agg(*[F.expr(e) for i, c in enumerate(columns) for x in [number_sql(df, c)]
+                   for e in (f"avg({x}) AS a{i}", f"CASE WHEN count({x}) > 1 THEN {spread}({x}) END AS s{i}")]).first()
     return {c: (row[f"a{i}"], row[f"s{i}"]) for i, c in enumerate(columns) if row[f"a{i}"] is not None}
 
 
-def _outside(x: Column, low: float, high: float) -> Column:
-    return (x < F.lit(low)) | (x > F.lit(high))
+def _outside(x: str, low: float, high: float) -> str:
+    return f"({x} < {double_literal(low)} OR {x} > {double_literal(high)})"
 
 
-def _beyond(x: Column, centre: float, spread: Optional[float], limit: float, scale: float = 1.0) -> Column:
+def _beyond(x: str, centre: float, spread: Optional[float], limit: float, scale: float = 1.0) -> str:
     if not spread:
-        return F.lit(False)
-    return F.abs(F.lit(scale) * (x - F.lit(centre)) / F.lit(spread)) > F.lit(limit)
+        return "false"
+    return (f"abs({double_literal(scale)} * ({x} - {double_literal(centre)}) / {double_literal(spread)}) "
+            f"> {double_literal(limit)}")
+
+
+def _share(hits: str, whole: str) -> str:
+    return f"round(count_if({hits}) / CAST({whole} AS DOUBLE), 4)"
 
 
 def outliers_iqr(df: DataFrame, columns: Optional[Sequence[str]] = None, of_present: bool = False) -> DataFrame:
     """Values strictly outside the fences; the share is of all rows or of the present values."""
     columns = numeric_columns(df) if columns is None else columns
-    fences = iqr_fences(df, columns)
     rows = []
-    for c, (low, high) in fences.items():
-        x = as_number(df, c)
-        n = F.count(x) if of_present else F.count(F.lit(1))
-        hits = F.count_if(_outside(x, low, high))
-        rows.append({"column_name": F.lit(c), "method": F.lit("iqr"), "outlier_count": hits,
-                     "outlier_fraction": F.round(hits / n, 4),
-                     "lower_bound": _round(low), "upper_bound": _round(high)})
-    return tidy_aggregate(df, rows)
+    for c, (low, high) in iqr_fences(df, columns).items():
+        x = number_sql(df, c)
+        hit = _outside(x, low, high)
+        rows.append({"column_name": text_literal(c), "method": "'iqr'", "outlier_count": f"count_if({hit})",
+                     "outlier_fraction": _share(hit, f"count({x})" if of_present else "count(1)"),
+                     "lower_bound": _rounded(low), "upper_bound": _rounded(high)})
+    return _report(df, rows, "column_name string, method string, outlier_count long, outlier_fraction double, "
+                             "lower_bound double, upper_bound double")
+
+
+def _report(df: DataFrame, rows: list[dict[str, str]], schema: str) -> DataFrame:
+    return tidy_aggregate(df, rows) if rows else tidy_schema_rows(df, [], schema)
 
 
 def outliers_zscore(df: DataFrame, columns: Optional[Sequence[str]] = None, population: bool = False) -> DataFrame:
@@ -66,12 +72,13 @@ def outliers_zscore(df: DataFrame, columns: Optional[Sequence[str]] = None, popu
     columns = numeric_columns(df) if columns is None else columns
     rows = []
     for c, (mean, std) in _moments(df, columns, population).items():
-        x = as_number(df, c)
-        hits = F.count_if(_beyond(x, mean, std, fixed.Z_SCORE_THRESHOLD))
-        n = F.count(x) if population else F.count(F.lit(1))
-        rows.append({"column_name": F.lit(c), "method": F.lit("zscore"), "outlier_count": hits,
-                     "outlier_fraction": F.round(hits / n, 4), "mean": _round(mean), "std": _round(std)})
-    return tidy_aggregate(df, rows)
+        x = number_sql(df, c)
+        hit = _beyond(x, mean, std, fixed.Z_SCORE_THRESHOLD)
+        rows.append({"column_name": text_literal(c), "method": "'zscore'", "outlier_count": f"count_if({hit})",
+                     "outlier_fraction": _share(hit, f"count({x})" if population else "count(1)"),
+                     "mean": _rounded(mean), "std": _rounded(std)})
+    return _report(df, rows, "column_name string, method string, outlier_count long, outlier_fraction double, "
+                             "mean double, std double")
 
 
 def _median_and_mad(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -86,30 +93,29 @@ def outliers_modified_zscore(df: DataFrame, columns: Optional[Sequence[str]] = N
     columns = numeric_columns(df) if columns is None else columns
     rows = []
     for c, (median, mad) in _median_and_mad(df, columns).items():
-        x = as_number(df, c)
-        hits = F.count_if(_beyond(x, median, mad, fixed.Z_SCORE_THRESHOLD, fixed.MODIFIED_Z_SCALE))
-        rows.append({"column_name": F.lit(c), "method": F.lit("modified_zscore"), "outlier_count": hits,
-                     "outlier_fraction": F.round(hits / F.count(F.lit(1)), 4),
-                     "median": _round(median), "mad": _round(mad)})
-    return tidy_aggregate(df, rows)
+        hit = _beyond(number_sql(df, c), median, mad, fixed.Z_SCORE_THRESHOLD, fixed.MODIFIED_Z_SCALE)
+        rows.append({"column_name": text_literal(c), "method": "'modified_zscore'",
+                     "outlier_count": f"count_if({hit})", "outlier_fraction": _share(hit, "count(1)"),
+                     "median": _rounded(median), "mad": _rounded(mad)})
+    return _report(df, rows, "column_name string, method string, outlier_count long, outlier_fraction double, "
+                             "median double, mad double")
 
 
 def outlier_rows(df: DataFrame, column: str, row_id: str, method: str = "iqr") -> DataFrame:
     """The outlying rows of one column: bounds first, then a filter that reaches the scan."""
-    x = as_number(df, column)
+    x = number_sql(df, column)
     if method == "iqr":
         bounds = iqr_fences(df, [column]).get(column)
-        hit = _outside(x, *bounds) if bounds else F.lit(False)
+        hit = _outside(x, *bounds) if bounds else "false"
     elif method == "zscore":
         moments = _moments(df, [column], population=False).get(column)
-        hit = _beyond(x, *moments, fixed.Z_SCORE_THRESHOLD) if moments else F.lit(False)
+        hit = _beyond(x, *moments, fixed.Z_SCORE_THRESHOLD) if moments else "false"
     elif method == "modified_zscore":
         centre = _median_and_mad(df, [column]).get(column)
-        hit = (_beyond(x, *centre, fixed.Z_SCORE_THRESHOLD, fixed.MODIFIED_Z_SCALE)
-               if centre else F.lit(False))
+        hit = _beyond(x, *centre, fixed.Z_SCORE_THRESHOLD, fixed.MODIFIED_Z_SCALE) if centre else "false"
     else:
         raise ValueError("method must be iqr, zscore or modified_zscore")
-    return df.filter(hit).select(row_id, x.alias("value"))
+    return df.filter(hit).selectExpr(quoted(row_id), f"{x} AS value")
 
 
 def suggest_cap(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:
@@ -118,30 +124,31 @@ def suggest_cap(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataF
     return details.filter("outlier_count > 0").select("column_name", "suggested_cap")
 
 
-def outlier_details(df: DataFrame, method: str = "iqr", columns: Optional[Sequence[str]] = None) -> DataFrame:
+def outlier_details(df: DataFrame, method: str = "iqr", columns: Optional[Sequence[str]] = None,
+                    sizes: Optional[dict[str, int]] = None) -> DataFrame:
     """Outliers per number column with share of present values, fences and a suggested cap."""
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return tidy_schema_rows(df, [], _DETAIL_SCHEMA)
-    figures = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.75, 0.99]) for c in columns})
+    figures = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.75, 0.99]) for c in columns}, sizes=sizes)
     moments = _moments(df, columns, population=True) if method == "zscore" else {}
     rows = []
     for c, (q1, q3, cap) in figures.items():
         if q1 is None:
             continue
-        x = as_number(df, c)
+        x = number_sql(df, c)
         low = high = None
         if method == "iqr":
             low = q1 - fixed.IQR_MULTIPLIER * (q3 - q1)
             high = q3 + fixed.IQR_MULTIPLIER * (q3 - q1)
-            hits = F.count_if(_outside(x, low, high))
+            hit = _outside(x, low, high)
         else:
-            hits = F.count_if(_beyond(x, *moments[c], fixed.Z_SCORE_THRESHOLD))
-        rows.append({"column_name": F.lit(c), "method": F.lit(method), "outlier_count": hits,
-                     "outlier_fraction": F.round(hits / F.count(x), 4),
-                     "lower_bound": _round(low), "upper_bound": _round(high),
-                     "suggested_cap": F.when(hits > 0, _round(cap))})
-    return tidy_aggregate(df, rows) if rows else tidy_schema_rows(df, [], _DETAIL_SCHEMA)
+            hit = _beyond(x, *moments[c], fixed.Z_SCORE_THRESHOLD)
+        rows.append({"column_name": text_literal(c), "method": f"'{method}'", "outlier_count": f"count_if({hit})",
+                     "outlier_fraction": _share(hit, f"count({x})"), "lower_bound": _rounded(low),
+                     "upper_bound": _rounded(high),
+                     "suggested_cap": f"CASE WHEN count_if({hit}) > 0 THEN {_rounded(cap)} END"})
+    return _report(df, rows, _DETAIL_SCHEMA)
 
 
 def cap_bounds(df: DataFrame, names: Sequence[str], method: str, iqr_multiplier: float,
@@ -172,12 +179,13 @@ def cap_outliers(df: DataFrame, method: str = "iqr", cap: bool = True,
     if not bounds:
         return df, tidy_schema_rows(df, [], schema)
     names = list(bounds)
-    counts = df.agg(*[F.count_if(_outside(as_number(df, c), *bounds[c])).alias(f"n{i}")
+    counts = df.agg(*[F.expr(f"count_if({_outside(number_sql(df, c), *bounds[c])}) AS n{i}")
                       for i, c in enumerate(names)]).first()
     detected = {c: counts[i] for i, c in enumerate(names)}
-    clipped = {c: F.when(F.col(f"`{c}`").isNotNull(),
-                         F.greatest(F.lit(bounds[c][0]), F.least(F.lit(bounds[c][1]), as_number(df, c))))
-               for c in names if cap and detected[c] > 0}
+    # greatest and least skip NULL, so a missing cell has to be kept by hand
+    clipped = {c: F.expr(f"CASE WHEN {x} IS NOT NULL THEN greatest({double_literal(bounds[c][0])}, "
+                         f"least({double_literal(bounds[c][1])}, {x})) END")
+               for c in names for x in [number_sql(df, c)] if cap and detected[c] > 0}
     report = [(c, method, round(bounds[c][0], 4), round(bounds[c][1], 4), detected[c],
                detected[c] if c in clipped else 0) for c in names]
     return df.withColumns(clipped) if clipped else df, tidy_schema_rows(df, report, schema)
@@ -191,13 +199,15 @@ def boxplot_stats(df: DataFrame, columns: Optional[Sequence[str]] = None) -> Dat
     for c, (q1, median, q3) in figures.items():
         if q1 is None:
             continue
-        x = as_number(df, c)
-        low, high = (q1 - fixed.IQR_MULTIPLIER * (q3 - q1), q3 + fixed.IQR_MULTIPLIER * (q3 - q1))
-        inside = F.when(~_outside(x, low, high), x)
-        rows.append({"column_name": F.lit(c), "min": F.min(x), "q1": _round(q1), "median": _round(median),
-                     "q3": _round(q3), "max": F.max(x), "whisker_low": F.min(inside),
-                     "whisker_high": F.max(inside), "outlier_count": F.count_if(_outside(x, low, high))})
-    return tidy_aggregate(df, rows)
+        x = number_sql(df, c)
+        hit = _outside(x, q1 - fixed.IQR_MULTIPLIER * (q3 - q1), q3 + fixed.IQR_MULTIPLIER * (q3 - q1))
+        inside = f"CASE WHEN NOT {hit} THEN {x} END"
+        rows.append({"column_name": text_literal(c), "min": f"min({x})", "q1": _rounded(q1),
+                     "median": _rounded(median), "q3": _rounded(q3), "max": f"max({x})",
+                     "whisker_low": f"min({inside})", "whisker_high": f"max({inside})",
+                     "outlier_count": f"count_if({hit})"})
+    return _report(df, rows, "column_name string, min double, q1 double, median double, q3 double, max double, "
+                             "whisker_low double, whisker_high double, outlier_count long")
 
 
 def outliers_ranked(df: DataFrame) -> DataFrame:

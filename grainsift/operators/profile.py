@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from grainsift.functions.columns import as_number, kind_label, numeric_columns, present
+from grainsift.functions.columns import (
+    as_number, double_literal, kind_label, number_sql, numeric_columns, present_sql, text_literal)
 from grainsift.operators.aggkit import distinct_counts, tidy_aggregate
 from grainsift.operators.quantiles import exact_quantiles
 
@@ -13,26 +14,24 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
+def _kind_sql(df: DataFrame, field: T.StructField) -> str:
+    return (f"CASE WHEN count({present_sql(df, field.name)}) = 0 THEN 'empty' "
+            f"ELSE '{kind_label(field.dataType)}' END")
+
+
 def inferred_kinds(df: DataFrame) -> DataFrame:
     """Kind of the values of each column; a column without values is ``empty``."""
     return tidy_aggregate(df, [
-        {"column_name": F.lit(f.name),
-         "dtype": F.lit(f.dataType.simpleString()),
-         "inferred_type": F.when(F.count(present(df, f.name)) == 0, F.lit("empty"))
-                           .otherwise(F.lit(kind_label(f.dataType)))}
-        for f in df.schema])
+        {"column_name": text_literal(f.name), "dtype": text_literal(f.dataType.simpleString()),
+         "inferred_type": _kind_sql(df, f)} for f in df.schema])
 
 
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, distinct values and missing values per column: one scan plus one exact distinct count."""
     facts = tidy_aggregate(df, [
-        {"column_name": F.lit(f.name),
-         "dtype": F.lit(f.dataType.simpleString()),
-         "inferred_type": F.when(F.count(present(df, f.name)) == 0, F.lit("empty"))
-                           .otherwise(F.lit(kind_label(f.dataType))),
-         "n_rows": F.count(F.lit(1)),
-         "missing_count": F.count(F.lit(1)) - F.count(present(df, f.name))}
-        for f in df.schema])
+        {"column_name": text_literal(f.name), "dtype": text_literal(f.dataType.simpleString()),
+         "inferred_type": _kind_sql(df, f), "n_rows": "count(1)",
+         "missing_count": f"count(1) - count({present_sql(df, f.name)})"} for f in df.schema])
     unique = distinct_counts(df, df.columns, approximate)
     return (facts.join(F.broadcast(unique), "column_name")
             .select("column_name", "dtype", "inferred_type", "unique_count",
@@ -43,15 +42,17 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def profile_numeric(df: DataFrame) -> DataFrame:
     """Mean, sample deviation, range and bias-corrected skewness; booleans count as numbers."""
-    names = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     rows = []
-    for c in names:
-        x = as_number(df, c)
-        n = F.count(x).cast("double")
-        corrected = F.skewness(x) * F.sqrt(n * (n - 1.0)) / F.nullif(n - 2.0, F.lit(0.0))
-        rows.append({"column_name": F.lit(c), "mean": F.avg(x),
-                     "std": F.when(n > 1, F.stddev_samp(x)), "min": F.min(x), "max": F.max(x),
-                     "skew": F.when(n >= 3, F.when(F.stddev_pop(x) == 0, F.lit(0.0)).otherwise(corrected))})
+    for f in df.schema:
+        if not isinstance(f.dataType, (T.NumericType, T.BooleanType)):
+            continue
+        x = number_sql(df, f.name)
+        n = f"CAST(count({x}) AS DOUBLE)"
+        rows.append({
+            "column_name": text_literal(f.name), "mean": f"avg({x})",
+            "std": f"CASE WHEN {n} > 1 THEN stddev_samp({x}) END", "min": f"min({x})", "max": f"max({x})",
+            "skew": f"CASE WHEN {n} >= 3 THEN CASE WHEN stddev_pop({x}) = 0 THEN 0.0D ELSE "
+                    f"skewness({x}) * sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0.0D) END END"})
     return tidy_aggregate(df, rows)
 
 
@@ -61,19 +62,19 @@ def describe_numeric(df: DataFrame) -> DataFrame:
     quartiles = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.5, 0.75]) for c in names})
     rows = []
     for c in names:
-        x = as_number(df, c)
-        q = [F.lit(v).cast("double") for v in quartiles[c]]
-        rows.append({"column_name": F.lit(c), "n": F.count(x), "mean": F.round(F.avg(x), 4),
-                     "std": F.round(F.when(F.count(x) > 1, F.stddev_samp(x)), 4),
-                     "min": F.round(F.min(x), 4), "p25": F.round(q[0], 4), "p50": F.round(q[1], 4),
-                     "p75": F.round(q[2], 4), "max": F.round(F.max(x), 4)})
+        x = number_sql(df, c)
+        row = {"column_name": text_literal(c), "n": f"count({x})", "mean": f"round(avg({x}), 4)",
+               "std": f"round(CASE WHEN count({x}) > 1 THEN stddev_samp({x}) END, 4)", "min": f"round(min({x}), 4)"}
+        for label, value in zip(("p25", "p50", "p75"), quartiles[c]):
+            row[label] = f"round({double_literal(value)}, 4)"
+        rows.append({**row, "max": f"round(max({x}), 4)"})
     return tidy_aggregate(df, rows)
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     return tidy_aggregate(df, [
-        {"column_name": F.lit(c), "n_rows": F.count(F.lit(1)),
-         "missing_count": F.count(F.lit(1)) - F.count(present(df, c))} for c in df.columns
+        {"column_name": text_literal(c), "n_rows": "count(1)",
+         "missing_count": f"count(1) - count({present_sql(df, c)})"} for c in df.columns
     ]).withColumn("missing_fraction", F.round(_ratio(F.col("missing_count"), F.col("n_rows")), 4))
 
 

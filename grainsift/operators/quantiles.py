@@ -46,19 +46,21 @@ def exact_quantiles(
     wanted: Mapping[str, tuple[Column, Sequence[float]]],
     direct_limit: Optional[int] = None,
     sort_limit: Optional[int] = None,
+    sizes: Optional[Mapping[str, int]] = None,
 ) -> Quantiles:
     """Linearly interpolated quantiles for each name: ``{name: (double expression, probabilities)}``.
 
     The result holds one number per name and probability and goes to the driver, where callers
-    use it as literals in the next scan.
+    use it as literals in the next scan. ``sizes`` are the numbers of present values, when known.
     """
     direct_limit = DIRECT_LIMIT if direct_limit is None else direct_limit
     sort_limit = SORT_LIMIT if sort_limit is None else sort_limit
     if not wanted:
         return {}
     names = list(wanted)
-    counts = df.agg(*[F.count(wanted[c][0]).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    sizes = {c: counts[i] for i, c in enumerate(names)}
+    if sizes is None:
+        counts = df.agg(*[F.count(wanted[c][0]).alias(f"n{i}") for i, c in enumerate(names)]).first()
+        sizes = {c: counts[i] for i, c in enumerate(names)}
     result: Quantiles = {c: [None] * len(wanted[c][1]) for c in names}
 
     short = [c for c in names if 0 < sizes[c] <= direct_limit]

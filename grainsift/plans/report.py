@@ -37,7 +37,6 @@ def summary_sections(analysis: Analysis) -> dict[str, DataFrame]:
     """Figures of all sub-reports together with the description of the number columns."""
     parts = {
         "dataset": analysis.info,
-        "missing": analysis.missing,
         "constant_columns": analysis.constant,
         "high_cardinality_columns": analysis.high_cardinality,
         "formatting_errors": analysis.formatting,

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import Optional
+from typing import Callable, Optional
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from grainsift.config import AnalysisConfig
 from grainsift.functions import fixed_values as fixed
 from grainsift.operators import balance, bias, duplicates, noise, outliers, profile
-from grainsift.operators.aggkit import settle, tidy_schema_rows
+from grainsift.operators.aggkit import tidy_schema_rows
 
 DIMENSIONS = ("completeness", "uniqueness", "consistency", "validity", "balance")
 
@@ -45,25 +45,52 @@ def basic_score(df: DataFrame, row_id: Optional[str] = None) -> DataFrame:
 
 
 class Analysis:
-    """Sub-reports of one table, each computed once on first use."""
+    """Sub-reports of one table, each computed once on first use.
+
+    A report has one row per column, class or metric; its rows are kept by the driver so that the
+    composite reports do not read the table again.
+    """
 
     def __init__(self, df: DataFrame, config: AnalysisConfig, row_id: Optional[str] = None):
         self.df, self.config, self.row_id = df, config, row_id
         self.data = df.drop(row_id) if row_id else df
-        self._done: dict[str, DataFrame] = {}
+        self._done: dict[str, tuple[list[Row], T.StructType]] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        self._rows(name, make)
+        rows, schema = self._done[name]
+        return self.df.sparkSession.createDataFrame(rows, schema)
 
-    def _once(self, name: str, make) -> DataFrame:
+    def _rows(self, name: str, make: Callable[[], DataFrame]) -> list[Row]:
         if name not in self._done:
-            self._done[name] = settle(make())
-        return self._done[name]
+            report = make()
+            self._done[name] = (report.collect(), report.schema)
+        return self._done[name][0]
 
-    @property
-    def missing(self) -> DataFrame:
-        return self._once("missing", lambda: profile.missing_by_column(self.data))
+    def _facts(self) -> list[Row]:
+        return self._rows("facts", lambda: noise.column_facts(self.data))
+
+    def _details(self) -> list[Row]:
+        return self._rows("outliers", lambda: outliers.outlier_details(
+            self.data, self.config.outlier_method, sizes={r["column_name"]: r["present_count"] for r in self._facts()}))
+
+    def _findings(self) -> list[Row]:
+        return self._rows("findings", lambda: tidy_schema_rows(
+            self.df, noise.noise_findings(self.data, self._facts(), self._details()), noise.FINDING_SCHEMA))
+
+    def _found(self, finding: str, column: str) -> DataFrame:
+        rows = [(r["column_name"], r["value"]) for r in self._findings() if r["finding"] == finding]
+        return tidy_schema_rows(self.df, rows, f"column_name string, {column} double")
 
     @property
     def info(self) -> DataFrame:
-        return self._once("info", lambda: profile.dataset_info(self.data))
+        """Type, rows and missing share of every column."""
+        rows = [(f["column_name"], self.data.schema[f["column_name"]].dataType.simpleString(), f["n_rows"],
+                 len(self.data.columns), f["n_rows"] - f["present_count"],
+                 (f["n_rows"] - f["present_count"]) / max(f["n_rows"], 1)) for f in self._facts()]
+        return tidy_schema_rows(
+            self.df, rows, "column_name string, dtype string, n_rows long, n_columns int, missing_count long, "
+                           "missing_fraction double").withColumn("missing_fraction", F.round("missing_fraction", 4))
 
     @property
     def describe(self) -> DataFrame:
@@ -71,19 +98,23 @@ class Analysis:
 
     @property
     def outliers(self) -> DataFrame:
-        return self._once("outliers", lambda: outliers.outlier_details(self.data, self.config.outlier_method))
+        self._details()
+        return self._once("outliers", lambda: self.data)
 
     @property
     def formatting(self) -> DataFrame:
-        return self._once("formatting", lambda: noise.formatting_errors(self.data))
+        return self._found("formatting_errors", "error_count")
 
     @property
     def constant(self) -> DataFrame:
-        return self._once("constant", lambda: noise.constant_columns(self.data))
+        return self._found("constant_column", "value")
 
     @property
     def high_cardinality(self) -> DataFrame:
-        return self._once("high_cardinality", lambda: noise.high_cardinality_columns(self.data))
+        return self._found("high_cardinality_column", "value")
+
+    def _exact(self) -> list[Row]:
+        return self._rows("exact", lambda: duplicates.exact_duplicates(self.data))
 
     @property
     def exact_duplicates(self) -> DataFrame:
@@ -94,13 +125,15 @@ class Analysis:
         if self.row_id is None:
             raise ValueError("the duplicate report needs a row_id column")
         return self._once("duplicates", lambda: duplicates.duplicate_report(
-            self.df, self.row_id, self.config.fuzzy_duplicate_threshold))
+            self.df, self.row_id, self.config.fuzzy_duplicate_threshold, exact=self._exact()[0]))
+
+    def _bias(self) -> DataFrame:
+        c = self.config
+        return bias.bias_details(self.data, c.sensitive_columns, c.target_column, c.bias_threshold)
 
     @property
     def bias(self) -> DataFrame:
-        c = self.config
-        return self._once("bias", lambda: bias.bias_details(
-            self.data, c.sensitive_columns, c.target_column, c.bias_threshold))
+        return self._once("bias", self._bias)
 
     @property
     def bias_summary(self) -> DataFrame:
@@ -120,20 +153,22 @@ class Analysis:
     @property
     def measures(self) -> DataFrame:
         """The figures the score is made of, in one row."""
-        def make() -> DataFrame:
-            missing = self.missing.agg(F.round(F.sum("missing_count") / F.greatest(F.sum("n_rows"), F.lit(1)), 4)).first()[0]
-            worst = self.outliers.agg(F.coalesce(F.max("outlier_fraction"), F.lit(0.0))).first()[0]
-            same = self.exact_duplicates.first()["duplicate_fraction"]
-            biased = self.bias_summary.first()["overall_bias_score"]
-            classes = self.imbalance.first()
-            return tidy_schema_rows(self.df, [(
-                float(missing or 0.0), float(worst), float(same), float(biased), float(classes["imbalance_ratio"]),
-                classes["is_imbalanced"], self.formatting.count())], MEASURE_SCHEMA)
-        return self._once("measures", make)
+        facts, details = self._facts(), self._details()
+        cells = sum(f["n_rows"] for f in facts)
+        missing = sum(f["n_rows"] - f["present_count"] for f in facts)
+        scores = [r["bias_score"] for r in self._rows("bias", self._bias)]
+        classes = self._rows("imbalance", lambda: balance.imbalance_report(self.data, self.config.target_column))[0]
+        row = (missing / max(cells, 1), max((r["outlier_fraction"] for r in details), default=0.0),
+               self._exact()[0]["duplicate_fraction"], sum(scores) / len(scores) if scores else 0.0,
+               classes["imbalance_ratio"], classes["is_imbalanced"],
+               sum(r["finding"] == "formatting_errors" for r in self._findings()))
+        return (tidy_schema_rows(self.df, [row], MEASURE_SCHEMA)
+                .withColumn("missing_fraction", F.round("missing_fraction", 4))
+                .withColumn("bias_score", F.round("bias_score", 2)))
 
     @property
     def score(self) -> DataFrame:
-        return self._once("score", lambda: score_measures(self.measures))
+        return score_measures(self.measures)
 
 
 def score_measures(measures: DataFrame) -> DataFrame:
@@ -204,7 +239,7 @@ def classify_issues(analysis: Analysis) -> DataFrame:
     missing, fraction = F.col("missing_fraction"), F.col("outlier_fraction")
     same, score, ratio = F.col("duplicate_fraction"), F.col("bias_score"), F.col("imbalance_ratio")
     parts = [
-        _issues(analysis.missing.filter(missing > 0), "noise", "missing_fraction", name, missing,
+        _issues(analysis.info.filter(missing > 0), "noise", "missing_fraction", name, missing,
                 _rule(missing, 0.20, 0.05), "Fill the missing values or drop the column."),
         _issues(analysis.outliers.filter("outlier_count > 0"), "noise", "outlier_fraction", name, fraction,
                 _rule(fraction, None, 0.05, warning_inclusive=False), "Check the extreme values and cap them at the fences."),

@@ -124,7 +124,7 @@ _MATRIX = f"matrix AS ({_NUMERIC} UNION ALL {_CRAMER})"
 WITH {PEOPLE_CTE}, m AS ({_NUMERIC}) SELECT sensitive, column_name, round(correlation, 6) AS correlation FROM m
 WHERE sensitive = 'income'""")
 def proxy_numeric(spark, sf):
-    return bias.numeric_proxies(_data(spark, sf), "income", PEOPLE_NUMBERS).withColumn(
+    return bias.numeric_proxies(_data(spark, sf), ["income"], PEOPLE_NUMBERS).withColumn(
         "correlation", F.round("correlation", 6))
 
 
@@ -133,7 +133,7 @@ WITH {PEOPLE_CTE}, m AS ({_CRAMER}) SELECT sensitive, column_name, round(correla
 WHERE sensitive = 'gender'""")
 def proxy_categorical(spark, sf):
     others = [c for c in PEOPLE_TEXTS if c != "gender"]
-    return bias.categorical_proxies(_data(spark, sf), "gender", others).withColumn(
+    return bias.categorical_proxies(_data(spark, sf), ["gender"], others).withColumn(
         "correlation", F.round("correlation", 6))
 
 

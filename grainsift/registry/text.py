@@ -99,8 +99,9 @@ _LETTERS = """letters AS (SELECT c_custkey, concat('Letter from ', n_name, ' (',
 AS letter FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 _ENTITIES = r"""names AS (SELECT lower(n_name) AS term, 'GPE' AS entity_type FROM nation
 UNION ALL SELECT lower(r_name), 'LOC' FROM region),
-found AS (SELECT 'letter' AS column_name, entity_type, term, count(*) AS n_rows FROM letters JOIN names
-ON regexp_matches(lower(letter), concat('(^|[^\p{L}\p{N}_])', term, '($|[^\p{L}\p{N}_])')) GROUP BY entity_type, term)"""
+spaced AS (SELECT concat(' ', regexp_replace(lower(letter), '[^\p{L}\p{N}_]+', ' ', 'g'), ' ') AS words FROM letters),
+found AS (SELECT 'letter' AS column_name, entity_type, term, count(*) AS n_rows FROM spaced JOIN names
+ON contains(words, concat(' ', term, ' ')) GROUP BY entity_type, term)"""
 
 
 def letters(spark, sf) -> DataFrame:
