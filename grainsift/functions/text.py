@@ -6,9 +6,10 @@ from pyspark.sql import Column, functions as F
 
 from grainsift.functions import fixed_values as fixed
 
-WORD = r"[\p{L}\p{N}_]"
+# plain letters first: they are told apart fastest
+WORD = r"[a-z0-9_\p{L}\p{N}]"
 _VOWEL = f"[{fixed.VOWELS}]"
-_OTHER = rf"[\p{{L}}\p{{N}}_&&[^{fixed.VOWELS}]]"
+_OTHER = rf"[bcdfghjklmnpqrstvwxz0-9_[\p{{L}}\p{{N}}&&[^{fixed.VOWELS}]]]"
 _NO_WORD_BEFORE = rf"(?<!{WORD})"
 _NO_WORD_AFTER = rf"(?!{WORD})"
 
@@ -35,9 +36,8 @@ def syllable_count(text: Column) -> Column:
     """
     low = F.lower(text)
     runs = F.regexp_count(low, F.lit(f"{_VOWEL}+"))
-    silent = F.regexp_count(low, F.lit(
-        f"{_NO_WORD_BEFORE}{WORD}*{_VOWEL}{_OTHER}+{_VOWEL}*e{_NO_WORD_AFTER}"))
-    voiceless = F.regexp_count(low, F.lit(f"{_NO_WORD_BEFORE}{_OTHER}+{_NO_WORD_AFTER}"))
+    silent = F.regexp_count(low, F.lit(f"{_VOWEL}{_OTHER}++{_VOWEL}*e{_NO_WORD_AFTER}"))
+    voiceless = F.regexp_count(low, F.lit(f"{_NO_WORD_BEFORE}{_OTHER}++{_NO_WORD_AFTER}"))
     return runs - silent + voiceless
 
 
@@ -53,9 +53,7 @@ def reading_ease(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """Language with most distinct stopwords in the text; ties go to the first language."""
-    all_words = sorted({w for ws in fixed.STOPWORDS.values() for w in ws}, key=lambda w: (-len(w), w))
-    pattern = f"{_NO_WORD_BEFORE}({'|'.join(all_words)}){_NO_WORD_AFTER}"
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), 1))
+    found = F.array_distinct(F.split(F.lower(text), r"[^a-z0-9_\p{L}\p{N}]+"))
     scores = {lang: F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in ws])))
               for lang, ws in fixed.STOPWORDS.items()}
     best = F.greatest(*scores.values())

@@ -30,6 +30,28 @@ def tidy_aggregate(df: DataFrame, rows: Sequence[Mapping[str, Union[str, Column]
     return df.agg(array.alias("rows")).select(F.inline("rows"))
 
 
+def long_aggregate(df: DataFrame, items: Sequence[Mapping[str, str]], keys: Sequence[str],
+                   aggregates: Mapping[str, str]) -> DataFrame:
+    """The same aggregates for many items of a row, grouped by the item.
+
+    Each item is a mapping of field to SQL over ``df``; ``aggregates`` speak of the fields. Rows are
+    unfolded inside the scan stage and folded to one row per item before the shuffle, and the
+    generated code stays as small as for one item however many columns the table has.
+    """
+    structs = ", ".join("named_struct(" + ", ".join(f"'{n}', {v}" for n, v in item.items()) + ")" for item in items)
+    return (df.selectExpr(f"inline(array({structs}))").groupBy(*keys)
+            .agg(*[F.expr(f"{e} AS {n}") for n, e in aggregates.items()]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input over all cores before work that is heavy per row.
+
+    An input with enough partitions, as every large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-missing cells as (column_name, value) rows."""
     texts = df.select(*[cell_text(df, c).alias(c) for c in columns])

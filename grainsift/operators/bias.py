@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from grainsift.functions import fixed_values as fixed
 from grainsift.functions.columns import (
     cell_sql, cell_text, is_categorical, number_sql, numeric_columns, quoted, text_literal)
-from grainsift.operators.aggkit import tidy_aggregate, tidy_schema_rows, value_counts
+from grainsift.operators.aggkit import long_aggregate, tidy_aggregate, tidy_schema_rows, value_counts
 from grainsift.operators.materialize import materialize
 from grainsift.operators.ordering import with_position
 
@@ -298,12 +298,10 @@ def correlation_matrix(df: DataFrame, columns: Optional[Sequence[str]] = None) -
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     if not pairs:
         return tidy_schema_rows(df, [], "column_a string, column_b string, correlation double")
-    rows = []
-    for a, b in pairs:
-        r = f"abs(corr({number_sql(df, a)}, {number_sql(df, b)}))"
-        rows.append({"column_a": text_literal(a), "column_b": text_literal(b),
-                     "correlation": f"coalesce(nullif({r}, double('NaN')), 0.0D)"})
-    return tidy_aggregate(df, rows)
+    items = [{"column_a": text_literal(a), "column_b": text_literal(b),
+              "x": number_sql(df, a), "y": number_sql(df, b)} for a, b in pairs]
+    return long_aggregate(df, items, ["column_a", "column_b"], {
+        "correlation": "coalesce(nullif(abs(corr(x, y)), double('NaN')), 0.0D)"})
 
 
 def redundant_columns(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from grainsift.functions.columns import string_columns
 from grainsift.functions.similarity import jaccard
 from grainsift.functions.text import row_tokens
+from grainsift.operators.aggkit import spread
 from grainsift.operators.materialize import materialize
 
 FREQUENCY_SLOTS = 1 << 15
@@ -40,8 +41,9 @@ def token_sets(df: DataFrame, row_id: str, columns: Optional[Sequence[str]] = No
     ``members`` has (``rep``, row id) and is only computed when it is used.
     """
     columns = columns or [c for c in string_columns(df) if c != row_id]
-    rows = df.select(F.col(row_id).alias("row_id"),
-                     F.array_sort(row_tokens([F.col(f"`{c}`") for c in columns], lower)).alias("tokens"))
+    rows = spread(df.select(row_id, *columns)).select(
+        F.col(row_id).alias("row_id"),
+        F.array_sort(row_tokens([F.col(f"`{c}`") for c in columns], lower)).alias("tokens"))
     sets = materialize(rows.groupBy("tokens").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies")))
     repeated = sets.filter("copies > 1").select("rep", "tokens")
     single = sets.filter("copies = 1").select("rep", F.col("rep").alias("row_id"))

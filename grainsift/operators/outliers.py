@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from typing import Optional, Sequence
+from typing import Mapping, Optional, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from grainsift.functions import fixed_values as fixed
 from grainsift.functions.columns import as_number, double_literal, number_sql, numeric_columns, quoted, text_literal
-from grainsift.operators.aggkit import tidy_aggregate, tidy_schema_rows
+from grainsift.operators.aggkit import long_aggregate, tidy_schema_rows
 from grainsift.operators.quantiles import exact_quantiles
 
 _DETAIL_SCHEMA = ("column_name string, method string, outlier_count long, outlier_fraction double, "
                   "lower_bound double, upper_bound double, suggested_cap double")
 
 
-def _rounded(value: Optional[float], places: int = 4) -> str:
-    return f"round({double_literal(value)}, {places})"
-
-
 def iqr_fences(df: DataFrame, columns: Sequence[str], k: float = fixed.IQR_MULTIPLIER
                ) -> dict[str, tuple[float, float]]:
     """Lower and upper fence per column that has values."""
@@ -29,9 +25,14 @@ def iqr_fences(df: DataFrame, columns: Sequence[str], k: float = fixed.IQR_MULTI
 
 def _moments(df: DataFrame, columns: Sequence[str], population: bool) -> dict[str, tuple[float, Optional[float]]]:
     spread = "stddev_pop" if population else "stddev_samp"
-    row = df.agg(*[F.expr(e) for i, c in enumerate(columns) for x in [number_sql(df, c)]
-                   for e in (f"avg({x}) AS a{i}", f"CASE WHEN count({x}) > 1 THEN {spread}({x}) END AS s{i}")]).first()
-    return {c: (row[f"a{i}"], row[f"s{i}"]) for i, c in enumerate(columns) if row[f"a{i}"] is not None}
+    items = [{"column_name": text_literal(c), "x": number_sql(df, c)} for c in columns]
+    found = long_aggregate(df, items, ["column_name"], {
+        "mean": "avg(x)", "spread": f"CASE WHEN count(x) > 1 THEN {spread}(x) END"}).collect()
+    return {r["column_name"]: (r["mean"], r["spread"]) for r in found if r["mean"] is not None}
+
+
+_OUTSIDE = "(x < low OR x > high)"
+_TAIL = "column_name string, method string, outlier_count long, outlier_fraction double"
 
 
 def _outside(x: str, low: float, high: float) -> str:
@@ -45,40 +46,41 @@ def _beyond(x: str, centre: float, spread: Optional[float], limit: float, scale:
             f"> {double_literal(limit)}")
 
 
-def _share(hits: str, whole: str) -> str:
-    return f"round(count_if({hits}) / CAST({whole} AS DOUBLE), 4)"
+def _with_figures(df: DataFrame, figures: Mapping[str, Sequence[Optional[float]]], names: Sequence[str]
+                  ) -> list[dict[str, str]]:
+    """Items for ``long_aggregate``: the number and the figures of its column, in table order."""
+    return [{"column_name": text_literal(c), "x": number_sql(df, c),
+             **{n: double_literal(v) for n, v in zip(names, figures[c])}} for c in figures]
+
+
+def _counted(df: DataFrame, items: list[dict[str, str]], method: str, hit: str, whole: str,
+             shown: Mapping[str, str]) -> DataFrame:
+    """Rows that satisfy ``hit`` per column, with the figures that decided it."""
+    if not items:
+        return tidy_schema_rows(df, [], _TAIL + "".join(f", {n} double" for n in shown))
+    counted = long_aggregate(df, items, ["column_name"], {
+        "method": f"'{method}'", "outlier_count": f"count_if({hit})",
+        "outlier_fraction": f"round(count_if({hit}) / CAST(greatest({whole}, 1) AS DOUBLE), 4)",
+        **{n: f"round({e}, 4)" for n, e in shown.items()}})
+    return counted
+
+
+_FENCES = {"lower_bound": "max(low)", "upper_bound": "max(high)"}
 
 
 def outliers_iqr(df: DataFrame, columns: Optional[Sequence[str]] = None, of_present: bool = False) -> DataFrame:
     """Values strictly outside the fences; the share is of all rows or of the present values."""
     columns = numeric_columns(df) if columns is None else columns
-    rows = []
-    for c, (low, high) in iqr_fences(df, columns).items():
-        x = number_sql(df, c)
-        hit = _outside(x, low, high)
-        rows.append({"column_name": text_literal(c), "method": "'iqr'", "outlier_count": f"count_if({hit})",
-                     "outlier_fraction": _share(hit, f"count({x})" if of_present else "count(1)"),
-                     "lower_bound": _rounded(low), "upper_bound": _rounded(high)})
-    return _report(df, rows, "column_name string, method string, outlier_count long, outlier_fraction double, "
-                             "lower_bound double, upper_bound double")
-
-
-def _report(df: DataFrame, rows: list[dict[str, str]], schema: str) -> DataFrame:
-    return tidy_aggregate(df, rows) if rows else tidy_schema_rows(df, [], schema)
+    items = _with_figures(df, iqr_fences(df, columns), ["low", "high"])
+    return _counted(df, items, "iqr", _OUTSIDE, "count(x)" if of_present else "count(1)", _FENCES)
 
 
 def outliers_zscore(df: DataFrame, columns: Optional[Sequence[str]] = None, population: bool = False) -> DataFrame:
     """Values more than three deviations from the mean (sample or population deviation)."""
     columns = numeric_columns(df) if columns is None else columns
-    rows = []
-    for c, (mean, std) in _moments(df, columns, population).items():
-        x = number_sql(df, c)
-        hit = _beyond(x, mean, std, fixed.Z_SCORE_THRESHOLD)
-        rows.append({"column_name": text_literal(c), "method": "'zscore'", "outlier_count": f"count_if({hit})",
-                     "outlier_fraction": _share(hit, f"count({x})" if population else "count(1)"),
-                     "mean": _rounded(mean), "std": _rounded(std)})
-    return _report(df, rows, "column_name string, method string, outlier_count long, outlier_fraction double, "
-                             "mean double, std double")
+    items = _with_figures(df, _moments(df, columns, population), ["centre", "spread"])
+    return _counted(df, items, "zscore", f"spread > 0 AND abs((x - centre) / spread) > {fixed.Z_SCORE_THRESHOLD}D",
+                    "count(x)" if population else "count(1)", {"mean": "max(centre)", "std": "max(spread)"})
 
 
 def _median_and_mad(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -91,14 +93,10 @@ def _median_and_mad(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[fl
 def outliers_modified_zscore(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:
     """Distance from the median in units of the median absolute deviation."""
     columns = numeric_columns(df) if columns is None else columns
-    rows = []
-    for c, (median, mad) in _median_and_mad(df, columns).items():
-        hit = _beyond(number_sql(df, c), median, mad, fixed.Z_SCORE_THRESHOLD, fixed.MODIFIED_Z_SCALE)
-        rows.append({"column_name": text_literal(c), "method": "'modified_zscore'",
-                     "outlier_count": f"count_if({hit})", "outlier_fraction": _share(hit, "count(1)"),
-                     "median": _rounded(median), "mad": _rounded(mad)})
-    return _report(df, rows, "column_name string, method string, outlier_count long, outlier_fraction double, "
-                             "median double, mad double")
+    items = _with_figures(df, _median_and_mad(df, columns), ["centre", "spread"])
+    hit = (f"spread > 0 AND abs({fixed.MODIFIED_Z_SCALE}D * (x - centre) / spread) "
+           f"> {fixed.Z_SCORE_THRESHOLD}D")
+    return _counted(df, items, "modified_zscore", hit, "count(1)", {"median": "max(centre)", "mad": "max(spread)"})
 
 
 def outlier_rows(df: DataFrame, column: str, row_id: str, method: str = "iqr") -> DataFrame:
@@ -131,24 +129,21 @@ def outlier_details(df: DataFrame, method: str = "iqr", columns: Optional[Sequen
     if not columns:
         return tidy_schema_rows(df, [], _DETAIL_SCHEMA)
     figures = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.75, 0.99]) for c in columns}, sizes=sizes)
-    moments = _moments(df, columns, population=True) if method == "zscore" else {}
-    rows = []
-    for c, (q1, q3, cap) in figures.items():
-        if q1 is None:
-            continue
-        x = number_sql(df, c)
-        low = high = None
-        if method == "iqr":
-            low = q1 - fixed.IQR_MULTIPLIER * (q3 - q1)
-            high = q3 + fixed.IQR_MULTIPLIER * (q3 - q1)
-            hit = _outside(x, low, high)
-        else:
-            hit = _beyond(x, *moments[c], fixed.Z_SCORE_THRESHOLD)
-        rows.append({"column_name": text_literal(c), "method": f"'{method}'", "outlier_count": f"count_if({hit})",
-                     "outlier_fraction": _share(hit, f"count({x})"), "lower_bound": _rounded(low),
-                     "upper_bound": _rounded(high),
-                     "suggested_cap": f"CASE WHEN count_if({hit}) > 0 THEN {_rounded(cap)} END"})
-    return _report(df, rows, _DETAIL_SCHEMA)
+    hit = _OUTSIDE
+    if method == "iqr":
+        k = fixed.IQR_MULTIPLIER
+        rows = {c: (q1 - k * (q3 - q1), q3 + k * (q3 - q1), cap) for c, (q1, q3, cap) in figures.items()
+                if q1 is not None}
+        items = _with_figures(df, rows, ["low", "high", "cap"])
+        shown = _FENCES
+    else:
+        moments = _moments(df, columns, population=True)
+        rows = {c: (*moments[c], figures[c][2]) for c in moments}
+        items = _with_figures(df, rows, ["centre", "spread", "cap"])
+        hit = f"spread > 0 AND abs((x - centre) / spread) > {fixed.Z_SCORE_THRESHOLD}D"
+        shown = {"lower_bound": "CAST(NULL AS DOUBLE)", "upper_bound": "CAST(NULL AS DOUBLE)"}
+    return _counted(df, items, method, hit, "count(x)", {
+        **shown, "suggested_cap": f"CASE WHEN count_if({hit}) > 0 THEN max(cap) END"})
 
 
 def cap_bounds(df: DataFrame, names: Sequence[str], method: str, iqr_multiplier: float,
@@ -195,19 +190,15 @@ def boxplot_stats(df: DataFrame, columns: Optional[Sequence[str]] = None) -> Dat
     """Five-number summary and whiskers that end at the furthest value inside the fences."""
     columns = numeric_columns(df) if columns is None else columns
     figures = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.5, 0.75]) for c in columns})
-    rows = []
-    for c, (q1, median, q3) in figures.items():
-        if q1 is None:
-            continue
-        x = number_sql(df, c)
-        hit = _outside(x, q1 - fixed.IQR_MULTIPLIER * (q3 - q1), q3 + fixed.IQR_MULTIPLIER * (q3 - q1))
-        inside = f"CASE WHEN NOT {hit} THEN {x} END"
-        rows.append({"column_name": text_literal(c), "min": f"min({x})", "q1": _rounded(q1),
-                     "median": _rounded(median), "q3": _rounded(q3), "max": f"max({x})",
-                     "whisker_low": f"min({inside})", "whisker_high": f"max({inside})",
-                     "outlier_count": f"count_if({hit})"})
-    return _report(df, rows, "column_name string, min double, q1 double, median double, q3 double, max double, "
-                             "whisker_low double, whisker_high double, outlier_count long")
+    k = fixed.IQR_MULTIPLIER
+    items = _with_figures(df, {c: (q1, median, q3, q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+                               for c, (q1, median, q3) in figures.items() if q1 is not None},
+                          ["q1", "q2", "q3", "low", "high"])
+    inside = f"CASE WHEN NOT {_OUTSIDE} THEN x END"
+    return long_aggregate(df, items, ["column_name"], {
+        "min": "min(x)", "q1": "round(max(q1), 4)", "median": "round(max(q2), 4)", "q3": "round(max(q3), 4)",
+        "max": "max(x)", "whisker_low": f"min({inside})", "whisker_high": f"max({inside})",
+        "outlier_count": f"count_if({_OUTSIDE})"})
 
 
 def outliers_ranked(df: DataFrame) -> DataFrame:

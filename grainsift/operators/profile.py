@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainsift.functions.columns import (
     as_number, double_literal, kind_label, number_sql, numeric_columns, present_sql, text_literal)
-from grainsift.operators.aggkit import distinct_counts, tidy_aggregate
+from grainsift.operators.aggkit import distinct_counts, long_aggregate, tidy_aggregate
 from grainsift.operators.quantiles import exact_quantiles
 
 
@@ -42,33 +42,26 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def profile_numeric(df: DataFrame) -> DataFrame:
     """Mean, sample deviation, range and bias-corrected skewness; booleans count as numbers."""
-    rows = []
-    for f in df.schema:
-        if not isinstance(f.dataType, (T.NumericType, T.BooleanType)):
-            continue
-        x = number_sql(df, f.name)
-        n = f"CAST(count({x}) AS DOUBLE)"
-        rows.append({
-            "column_name": text_literal(f.name), "mean": f"avg({x})",
-            "std": f"CASE WHEN {n} > 1 THEN stddev_samp({x}) END", "min": f"min({x})", "max": f"max({x})",
-            "skew": f"CASE WHEN {n} >= 3 THEN CASE WHEN stddev_pop({x}) = 0 THEN 0.0D ELSE "
-                    f"skewness({x}) * sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0.0D) END END"})
-    return tidy_aggregate(df, rows)
+    items = [{"column_name": text_literal(f.name), "x": number_sql(df, f.name)} for f in df.schema
+             if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    n = "CAST(count(x) AS DOUBLE)"
+    return long_aggregate(df, items, ["column_name"], {
+        "mean": "avg(x)", "std": f"CASE WHEN {n} > 1 THEN stddev_samp(x) END", "min": "min(x)", "max": "max(x)",
+        "skew": f"CASE WHEN {n} >= 3 THEN CASE WHEN stddev_pop(x) = 0 THEN 0.0D ELSE "
+                f"skewness(x) * sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0.0D) END END"})
 
 
 def describe_numeric(df: DataFrame) -> DataFrame:
     """Count, mean, deviation and five-number summary per number column, to four places."""
     names = numeric_columns(df)
     quartiles = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.5, 0.75]) for c in names})
-    rows = []
-    for c in names:
-        x = number_sql(df, c)
-        row = {"column_name": text_literal(c), "n": f"count({x})", "mean": f"round(avg({x}), 4)",
-               "std": f"round(CASE WHEN count({x}) > 1 THEN stddev_samp({x}) END, 4)", "min": f"round(min({x}), 4)"}
-        for label, value in zip(("p25", "p50", "p75"), quartiles[c]):
-            row[label] = f"round({double_literal(value)}, 4)"
-        rows.append({**row, "max": f"round(max({x}), 4)"})
-    return tidy_aggregate(df, rows)
+    items = [{"column_name": text_literal(c), "x": number_sql(df, c),
+              **{f"q{i}": double_literal(v) for i, v in enumerate(quartiles[c])}} for c in names]
+    return long_aggregate(df, items, ["column_name"], {
+        "n": "count(x)", "mean": "round(avg(x), 4)",
+        "std": "round(CASE WHEN count(x) > 1 THEN stddev_samp(x) END, 4)", "min": "round(min(x), 4)",
+        "p25": "round(max(q0), 4)", "p50": "round(max(q1), 4)", "p75": "round(max(q2), 4)",
+        "max": "round(max(x), 4)"})
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from grainsift.functions import fixed_values as fixed
 from grainsift.functions.columns import object_columns
 from grainsift.functions.text import has_encoding_issue, language, reading_ease, words
-from grainsift.operators.aggkit import tidy_aggregate, tidy_schema_rows
+from grainsift.operators.aggkit import spread, tidy_aggregate, tidy_schema_rows
 
 Columns = Union[str, Sequence[str]]
 LANGUAGES = [*fixed.STOPWORDS, "other"]
@@ -40,11 +40,12 @@ def resolve_columns(df: DataFrame, columns: Columns) -> list[str]:
 
 def pii_scan(df: DataFrame, columns: Columns = "text") -> DataFrame:
     """Rows that match each personal-data pattern, per text column, in one scan."""
+    names = resolve_columns(df, columns)
     rows = [{"column_name": F.lit(c), "pii_type": F.lit(kind), "n_rows": F.count_if(F.col(c).rlike(pattern))}
-            for c in resolve_columns(df, columns) for kind, pattern in fixed.PII_PATTERNS.items()]
+            for c in names for kind, pattern in fixed.PII_PATTERNS.items()]
     if not rows:
         return tidy_schema_rows(df, [], "column_name string, pii_type string, n_rows long, detected boolean")
-    return tidy_aggregate(df, rows).withColumn("detected", F.col("n_rows") > 0)
+    return tidy_aggregate(spread(df.select(*names)), rows).withColumn("detected", F.col("n_rows") > 0)
 
 
 def language_mix(df: DataFrame, columns: Columns = "text") -> DataFrame:
@@ -53,7 +54,7 @@ def language_mix(df: DataFrame, columns: Columns = "text") -> DataFrame:
     empty = "column_name string, language string, n_rows long, fraction double"
     if not names:
         return tidy_schema_rows(df, [], empty)
-    labels = df.select(*[language(F.col(c)).alias(c) for c in names])
+    labels = spread(df.select(*names)).select(*[language(F.col(c)).alias(c) for c in names])
     rows = [{"column_name": F.lit(c), "language": F.lit(lang), "n_rows": F.count_if(F.col(c) == lang),
              "total": F.count(c)} for c in names for lang in LANGUAGES]
     return (tidy_aggregate(labels, rows).filter("n_rows > 0")
@@ -65,7 +66,7 @@ def readability(df: DataFrame, columns: Columns = "text") -> DataFrame:
     names = resolve_columns(df, columns)
     if not names:
         return tidy_schema_rows(df, [], "column_name string, n_scored long, avg_readability double")
-    scores = df.select(*[reading_ease(F.col(c)).alias(c) for c in names])
+    scores = spread(df.select(*names)).select(*[reading_ease(F.col(c)).alias(c) for c in names])
     return tidy_aggregate(scores, [
         {"column_name": F.lit(c), "n_scored": F.count(c), "avg_readability": F.round(F.avg(c), 2)} for c in names])
 
@@ -116,7 +117,7 @@ def nlp_report(df: DataFrame, columns: Columns = "text", gazetteer: Optional[Dat
               "encoding_issues long, entity_leakage boolean, entity_types string")
     if not names:
         return tidy_schema_rows(df, [], schema)
-    prepared = df.select(*[e for i, c in enumerate(names) for e in (
+    prepared = spread(df.select(*names)).select(*[e for i, c in enumerate(names) for e in (
         F.col(c).alias(f"t{i}"), language(F.col(c)).alias(f"l{i}"), reading_ease(F.col(c)).alias(f"r{i}"))])
     rows = []
     for i, c in enumerate(names):

@@ -8,8 +8,8 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainsift.functions import fixed_values as fixed
-from grainsift.functions.columns import object_columns
-from grainsift.operators.aggkit import few_valued, tidy_aggregate, tidy_schema_rows
+from grainsift.functions.columns import object_columns, quoted, text_literal
+from grainsift.operators.aggkit import few_valued, long_aggregate, spread, tidy_schema_rows
 
 _CATEGORY_VALUES = 30
 _CATEGORY_SHARE = 0.10
@@ -31,7 +31,7 @@ def infer_types(df: DataFrame, sample_rows: Optional[int] = None,
     if not names:
         return tidy_schema_rows(df, [], schema)
     if sample_rows is None:
-        shares = _shares(df, names)
+        shares = _shares(spread(df.select(*names)), names)
     else:
         shares = reduce(DataFrame.unionByName, [
             _shares(df.filter(F.col(c).isNotNull()).orderBy(*(order_by or [c])).limit(sample_rows), [c])
@@ -56,18 +56,16 @@ def infer_types(df: DataFrame, sample_rows: Optional[int] = None,
 
 
 def _shares(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    rows = []
-    for c in names:
-        text, number = F.col(c), _as_double(F.col(c))
-        rows.append({
-            "column_name": F.lit(c), "n": F.count(text),
-            "booleans": F.count_if(text.rlike(fixed.BOOLEAN_PATTERN)),
-            "integers": F.count_if(text.rlike(fixed.INTEGER_PATTERN)),
-            "floats": F.count_if(text.rlike(fixed.FLOAT_PATTERN)),
-            "dates": F.count_if(text.rlike(fixed.DATE_PATTERN)),
-            "numbers": F.count(F.when(~F.isnan(number), number)),
-            "wholes": F.count_if(number % 1 == 0)})
-    return tidy_aggregate(df, rows)
+    def matches(pattern: str) -> str:
+        return f"count_if(text RLIKE {text_literal(pattern)})"
+
+    number = "try_cast(trim(text) AS DOUBLE)"
+    counted = long_aggregate(df, [{"column_name": text_literal(c), "text": quoted(c)} for c in names], ["column_name"], {
+        "n": "count(text)", "booleans": matches(fixed.BOOLEAN_PATTERN), "integers": matches(fixed.INTEGER_PATTERN),
+        "floats": matches(fixed.FLOAT_PATTERN), "dates": matches(fixed.DATE_PATTERN),
+        "numbers": f"count(nullif({number}, double('NaN')))", "wholes": f"count_if({number} % 1 = 0)"})
+    listed = tidy_schema_rows(df, [(c,) for c in names], "column_name string")
+    return listed.join(counted, "column_name", "left").na.fill(0)
 
 
 def parse_date(text: Column) -> Column:
