@@ -93,5 +93,5 @@ def outliers_isolation_forest(df: DataFrame, column: str, row_id: str,
                               contamination: float = fixed.FOREST_CONTAMINATION) -> DataFrame:
     """Rows whose score lies above the contamination quantile."""
     scored = isolation_scores(df, column, row_id)
-    cut = exact_quantiles(scored, {"score": (F.col("score"), [1.0 - contamination])})["score"][0]
+    cut = exact_quantiles(scored, {"score": ("score", [1.0 - contamination])})["score"][0]
     return scored.filter(F.col("score") > F.lit(cut))

@@ -7,7 +7,7 @@ from typing import Mapping, Optional, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from grainsift.config import IMPUTATION_STRATEGIES
-from grainsift.functions.columns import as_number, present
+from grainsift.functions.columns import as_number, number_sql, present
 from grainsift.operators.aggkit import tidy_schema_rows
 from grainsift.operators.ordering import bucket_of, order_bounds
 from grainsift.operators.quantiles import exact_quantiles
@@ -71,7 +71,7 @@ def fill_values(df: DataFrame, strategies: Mapping[str, str]) -> dict[str, objec
         row = df.agg(*[F.avg(as_number(df, c)).alias(c) for c in means]).first()
         values.update({c: row[c] for c in means})
     if medians:
-        found = exact_quantiles(df, {c: (as_number(df, c), [0.5]) for c in medians})
+        found = exact_quantiles(df, {c: (number_sql(df, c), [0.5]) for c in medians})
         values.update({c: found[c][0] for c in medians})
     for c in strategies:
         if c not in values and strategies[c] in ("mean", "median", "mode"):

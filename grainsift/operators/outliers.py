@@ -7,7 +7,7 @@ from typing import Mapping, Optional, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from grainsift.functions import fixed_values as fixed
-from grainsift.functions.columns import as_number, double_literal, number_sql, numeric_columns, quoted, text_literal
+from grainsift.functions.columns import double_literal, number_sql, numeric_columns, quoted, text_literal
 from grainsift.operators.aggkit import long_aggregate, tidy_schema_rows
 from grainsift.operators.quantiles import exact_quantiles
 
@@ -18,7 +18,7 @@ _DETAIL_SCHEMA = ("column_name string, method string, outlier_count long, outlie
 def iqr_fences(df: DataFrame, columns: Sequence[str], k: float = fixed.IQR_MULTIPLIER
                ) -> dict[str, tuple[float, float]]:
     """Lower and upper fence per column that has values."""
-    quartiles = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.75]) for c in columns})
+    quartiles = exact_quantiles(df, {c: (number_sql(df, c), [0.25, 0.75]) for c in columns})
     return {c: (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
             for c, (q1, q3) in quartiles.items() if q1 is not None}
 
@@ -85,8 +85,8 @@ def outliers_zscore(df: DataFrame, columns: Optional[Sequence[str]] = None, popu
 
 def _median_and_mad(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     medians = {c: m[0] for c, m in exact_quantiles(
-        df, {c: (as_number(df, c), [0.5]) for c in columns}).items() if m[0] is not None}
-    mads = exact_quantiles(df, {c: (F.abs(as_number(df, c) - F.lit(m)), [0.5]) for c, m in medians.items()})
+        df, {c: (number_sql(df, c), [0.5]) for c in columns}).items() if m[0] is not None}
+    mads = exact_quantiles(df, {c: (f"abs({number_sql(df, c)} - {double_literal(m)})", [0.5]) for c, m in medians.items()})
     return {c: (m, mads[c][0]) for c, m in medians.items()}
 
 
@@ -128,7 +128,7 @@ def outlier_details(df: DataFrame, method: str = "iqr", columns: Optional[Sequen
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return tidy_schema_rows(df, [], _DETAIL_SCHEMA)
-    figures = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.75, 0.99]) for c in columns}, sizes=sizes)
+    figures = exact_quantiles(df, {c: (number_sql(df, c), [0.25, 0.75, 0.99]) for c in columns}, sizes=sizes)
     hit = _OUTSIDE
     if method == "iqr":
         k = fixed.IQR_MULTIPLIER
@@ -152,7 +152,7 @@ def cap_bounds(df: DataFrame, names: Sequence[str], method: str, iqr_multiplier:
     if not names:
         return {}
     if method == "iqr":
-        fences = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.75]) for c in names})
+        fences = exact_quantiles(df, {c: (number_sql(df, c), [0.25, 0.75]) for c in names})
         return {c: (q1 - iqr_multiplier * (q3 - q1), q3 + iqr_multiplier * (q3 - q1))
                 for c, (q1, q3) in fences.items() if q1 is not None and q3 != q1}
     return {c: (mean - zscore_threshold * std, mean + zscore_threshold * std)
@@ -189,7 +189,7 @@ def cap_outliers(df: DataFrame, method: str = "iqr", cap: bool = True,
 def boxplot_stats(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:
     """Five-number summary and whiskers that end at the furthest value inside the fences."""
     columns = numeric_columns(df) if columns is None else columns
-    figures = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.5, 0.75]) for c in columns})
+    figures = exact_quantiles(df, {c: (number_sql(df, c), [0.25, 0.5, 0.75]) for c in columns})
     k = fixed.IQR_MULTIPLIER
     items = _with_figures(df, {c: (q1, median, q3, q1 - k * (q3 - q1), q3 + k * (q3 - q1))
                                for c, (q1, median, q3) in figures.items() if q1 is not None},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainsift.functions.columns import (
-    as_number, double_literal, kind_label, number_sql, numeric_columns, present_sql, text_literal)
+    double_literal, kind_label, number_sql, numeric_columns, present_sql, text_literal)
 from grainsift.operators.aggkit import distinct_counts, long_aggregate, tidy_aggregate
 from grainsift.operators.quantiles import exact_quantiles
 
@@ -54,7 +54,7 @@ def profile_numeric(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame) -> DataFrame:
     """Count, mean, deviation and five-number summary per number column, to four places."""
     names = numeric_columns(df)
-    quartiles = exact_quantiles(df, {c: (as_number(df, c), [0.25, 0.5, 0.75]) for c in names})
+    quartiles = exact_quantiles(df, {c: (number_sql(df, c), [0.25, 0.5, 0.75]) for c in names})
     items = [{"column_name": text_literal(c), "x": number_sql(df, c),
               **{f"q{i}": double_literal(v) for i, v in enumerate(quartiles[c])}} for c in names]
     return long_aggregate(df, items, ["column_name"], {
