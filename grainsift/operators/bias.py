@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from typing import Optional, Sequence
+from typing import Iterator, Optional, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainsift.functions import fixed_values as fixed
 from grainsift.functions.columns import (
-    cell_sql, cell_text, is_categorical, number_sql, numeric_columns, quoted, text_literal)
-from grainsift.operators.aggkit import long_aggregate, tidy_aggregate, tidy_schema_rows, value_counts
+    cell_sql, cell_text, double_literal, is_categorical, number_sql, numeric_columns, quoted, text_literal)
+from grainsift.operators.aggkit import spread, tidy_aggregate, tidy_schema_rows, value_counts
 from grainsift.operators.materialize import materialize
 from grainsift.operators.ordering import with_position
 
@@ -293,15 +295,42 @@ def crosstab_totals(df: DataFrame, x: str, y: str) -> DataFrame:
 # --- correlation between number columns -------------------------------------------------
 
 def correlation_matrix(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:
-    """|Pearson| for every pair of number columns over the rows where both are present, in one scan."""
+    """|Pearson| for every pair of number columns over the rows where both are present.
+
+    One scan for the means, one for the sums of all pairs at once as matrix products per batch;
+    the shifted values keep the sums small, and only one row per pair and partition is shuffled.
+    """
     columns = numeric_columns(df) if columns is None else columns
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     if not pairs:
         return tidy_schema_rows(df, [], "column_a string, column_b string, correlation double")
-    items = [{"column_a": text_literal(a), "column_b": text_literal(b),
-              "x": number_sql(df, a), "y": number_sql(df, b)} for a, b in pairs]
-    return long_aggregate(df, items, ["column_a", "column_b"], {
-        "correlation": "coalesce(nullif(abs(corr(x, y)), double('NaN')), 0.0D)"})
+    row = df.agg(*[F.expr(f"avg({number_sql(df, c)})") for c in columns]).first()
+    shifted = spread(df.selectExpr(*[f"{number_sql(df, c)} - {double_literal(m or 0.0)} AS x{i}"
+                                     for i, (c, m) in enumerate(zip(columns, row))]))
+    sums = (shifted.mapInPandas(_pair_sums, "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+            .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]))
+    names = f"array({', '.join(text_literal(c) for c in columns)})"
+    spread_xy = "sqrt(greatest(xx - x * x / n, 0.0D) * greatest(yy - y * y / n, 0.0D))"
+    return sums.selectExpr(
+        f"{names}[a] AS column_a", f"{names}[b] AS column_b",
+        f"coalesce(least(1.0D, abs(xy - x * y / n) / nullif({spread_xy}, 0.0D)), 0.0D) AS correlation")
+
+
+def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums over the rows where both columns of a pair are present, one row per pair and partition."""
+    total = None
+    for batch in batches:
+        x = batch.to_numpy(dtype="float64")
+        seen = ~np.isnan(x)
+        x = np.where(seen, x, 0.0)
+        here = seen.astype("float64")
+        sums = np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
+        total = sums if total is None else total + sums
+    if total is not None:
+        a, b = np.triu_indices(total.shape[1], k=1)
+        n, first, squares, products = total
+        yield pd.DataFrame({"a": a, "b": b, "n": n[a, b], "x": first[a, b], "y": first[b, a],
+                            "xx": squares[a, b], "yy": squares[b, a], "xy": products[a, b]})
 
 
 def redundant_columns(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:

@@ -51,13 +51,22 @@ def _grow(values: np.ndarray, rng: np.random.Generator) -> tuple[list[float], li
 
 
 def tree_samples(df: DataFrame, column: str, row_id: str, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
-    """(tree, value) rows: a hashed pool of fixed size, of which each tree takes its own part."""
-    x = as_number(df, column).alias("value")
-    pool = (df.select(F.col(row_id).alias("_id"), x).filter("value IS NOT NULL")
-            .orderBy(F.xxhash64("_id", F.lit(fixed.FOREST_SEED)), "_id").limit(trees * sample))
-    dealt = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree"), "_id")
-    return dealt.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample).select("tree", "value")
+    """(tree, value) rows, ``sample`` hashed values per tree.
+
+    A long column deals the first rows in hash order out to the trees; in a short one the trees
+    draw each on their own. Either way the number of rows is fixed by the forest, not the table.
+    """
+    values = df.select(F.col(row_id).alias("_id"), as_number(df, column).alias("value")).filter("value IS NOT NULL")
+    n = values.count()
+    if n >= trees * sample:
+        pool = values.orderBy(F.xxhash64("_id", F.lit(fixed.FOREST_SEED)), "_id").limit(trees * sample)
+        place = F.row_number().over(Window.orderBy(F.xxhash64("_id", F.lit(fixed.FOREST_SEED)), "_id"))
+        return pool.select((place % trees).alias("tree"), "value")
+    drawn = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    chance = min(1.0, 2.0 * sample / max(n, 1))
+    drawn = drawn.filter(F.pmod(F.xxhash64("_id", "tree"), F.lit(1_000_000)) < int(chance * 1_000_000))
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "_id"), "_id")
+    return drawn.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample).select("tree", "value")
 
 
 def isolation_scores(df: DataFrame, column: str, row_id: str, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
