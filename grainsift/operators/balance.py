@@ -84,7 +84,7 @@ def imbalance_severity(df: DataFrame, target: str, display: bool = False) -> Dat
 
 def drift_vulnerability(df: DataFrame, target: str) -> DataFrame:
     score = F.least(F.lit(1.0), F.col("raw_ratio") / 10.0 + (1.0 - F.col("shannon_entropy")))
-    return class_stats(df, target).select(F.round(score, 6).alias("drift_vulnerability"))
+    return class_stats(df, target).filter("n_classes > 0").select(F.round(score, 6).alias("drift_vulnerability"))
 
 
 def rebalance_plan(df: DataFrame, target: str) -> DataFrame:

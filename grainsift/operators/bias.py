@@ -304,16 +304,20 @@ def correlation_matrix(df: DataFrame, columns: Optional[Sequence[str]] = None) -
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     if not pairs:
         return tidy_schema_rows(df, [], "column_a string, column_b string, correlation double")
-    row = df.agg(*[F.expr(f"avg({number_sql(df, c)})") for c in columns]).first()
+    # a column of one value is shifted by that value, so that nothing but zeros is left of it
+    row = df.agg(*[F.expr(f"CASE WHEN min({x}) = max({x}) THEN min({x}) ELSE avg({x}) END")
+                   for c in columns for x in [number_sql(df, c)]]).first()
     shifted = spread(df.selectExpr(*[f"{number_sql(df, c)} - {double_literal(m or 0.0)} AS x{i}"
                                      for i, (c, m) in enumerate(zip(columns, row))]))
     sums = (shifted.mapInPandas(_pair_sums, "a int, b int, n double, x double, y double, xx double, yy double, xy double")
             .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]))
     names = f"array({', '.join(text_literal(c) for c in columns)})"
-    spread_xy = "sqrt(greatest(xx - x * x / n, 0.0D) * greatest(yy - y * y / n, 0.0D))"
+    # what rounding leaves of a variance of zero is no variance
+    left = "CASE WHEN {0}{0} - {0} * {0} / n > 1e-12D * {0}{0} THEN {0}{0} - {0} * {0} / n ELSE 0.0D END"
+    spread_xy = f"sqrt({left.format('x')} * {left.format('y')})"
     return sums.selectExpr(
         f"{names}[a] AS column_a", f"{names}[b] AS column_b",
-        f"coalesce(least(1.0D, abs(xy - x * y / n) / nullif({spread_xy}, 0.0D)), 0.0D) AS correlation")
+        f"CASE WHEN {spread_xy} > 0 THEN least(1.0D, abs(xy - x * y / n) / {spread_xy}) ELSE 0.0D END AS correlation")
 
 
 def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
