@@ -51,10 +51,12 @@ def long_aggregate(df: DataFrame, items: Sequence[Mapping[str, str]], keys: Sequ
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input over all cores before work that is heavy per row.
 
-    An input with enough partitions, as every large one has, is left as it is.
+    An input with enough files or enough splits, as every large one has, is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= wanted or df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted)
 
 
 def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
