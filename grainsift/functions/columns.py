@@ -76,6 +76,11 @@ def cell_sql(df: DataFrame, name: str) -> str:
     return f"CAST({present_sql(df, name)} AS STRING)"
 
 
+def short_sql(cell: str) -> str:
+    """A text that stands for the cell when only equality counts: long ones travel as a digest."""
+    return f"CASE WHEN length({cell}) > 64 THEN concat('#', sha2({cell}, 256)) ELSE {cell} END"
+
+
 def as_number(df: DataFrame, name: str) -> Column:
     return F.expr(number_sql(df, name))
 

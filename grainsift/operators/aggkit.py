@@ -6,7 +6,7 @@ from typing import Mapping, Sequence, Union
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from grainsift.functions.columns import cell_sql, cell_text, text_literal
+from grainsift.functions.columns import cell_sql, cell_text, quoted, short_sql, text_literal
 
 SKETCH_SIZE = 12
 
@@ -76,7 +76,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
         return tidy_aggregate(df, [
             {"column_name": text_literal(c), "unique_count": distinct_sketch(cell_sql(df, c))}
             for c in columns])
-    counted = value_counts(df, columns).groupBy("column_name").agg(F.count("*").alias("unique_count"))
+    short = df.selectExpr(*[f"{short_sql(cell_sql(df, c))} AS {quoted(c)}" for c in columns])
+    counted = (cells(short, columns).distinct().groupBy("column_name").agg(F.count("*").alias("unique_count")))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     return (names.join(F.broadcast(counted), "column_name", "left")
             .select("column_name", F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainsift.functions import fixed_values as fixed
 from grainsift.functions.columns import (
-    cell_sql, cell_text, double_literal, is_categorical, number_sql, numeric_columns, quoted, text_literal)
+    cell_sql, cell_text, double_literal, is_categorical, number_sql, numeric_columns, quoted, short_sql, text_literal)
 from grainsift.operators.aggkit import spread, tidy_aggregate, tidy_schema_rows, value_counts
 from grainsift.operators.materialize import materialize
 from grainsift.operators.ordering import with_position
@@ -155,7 +155,7 @@ def categorical_proxies(df: DataFrame, sensitive: Sequence[str], others: Sequenc
     the totals of the other value, which come from the same grouping.
     """
     def filled(c: str) -> str:
-        return f"coalesce({cell_sql(df, c)}, '{_NULL_TEXT}')"
+        return f"coalesce({short_sql(cell_sql(df, c))}, '{_NULL_TEXT}')"
 
     wide = df.selectExpr(*[f"{filled(s)} AS s{i}" for i, s in enumerate(sensitive)],
                          *[f"{filled(c)} AS o{i}" for i, c in enumerate(others)])

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from grainsift.functions.columns import sort_key
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 20
+MAX_BUCKETS = 32_768
+SAMPLES_PER_BUCKET = 8
 
 
 def order_bounds(df: DataFrame, order_by: Sequence[str], rows_per_bucket: Optional[int] = None) -> list[tuple]:
@@ -29,7 +29,7 @@ def order_bounds(df: DataFrame, order_by: Sequence[str], rows_per_bucket: Option
         return []
     wanted = buckets * SAMPLES_PER_BUCKET
     keys = df.select(*[sort_key(df, c).alias(f"k{i}") for i, c in enumerate(order_by)])
-    sample = keys.na.drop().sample(min(1.0, 1.5 * wanted / n), seed=7).limit(4 * wanted).collect()
+    sample = keys.na.drop().sample(min(1.0, 1.5 * wanted / n), seed=7).limit(2 * wanted).collect()
     ordered = sorted({tuple(r) for r in sample})
     step = max(1, len(ordered) // buckets)
     return ordered[step::step]

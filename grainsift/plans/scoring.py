@@ -148,7 +148,8 @@ class Analysis:
         target = self.config.target_column
         if not target or target not in self.data.columns:
             return None
-        return self._once("classes", lambda: balance.class_distribution(self.data, target))
+        # a target may have many classes, so they stay with the executors
+        return balance.class_distribution(self.data, target)
 
     @property
     def measures(self) -> DataFrame:
