@@ -61,14 +61,21 @@ def language_mix(df: DataFrame, columns: Columns = "text") -> DataFrame:
             .select("column_name", "language", "n_rows", F.round(F.col("n_rows") / F.col("total"), 4).alias("fraction")))
 
 
+def _mean_score(name: str) -> Column:
+    """Mean of scores of two places, rounded to two places in whole hundredths: exact in any order."""
+    return F.expr(f"CAST((2 * sum(CAST(round({name} * 100) AS BIGINT)) + count({name})) "
+                  f"div nullif(2 * count({name}), 0) AS DOUBLE) / 100")
+
+
 def readability(df: DataFrame, columns: Columns = "text") -> DataFrame:
     """Mean reading ease of the texts that have words."""
     names = resolve_columns(df, columns)
     if not names:
         return tidy_schema_rows(df, [], "column_name string, n_scored long, avg_readability double")
-    scores = spread(df.select(*names)).select(*[reading_ease(F.col(c)).alias(c) for c in names])
+    scores = spread(df.select(*names)).select(*[reading_ease(F.col(c)).alias(f"r{i}") for i, c in enumerate(names)])
     return tidy_aggregate(scores, [
-        {"column_name": F.lit(c), "n_scored": F.count(c), "avg_readability": F.round(F.avg(c), 2)} for c in names])
+        {"column_name": F.lit(c), "n_scored": F.count(f"r{i}"), "avg_readability": _mean_score(f"r{i}")}
+        for i, c in enumerate(names)])
 
 
 def encoding_issues(df: DataFrame, columns: Columns = "text", ignore_ws: bool = False) -> DataFrame:
@@ -126,7 +133,7 @@ def nlp_report(df: DataFrame, columns: Columns = "text", gazetteer: Optional[Dat
         mix = F.array(*[F.when(F.count_if(F.col(f"l{i}") == lang) > 0, F.concat_ws(
             ":", F.lit(lang), F.count_if(F.col(f"l{i}") == lang).cast("string"))) for lang in LANGUAGES])
         rows.append({"column_name": F.lit(c), "n_texts": F.count(text), "pii_types": F.array_join(pii, ","),
-                     "language_mix": F.array_join(mix, ","), "avg_readability": F.round(F.avg(f"r{i}"), 2),
+                     "language_mix": F.array_join(mix, ","), "avg_readability": _mean_score(f"r{i}"),
                      "encoding_issues": F.count_if(has_encoding_issue(text))})
     report = tidy_aggregate(prepared, rows)
     if gazetteer is None:

@@ -66,8 +66,13 @@ round(greatest(0::DOUBLE, least(100::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * w
 FROM (SELECT len({_WORDS}) AS w, {_SENTENCES} AS s, {_SYLLABLES} AS y FROM #)"""
 
 
+# the mean in whole hundredths, half up, so that the order of summing cannot change it
+_MEAN = ("CAST((2 * CAST(sum(CAST(round(ease * 100) AS BIGINT)) AS BIGINT) + count(ease)) // nullif(2 * count(ease), 0) "
+         "AS DOUBLE) / 100")
+
+
 @register("readability", f"""
-WITH e AS ({_sources(_EASE)}) SELECT source_table, column_name, count(ease) AS n_scored, round(avg(ease), 2) AS avg_readability
+WITH e AS ({_sources(_EASE)}) SELECT source_table, column_name, count(ease) AS n_scored, {_MEAN} AS avg_readability
 FROM e GROUP BY source_table, column_name""")
 def readability(spark, sf):
     return _each_source(spark, sf, textscan.readability)
@@ -134,7 +139,7 @@ ease AS ({_EASE.replace('#', 'letters').replace('@', 'letter')}),
 mix AS (SELECT string_agg(concat(language, ':', n), ',' ORDER BY pos) AS language_mix FROM (SELECT language, count(*) AS n,
   CASE language WHEN 'en' THEN 0 WHEN 'es' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS pos FROM lang GROUP BY language))
 SELECT 'letter' AS column_name, count(letter) AS n_texts, {_NLP_PII} AS pii_types, (SELECT language_mix FROM mix) AS language_mix,
-(SELECT round(avg(ease), 2) FROM ease) AS avg_readability,
+(SELECT {_MEAN} FROM ease) AS avg_readability,
 count(*) FILTER (WHERE regexp_matches(letter, '[\\x00-\\x1F\\x7F-\\x{{9F}}\\x{{FFFD}}]')) AS encoding_issues,
 (SELECT count(*) > 0 FROM found) AS entity_leakage,
 (SELECT coalesce(string_agg(DISTINCT entity_type, ',' ORDER BY entity_type), '') FROM found) AS entity_types FROM letters""")
