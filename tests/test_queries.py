@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from grainsift import registry
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
+@pytest.mark.parametrize("key", list(registry.QUERIES))
 def test_query(spark, duck, key):
     df = entry.queries()[key](spark, SF)
     sql = entry.oracle_sql().get(key)
