@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainsift.llm import mixing, sharding
+from grainsift.llm import licenses, mixing, sharding
 from grainsift.llm.common import table
 from grainsift.operators.materialize import materialize
 
@@ -35,3 +35,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     facts = materialize(mixing.with_facts(docs).select("doc_id", "source", "size", "mix_key"))
     return mixing.mix_plan(facts).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+
+
+@_register("op4_licenses")
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).drop("text", "detections")
