@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainsift.llm import licenses, minhash, mixing, sharding
+from grainsift.llm import decontaminate, licenses, minhash, mixing, sharding
 from grainsift.llm.common import table
 from grainsift.operators.materialize import materialize
 
@@ -60,3 +60,9 @@ FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a =
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, percent=85, width=3).drop("n_copies")
+
+
+@_register("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).drop("text_key")
