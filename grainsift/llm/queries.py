@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainsift.llm import decontaminate, licenses, minhash, mixing, sharding
-from grainsift.llm.common import table
+from grainsift.llm import decontaminate, langid, licenses, minhash, mixing, sharding
+from grainsift.llm.common import remainder, table
 from grainsift.operators.materialize import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+@_register("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out).select("text", "lang"))
+    texts = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return langid.predict_language(texts, model).drop("text")

@@ -122,3 +122,36 @@ def sequence_hash(parts: list[np.ndarray]) -> np.ndarray:
     for part in parts:
         total = mix(total * np.uint64(0x2545F4914F6CDD1D) + part)
     return total
+
+
+class HashIndex:
+    """Positions of 64-bit keys by direct addressing: tables in a row, each for the keys that met a taken
+    slot in the one before."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray]] = []
+        left = np.arange(len(keys))
+        while len(left):
+            bits = max(4, int(4 * len(left)).bit_length())
+            factor = np.uint64(2 * len(self.tables) * 0x632BE59BD9B4E019 % (1 << 64) | 1)
+            shift = np.uint64(64 - bits)
+            slots = ((keys[left] * factor) >> shift).astype(np.int64)
+            table = np.full(1 << bits, -1, np.int32)
+            table[slots] = left
+            self.tables.append((factor, shift, table))
+            left = left[table[slots] != left]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Position of each hash among the keys, -1 where it is none."""
+        found = np.full(len(hashes), -1, np.int64)
+        open_ = np.arange(len(hashes))
+        for factor, shift, table in self.tables:
+            at = table[((hashes[open_] * factor) >> shift).astype(np.int64)]
+            hit = at >= 0
+            hit[hit] = self.keys[at[hit]] == hashes[open_[hit]]
+            found[open_[hit]] = at[hit]
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+        return found
