@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainsift.llm import decontaminate, embeddings, langid, licenses, minhash, mixing, sharding
+from grainsift.llm import decontaminate, embeddings, extraction, langid, licenses, minhash, mixing, sharding
 from grainsift.llm.common import remainder, table
 from grainsift.operators.materialize import materialize
 
@@ -90,3 +90,9 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
 FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id""")
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_register("op9_extraction")
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract_main_text(pages, extraction.fit(pages)).drop("html")
