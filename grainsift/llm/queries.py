@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainsift.llm import decontaminate, embeddings, extraction, langid, licenses, minhash, mixing, sharding
+from grainsift.llm import decontaminate, embeddings, extraction, langid, licenses, minhash, mixing, sharding, toxicity
 from grainsift.llm.common import remainder, table
 from grainsift.operators.materialize import materialize
 
@@ -96,3 +96,12 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extraction.extract_main_text(pages, extraction.fit(pages)).drop("html")
+
+
+@_register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.filter(~held_out).join(labels.filter(~held_out), "doc_id"))
+    return toxicity.score_toxicity(docs.withColumn("held_out", held_out), model).drop("text")
