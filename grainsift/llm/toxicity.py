@@ -3,7 +3,9 @@
 Labels say that a text is toxic, not where. Counts over the labelled texts give every word and character
 n-gram its evidence (how much oftener than expected it stands in toxic texts). The windows with most evidence
 in toxic texts and some windows of other texts train the network; then it picks the windows itself and is
-trained on. A text scores as its most toxic window.
+trained on. A text's score is a logistic function of the logits of its TOP most toxic windows and of its number
+of windows, fitted on texts that the network was not trained on: one odd word in a long text is chance, several
+windows of the kind are not.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from grainsift.llm.common import free_name
 from grainsift.llm.langid import gram_hashes
 from grainsift.llm.tokens import LETTERS, HashIndex, Words, word_slices
 
-WINDOW, STRIDE = 24, 12
+WINDOW, STRIDE = 48, 24
 #: labelled texts that the network is fitted on, per label at most (the smallest by a hash), and their longest size
 TRAIN_DOCS = {1: 1_500, 0: 3_000}
 TRAIN_CHARS = 12_000
@@ -29,7 +31,10 @@ TRAIN_CHARS = 12_000
 MODEL_WORDS, MODEL_GRAMS = 6_000, 20_000
 ORDERS = (3, 4, 5)
 EVIDENCE_LIMIT = 4.0
-EPOCHS = (6, 4)
+EPOCHS = (5, 3)
+TOP = 4
+FLOOR = -8.0
+HELD_SHARE = 0.25
 BATCH = 256
 RATE = 0.01
 SEED = 3
@@ -40,7 +45,7 @@ class Model:
     words: np.ndarray
     grams: np.ndarray
     weights: dict[str, np.ndarray]
-    shift: float
+    combine: np.ndarray
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,14 +155,38 @@ def _top_windows(level: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return order[heads[have]]
 
 
-def threshold(level: np.ndarray, toxic: np.ndarray) -> float:
-    """Cut of greatest F1 over texts; amid the gap it falls in, as far from either side."""
-    order = np.argsort(-level, kind="stable")
-    hits = np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(toxic.sum(), 1))
-    best = int(np.flatnonzero(f1 >= f1.max() - 1e-12)[-1])
-    below = level[order[best + 1]] if best + 1 < len(order) else level[order[best]] - 1
-    return float((level[order[best]] + below) / 2)
+def text_features(logits: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Per text: 1, its TOP greatest window logits (FLOOR where it has fewer) and the log of its windows."""
+    order = np.lexsort((-logits, row))
+    count = np.bincount(row, minlength=rows)
+    heads = np.cumsum(count) - count
+    out = np.full((rows, TOP + 2), FLOOR)
+    out[:, 0], out[:, -1] = 1.0, np.log1p(count)
+    for k in range(TOP):
+        have = count > k
+        out[have, 1 + k] = np.clip(logits[order[heads[have] + k]], FLOOR, -FLOOR)
+    return out
+
+
+def combine(features: np.ndarray, toxic: np.ndarray, penalty: float = 0.3, rounds: int = 30) -> np.ndarray:
+    """Logistic regression by damped Newton steps, drawn towards the greatest logit alone."""
+    start = np.zeros(features.shape[1])
+    start[1] = 1.0
+
+    def loss(w: np.ndarray) -> float:
+        x = features @ w
+        return float((np.logaddexp(0, x) - toxic * x).sum() + penalty / 2 * ((w - start) ** 2).sum())
+
+    w = start.copy()
+    for _ in range(rounds):
+        chance = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
+        slope = features.T @ (chance - toxic) + penalty * (w - start)
+        curve = (features * (chance * (1 - chance))[:, None]).T @ features + penalty * np.eye(len(w))
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+    return w
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", seed: int = SEED) -> Model | None:
@@ -201,7 +230,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", s
     word, gram, owner, scale, which = table
     word[word < 0] = len(words)
     start, end, row = windows(part.first)
-    held = rng.random(part.rows) < 0.2                  # texts that only set the threshold
+    held = rng.random(part.rows) < HELD_SHARE           # texts that only fit the last step
     if not (held & (toxic == 1)).any() or not (held & (toxic == 0)).any():
         held[:] = False
 
@@ -212,7 +241,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", s
     fitting = ~held[row]
     for epochs in EPOCHS:
         top = _top_windows(picked, row, part.rows)
-        chance = rng.random(len(row)) < 2.0 * part.rows / max(len(row), 1)
+        chance = rng.random(len(row)) < 1.5 * part.rows / max(len(row), 1)
         use = np.zeros(len(row), bool)
         use[top] = True
         use |= chance & (toxic[row] == 0)
@@ -221,28 +250,28 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", s
         _train(weights, table, start[at], end[at], toxic[row[at]].astype(np.float32), epochs, rng)
         vectors = gru.word_vectors(weights, word, gram, owner, scale)
         picked = window_logits(weights, vectors, which, start, end)
-    highest = np.full(part.rows, -20.0)
-    np.maximum.at(highest, row, picked)
     measured = held if held.any() else np.ones(part.rows, bool)
-    return Model(words, grams, weights, threshold(highest[measured], toxic[measured]))
+    facts = text_features(picked, row, part.rows)
+    return Model(words, grams, weights, combine(facts[measured], toxic[measured]))
 
 
 def _score(model: Model, lookup: Lookup, part: Words) -> np.ndarray:
-    highest = np.full(part.rows, -20.0)
     if len(part.hash):
         word, gram, owner, scale, which = lookup.rows(part)
         word[word < 0] = len(model.words)
         start, end, row = windows(part.first)
         vectors = gru.word_vectors(model.weights, word, gram, owner, scale)
-        np.maximum.at(highest, row, window_logits(model.weights, vectors, which, start, end))
-    return 1 / (1 + np.exp(-np.clip(highest - model.shift, -30, 30)))
+        facts = text_features(window_logits(model.weights, vectors, which, start, end), row, part.rows)
+    else:
+        facts = text_features(np.zeros(0), np.zeros(0, np.int64), part.rows)
+    return 1 / (1 + np.exp(-np.clip(facts @ model.combine, -30, 30)))
 
 
 def score_toxicity(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.5 on) to each row.
 
     Every overlapping window of WINDOW words of a text counts; a shorter text is one window. A text
-    without words, empty or null, has the least score, and every text has score 0 under no model. Rows are
+    without words, empty or null, scores as one without toxic windows, and every text has score 0 under no model. Rows are
     scored one by one, so repeated rows score alike and an empty table gives no rows. Columns of ``df``
     named like the results are replaced.
     """
