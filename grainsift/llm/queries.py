@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainsift.llm import decontaminate, embeddings, extraction, langid, licenses, minhash, mixing, sharding, toxicity
+from grainsift.llm import decontaminate, embeddings, extraction, hpy, langid, licenses, minhash, mixing, sharding, toxicity
 from grainsift.llm.common import remainder, table
 from grainsift.operators.materialize import materialize
 
@@ -105,3 +105,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs.filter(~held_out).join(labels.filter(~held_out), "doc_id"))
     return toxicity.score_toxicity(docs.withColumn("held_out", held_out), model).drop("text")
+
+
+@_register("op2_hpy_lm")
+def op2_hpy_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hpy.fit_and_score(docs, remainder(F.col("doc_id"), 7) == 2)
