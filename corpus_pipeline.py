@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainsift.llm import mixing, sharding
+from grainsift.llm import decontaminate, minhash, mixing, sharding, toxicity
 from grainsift.llm.common import table
 from grainsift.operators.materialize import materialize
 
@@ -12,11 +12,26 @@ from grainsift.operators.materialize import materialize
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity model, fitted on the labelled rows, does not call toxic."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts linked at a similarity of 0.8 over five-word shingles."""
+    return minhash.drop_near_duplicates(docs, percent=80, width=5)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no benchmark item, up to a fifth of its words edited."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of the mix of sources at target weights; a row drawn several times comes several times."""
-    facts = materialize(mixing.with_facts(docs))
-    rows = mixing.shuffled(mixing.mixed_rows(mixing.mix_plan(facts)))
-    return rows.select(*docs.columns)
+    return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +39,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs, 16)
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [("toxicity", drop_toxic), ("minhash_dedup", drop_near_duplicates), ("decontamination", decontaminated),
+          ("mixing", mix), ("sharding", shard)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

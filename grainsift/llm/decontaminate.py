@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from grainsift.llm.common import small
+from grainsift.llm.common import free_name, small
 from grainsift.llm.tokens import LETTERS, Words, mix, sequence_hash, word_slices
 from grainsift.operators.materialize import materialize
 
@@ -272,3 +272,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
             .select(F.col("id").alias("doc_id"), "text_key", "item_id", "best.n_item_words",
                     F.col("best.start").alias("start_word"), "best.distance",
                     (1 - F.col("best.share")).alias("similarity")))
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no item; columns and repeated rows as they were."""
+    leaks = find_leaks(docs, items, similarity, id_col, text_col)
+    leak_id, leak_key = free_name(docs, "_leak_id"), free_name(docs, "_leak_key")
+    keys = materialize(leaks.select("doc_id", "text_key").distinct().toDF(leak_id, leak_key))
+    return docs.join(small(keys, keys.count()), docs[id_col].eqNullSafe(keys[leak_id])
+                     & (F.xxhash64(docs[text_col]) == keys[leak_key]), "left_anti")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainsift.llm import license_rules
-from grainsift.llm.common import LETTER_WORD, lower_ascii
+from grainsift.llm.common import LETTER_WORD, free_name, lower_ascii
 
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 _NO_MATCHES = "array<struct<start:int,end:int,priority:int,rule:int,label:string,weight:double>>"
@@ -103,21 +103,22 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
             _places(w, b["pattern"]), lambda p: F.struct(p["start"].alias("start"), b["label"].alias("label")))))
         return F.struct(places.alias("base"), _let(_matches(w, rules), _unsuppressed).alias("kept"))
 
+    seen_col, place_col = free_name(df, "_seen"), free_name(df, "_places")
     seen = F.when(gate, _let(words, look))
     none = F.array().cast("array<struct<start:int,label:string>>")
     df = df.withColumns({"n_words": F.coalesce(F.regexp_count(text, F.lit(LETTER_WORD)), F.lit(0)).cast("long"),
-                         "_seen": seen})
-    places = F.coalesce(F.col("_seen")["base"], none)
-    kept = F.coalesce(F.col("_seen")["kept"], F.array().cast(_NO_MATCHES))
-    df = df.withColumns({"_places": places, "detections": kept})
-    starts = F.transform("_places", lambda p: p["start"])
-    own = F.array_distinct(F.transform("_places", lambda p: p["label"]))
+                         seen_col: seen})
+    places = F.coalesce(F.col(seen_col)["base"], none)
+    kept = F.coalesce(F.col(seen_col)["kept"], F.array().cast(_NO_MATCHES))
+    df = df.withColumns({place_col: places, "detections": kept})
+    starts = F.transform(place_col, lambda p: p["start"])
+    own = F.array_distinct(F.transform(place_col, lambda p: p["label"]))
     return df.withColumns({
-        "n_base": F.size("_places").cast("long"),
+        "n_base": F.size(place_col).cast("long"),
         "first_word": F.array_min(starts).cast("long"), "last_word": F.array_max(starts).cast("long"),
         "base_labels": F.array_join(F.array_sort(own), ","),
         "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(
             own, F.transform("detections", lambda m: m["label"])))), ","),
         "score": F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda m: m["weight"])), F.lit(0.0)),
-                            F.when(F.size("_places") > 0, F.lit(0.6)).otherwise(F.lit(0.0))),
-    }).drop("_seen", "_places")
+                            F.when(F.size(place_col) > 0, F.lit(0.6)).otherwise(F.lit(0.0))),
+    }).drop(seen_col, place_col)

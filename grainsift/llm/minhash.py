@@ -24,7 +24,7 @@ from math import lgamma
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from grainsift.llm.common import free_name, small
 from grainsift.llm.links import component_labels, forest
@@ -97,18 +97,18 @@ def sequential_survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: f
 
 
 def _facts_schema(id_type: str) -> str:
-    return f"id {id_type}, node binary, n_shingles long, signature binary"
+    return f"id {id_type}, text_key long, node binary, n_shingles long, signature binary"
 
 
 def _digest(words: np.ndarray) -> bytes:
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
-def _facts(width: int, id_type: pa.DataType | None = None):
+def _facts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for part in word_slices(batch.column(1)):
+            ids, text_keys = batch.column(0), batch.column(1)
+            for part in word_slices(batch.column(2)):
                 nodes, sizes, signs = [], [], []
                 for i in range(part.rows):
                     words = part.hash[part.first[i]:part.first[i + 1]]
@@ -117,8 +117,9 @@ def _facts(width: int, id_type: pa.DataType | None = None):
                     nodes.append(_digest(words))
                     signs.append(signature(shingles).tobytes() if len(shingles) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(part.row, part.rows), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                     pa.array(signs, pa.binary())], ["id", "node", "n_shingles", "signature"])
+                    [ids.slice(part.row, part.rows), text_keys.slice(part.row, part.rows), pa.array(nodes, pa.binary()),
+                     pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())],
+                    ["id", "text_key", "node", "n_shingles", "signature"])
     return run
 
 
@@ -219,7 +220,8 @@ def _block_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, percent: int = 85, width: int = 3, miss: float = MISS_PROBABILITY,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``node``, ``n_copies``.
+    """One row per row of ``df``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``n_copies``,
+    ``text_key`` (a hash of the text) and ``group`` (the component, also where ids are null; null without words).
 
     Texts are linked when 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles;
     a component is everything reachable by links, named by its smallest id. Links are confirmed on full
@@ -232,7 +234,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = 3, miss: floa
     ``df`` are not looked at.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     facts = materialize(texts.mapInArrow(_facts(width), _facts_schema(id_type)))
     nodes = materialize(facts.filter("n_shingles > 0").groupBy("node").agg(
         F.min("id").alias("first_id"), F.count("*").alias("n_copies")))
@@ -280,16 +282,42 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = 3, miss: floa
 
 
 def _result(facts: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is not None:
-        nodes = (nodes.join(labels, nodes["node"] == labels["id"], "left")
-                 .withColumn("_group", F.coalesce("label", "node")).select("node", "first_id", "n_copies", "_group"))
-        least = nodes.filter("_group is not null").groupBy("_group").agg(F.min("first_id").alias("component_id"))
-        nodes = nodes.join(least, "_group").drop("_group")
+    if labels is None:
+        nodes = nodes.withColumn("group", F.col("node"))
     else:
-        nodes = nodes.withColumn("component_id", F.col("first_id"))
-    rows = facts.select(F.col("id").alias("doc_id"), "node", "n_shingles").join(nodes.drop("first_id"), "node", "left")
+        nodes = (nodes.join(labels, nodes["node"] == labels["id"], "left")
+                 .withColumn("group", F.coalesce("label", "node")).drop("id", "label"))
+    least = nodes.groupBy(F.col("group").alias("_group")).agg(F.min("first_id").alias("component_id"))
+    nodes = nodes.join(least, F.col("group") == F.col("_group")).select("node", "n_copies", "group", "component_id")
+    rows = facts.select(F.col("id").alias("doc_id"), "text_key", "node", "n_shingles").join(nodes, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (rows.withColumn("component_id", component)
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
             .withColumn("n_copies", F.coalesce("n_copies", F.lit(1).cast("long")))
-            .select("doc_id", "n_shingles", "component_id", "kept", "n_copies"))
+            .select("doc_id", "n_shingles", "component_id", "kept", "n_copies", "text_key", "group"))
+
+
+def drop_near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` less near duplicates: of every component one row stays, that of the smallest id.
+
+    Of rows with that id, the one with the smallest hash of the text stays, and of rows alike in both any
+    one. A component with null ids only keeps one row too. Rows without words all stay. Columns are as they were.
+    """
+    found = materialize(near_duplicates(df, percent, width, id_col=id_col, text_col=text_col)
+                        .select("doc_id", "text_key", "group"))
+    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    kept = found.filter("group is not null").groupBy("group").agg(F.min(best).alias("best")).select(
+        F.col("best.id").alias("_kept_id"), F.col("best.key").alias("_kept_key"))
+    wordless = found.filter("group is null").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
+    copies = found.filter("group is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    kept_id, kept_key, again, place = (free_name(df, c) for c in ("_kept_id", "_kept_key", "_again", "_place"))
+    kept = (kept.join(copies, kept["_kept_id"].eqNullSafe(copies["doc_id"]) & (kept["_kept_key"] == copies["text_key"]))
+            .select("_kept_id", "_kept_key", (F.col("n") > 1).alias("_again"))
+            .union(wordless.distinct().withColumn("_again", F.lit(False))))
+    kept = materialize(kept.toDF(kept_id, kept_key, again))
+    rows = df.join(small(kept, kept.count()), df[id_col].eqNullSafe(kept[kept_id])
+                   & (F.xxhash64(df[text_col]) == kept[kept_key]))
+    first = F.row_number().over(Window.partitionBy(kept_id, kept_key).orderBy(kept_key))
+    repeated = rows.filter(again).withColumn(place, first).filter(F.col(place) == 1)
+    return rows.filter(~F.col(again)).drop(kept_id, kept_key, again).union(repeated.drop(kept_id, kept_key, again, place))

@@ -151,3 +151,13 @@ def mixed_rows(plan: DataFrame, seed: int = 0) -> DataFrame:
 def shuffled(mix: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The mix laid out by output shard, each in its own order, ready to be written."""
     return mix.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+
+
+def mix(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, shards: int = SHARDS) -> DataFrame:
+    """The mix itself: rows of ``df``, each as often as it is drawn, laid out by output shard."""
+    coded = df.toDF(*[f"column_{i}" for i in range(len(df.columns))])     # so that no name can clash
+    names = dict(zip(df.columns, coded.columns))
+    facts = materialize(with_facts(coded, seed, names[id_col], names[text_col], names[source_col]))
+    plan = mix_plan(facts, seed, names[source_col], weights, max_repeats, shards=shards)
+    return shuffled(mixed_rows(plan, seed), shards).select(*coded.columns).toDF(*df.columns)

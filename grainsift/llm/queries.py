@@ -59,7 +59,7 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id, n.doc_id = c
 FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = n.doc_id""")
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash.near_duplicates(docs, percent=85, width=3).drop("n_copies")
+    return minhash.near_duplicates(docs, percent=85, width=3).drop("n_copies", "text_key", "group")
 
 
 @_register("op6_decontamination")

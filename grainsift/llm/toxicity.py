@@ -10,13 +10,13 @@ windows of the kind are not.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from grainsift.llm import gru
 from grainsift.llm.common import free_name
@@ -267,18 +267,9 @@ def _score(model: Model, lookup: Lookup, part: Words) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(facts @ model.combine, -30, 30)))
 
 
-def score_toxicity(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.5 on) to each row.
-
-    Every overlapping window of WINDOW words of a text counts; a shorter text is one window. A text
-    without words, empty or null, scores as one without toxic windows, and every text has score 0 under no model. Rows are
-    scored one by one, so repeated rows score alike and an empty table gives no rows. Columns of ``df``
-    named like the results are replaced.
-    """
-    df = df.drop(*[c for c in ("score", "predicted") if c in df.columns and c != text_col])
-    if model is None:
-        return df.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to its scores."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -289,6 +280,25 @@ def score_toxicity(df: DataFrame, model: Model | None, text_col: str = "text") -
                       for part in word_slices(pa.array(batch, pa.string(), from_pandas=True), LETTERS)]
             yield pd.Series(np.concatenate(scores) if scores else np.zeros(0))
 
+    return judge
+
+
+def score_toxicity(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """Adds ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.5 on) to each row.
+
+    Every overlapping window of WINDOW words of a text counts; a shorter text is one window. A text
+    without words, empty or null, scores as one without toxic windows, and every text has score 0 under no
+    model. Rows are scored one by one, so repeated rows score alike and an empty table gives no rows. Columns
+    of ``df`` named like the results are replaced.
+    """
+    score = F.lit(0.0) if model is None else scorer(df.sparkSession, model)(F.col(text_col))
     out = free_name(df, "_toxic_score")
-    scored = df.withColumn(out, judge(F.col(text_col)))
+    scored = df.withColumn(out, score)
     return scored.withColumns({"score": F.col(out), "predicted": (F.col(out) >= 0.5).cast("int")}).drop(out)
+
+
+def drop_toxic(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text scores below 0.5; all rows under no model. Columns are as they were."""
+    if model is None:
+        return df
+    return df.filter(scorer(df.sparkSession, model)(F.col(text_col)) < 0.5)
