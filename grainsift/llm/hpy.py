@@ -192,9 +192,10 @@ def draw_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: f
     """Tables that c customers of a dish take, given ``others`` tables of their restaurant and the dish's base
     probability.
 
-    Few customers: from the exact conditional law over t, which all seatings of them share. Many: the customers
-    are seated one after another; the next new table among m seated has survival ((k - d t) / (m - d t)) ** a with
-    a = (strength + d * tables) * base, which is inverted at a uniform number.
+    All seatings of the customers taken together, t has weight S(c, t) * prod (strength + d * (others + j)) * base ** t
+    with generalised Stirling numbers S. Few customers: drawn from that law. Many: S(c, t) is a coefficient of
+    (1 - (1 - x) ** d) ** t; at its saddle point y = 1 - x, in balance with the other factors, the law is locally a
+    negative binomial with success base * (1 - y ** d), which is drawn from.
     """
     out = np.ones(len(c), np.int64)
     for n in range(2, EXACT_CUSTOMERS + 1):
@@ -207,15 +208,16 @@ def draw_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: f
             level -= np.log(rng.exponential(size=level.shape))
             out[some] = level.argmax(axis=1) + 1
     many = np.flatnonzero(c > EXACT_CUSTOMERS)
-    seated = np.ones(len(many))
-    while len(many):
-        t = out[many]
-        pull = (strength + discount * (others[many] + t)) * base[many]
-        with np.errstate(over="ignore"):
-            ahead = discount * t + (seated - discount * t) * rng.random(len(many)) ** (-1.0 / pull)
-        more = ahead < c[many]
-        seated, many = np.minimum(np.floor(ahead[more]) + 1, c[many[more]]), many[more]
-        out[many] += 1
+    if len(many):
+        tau, share, size = strength / discount + others[many], base[many], c[many]
+        low, high = np.full(len(many), -700.0), np.zeros(len(many))     # of log y; customers explained fall with y
+        for _ in range(60):
+            at = (low + high) / 2
+            y = np.exp(at)
+            explained = tau * share / (1 - share * (1 - y ** discount)) * (1 - y) * discount * y ** (discount - 1)
+            low, high = np.where(explained > size, at, low), np.where(explained > size, high, at)
+        reach = 1 - np.exp(discount * (low + high) / 2)
+        out[many] = np.minimum(1 + rng.negative_binomial(tau + 1, np.clip(1 - share * reach, 1e-9, 1)), size)
     return out
 
 
@@ -318,6 +320,8 @@ def _summed(counts: DataFrame, totals: Totals | None) -> tuple[np.ndarray, np.nd
             .withColumn("half", F.pmod(F.monotonically_increasing_id(), F.lit(8)))
             .groupBy("piece", "half").applyInPandas(lambda g: _add_up(g.drop(columns="half")), _SUMS)
             .groupBy("piece").applyInPandas(_add_up, _SUMS).toPandas().sort_values("piece"))
+    if not len(sums):
+        return np.zeros(CONTEXT_SLOTS, np.int64), np.zeros(CONTEXT_SLOTS, np.int64), sums
     join = lambda c: np.concatenate([np.frombuffer(x, np.float64) for x in sums[c]]).astype(np.int64)
     return join("tables"), join("customers"), sums
 
@@ -413,14 +417,12 @@ def fit_and_score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     counts = materialize(counts)
     known = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "ones", "twos")]).first()
     tables, customers, first = _summed(counts, None)
-    if not len(tables):
-        tables = customers = np.zeros(CONTEXT_SLOTS, np.int64)
     totals = Totals(known["tokens"], known["words"], customers, (
         _discount(known["ones"], known["twos"]), _discount(first["ones"].sum(), first["twos"].sum())),
         [tables], [int(first["parent"].sum())])
     for _ in range(BURN_IN + SAMPLES):
         tables, _, sums = _summed(counts, totals)
-        totals.tables.append(tables if len(tables) else totals.tables[0])
+        totals.tables.append(tables)
         totals.parent_tables.append(int(sums["parent"].sum()))
     shared = spark.sparkContext.broadcast(totals)
 

@@ -51,7 +51,7 @@ def gram_hashes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, order - 1):
         inner += blank[i:i + count]
     ends = blank[:count].astype(np.int64) + (blank[order - 1:order - 1 + count] if order > 1 else 0)
-    good = (inner == 0) & (ends < min(order, 2))
+    good = (inner == 0) & (ends < order)
     hashes = sequence_hash([np.full(count, order, np.uint64), *(points[i:i + count] for i in range(order))])
     return hashes[good], word[:count][good]
 
