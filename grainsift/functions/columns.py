@@ -6,6 +6,8 @@ from typing import Iterable, Optional
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from grainsift.functions.fixed_values import NUMBER_TEXT_PATTERN
+
 _NESTED = (T.StructType, T.ArrayType, T.MapType)
 
 
@@ -62,6 +64,11 @@ def present_sql(df: DataFrame, name: str) -> str:
     return quoted(name)
 
 
+def text_number_sql(text: str) -> str:
+    """A text as double where it is written as a plain number; a cast alone also takes suffixes as in ``12D``."""
+    return f"CASE WHEN trim({text}) RLIKE {text_literal(NUMBER_TEXT_PATTERN)} THEN try_cast(trim({text}) AS DOUBLE) END"
+
+
 def cell_sql(df: DataFrame, name: str) -> str:
     """One text per distinct value of the column; NULL stays NULL."""
     dtype = df.schema[name].dataType

@@ -23,8 +23,6 @@ CORRELATION_THRESHOLD = 0.98
 PROXY_THRESHOLD = 0.65
 HIGH_CARDINALITY_RATIO = 0.5
 HIGH_CARDINALITY_MIN = 20
-TYPO_MAX_DISTINCT = 100
-SEMANTIC_MAX_DISTINCT = 1000
 TEXT_MIN_MEAN_LENGTH = 20
 FOREST_CONTAMINATION = 0.05
 FOREST_SEED = 42
@@ -83,11 +81,20 @@ BOOLEAN_PATTERN = r"(?i)^(true|false|yes|no|1|0|t|f|y|n)$"
 DATE_PATTERN = r"^\d{4}[-/]\d{2}[-/]\d{2}|^\d{2}[-/]\d{2}[-/]\d{4}|^\d{4}\d{2}\d{2}$"
 TRUE_WORDS = ["true", "yes", "1", "t", "y"]
 FALSE_WORDS = ["false", "no", "0", "f", "n"]
+NUMBER_TEXT_PATTERN = r"(?i)^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
+DATE_TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
+#: dates without a time that begins with T or a blank and follows year, month, day; month first, then day first
 DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
-    "MM/dd/yyyy", "MM-dd-yyyy", "yyyyMMdd",
+    "yyyy-MM-dd", "MM/dd/yyyy[ HH:mm[:ss]]", "MM-dd-yyyy[ HH:mm[:ss]]", "dd/MM/yyyy[ HH:mm[:ss]]",
+    "dd-MM-yyyy[ HH:mm[:ss]]", "yyyyMMdd",
 ]
 
+# --- fixed values: shares and counts of type inference --------------------------------
+TYPE_SHARE = 0.90
+DATE_SHARE = 0.85
+CATEGORY_VALUES = 30
+CATEGORY_SHARE = 0.10
+
 # --- fixed values: personal-data patterns ---------------------------------------------
 PII_PATTERNS = {
     "email": r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+",

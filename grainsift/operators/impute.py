@@ -16,7 +16,8 @@ REPORT_SCHEMA = "column_name string, strategy_used string, cells_filled long, fi
 
 
 def is_number(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, (T.NumericType, T.BooleanType))
+    """Whether a mean says something; a boolean with gaps takes its most frequent value."""
+    return isinstance(df.schema[column].dataType, T.NumericType)
 
 
 def mode_value(df: DataFrame, column: str):
@@ -76,7 +77,11 @@ def fill_values(df: DataFrame, strategies: Mapping[str, str]) -> dict[str, objec
     for c in strategies:
         if c not in values and strategies[c] in ("mean", "median", "mode"):
             value = mode_value(df, c)
-            values[c] = value if value is not None else (0 if is_number(df, c) else "Unknown")
+            if value is None and isinstance(df.schema[c].dataType, T.StringType):
+                value = "Unknown"
+            elif value is None and is_number(df, c):
+                value = 0
+            values[c] = value       # None: no value of the column's type stands for a missing one
     return values
 
 
@@ -131,9 +136,13 @@ def _fill_group(df: DataFrame, strategies: Mapping[str, str], missing: Mapping[s
         number = is_number(df, c)
         used = s if s == "mode" or number else "mode (fallback)"
         value = values[c]
+        if value is None and not number:
+            report.append((c, "failed", 0, None))
+            continue
         shown = round(value, 4) if s in ("mean", "median") and number and value is not None else value
         report.append((c, used, missing[c], None if shown is None else str(shown)))
-    out = df.withColumns({c: _filled(df, c, strategies[c], v) for c, v in values.items()}) if values else df
+    out = df.withColumns({c: _filled(df, c, strategies[c], v) for c, v in values.items()
+                          if v is not None or is_number(df, c)}) if values else df
     for forward, name in ((True, "forward_fill"), (False, "backward_fill")):
         along = [c for c, s in strategies.items() if s == name]
         if along:

@@ -152,27 +152,21 @@ def datatype_noise(df: DataFrame) -> DataFrame:
                                          "ELSE 'Numeric values stored as strings' END AS issue")
 
 
-def fuzzy_pairs(df: DataFrame) -> DataFrame:
-    """Pairs of similar spellings in text columns with few distinct values."""
+def fuzzy_pairs(df: DataFrame, max_distinct: Optional[int] = None) -> DataFrame:
+    """Pairs of similar spellings in text columns; ``max_distinct`` leaves out columns with as many spellings."""
     names = object_columns(df)
     cleaned = df.select(*[F.lower(strip(F.col(c))).alias(c) for c in names])
-    few = few_valued(cleaned, names, fixed.TYPO_MAX_DISTINCT)
-    if few:
-        sizes = df.agg(*[F.count(c).alias(c) for c in few]).first()
-        few = {c: d for c, d in few.items() if 0 < d < sizes[c] / 2}
+    few = names if max_distinct is None else list(few_valued(cleaned, names, max_distinct))
     if not few:
         return tidy_schema_rows(df, [], "column_name string, value_a string, value_b string, score double")
-    return indel_pairs(cells(cleaned, list(few)).distinct())
+    return indel_pairs(cells(cleaned, few).distinct())
 
 
 def fuzzy_categories(df: DataFrame) -> DataFrame:
-    """Each spelling with the similar spellings of the same column."""
-    pairs = fuzzy_pairs(df)
-    both = pairs.select("column_name", F.col("value_a").alias("value"), F.col("value_b").alias("other")).union(
-        pairs.select("column_name", F.col("value_b"), F.col("value_a")))
-    # at most 99 spellings per column take part, so the lists are short
-    return both.groupBy("column_name", "value").agg(
-        F.array_join(F.array_sort(F.collect_list("other")), ", ").alias("matches"))
+    """Each spelling with each similar spelling of the same column: (column_name, value, match)."""
+    ways = F.array(*[F.struct(F.col(a).alias("value"), F.col(b).alias("match"))
+                     for a, b in (("value_a", "value_b"), ("value_b", "value_a"))])
+    return fuzzy_pairs(df).select("column_name", F.inline(ways))
 
 
 def value_noise(df: DataFrame) -> DataFrame:
@@ -182,7 +176,7 @@ def value_noise(df: DataFrame) -> DataFrame:
         {"column_name": text_literal(c), "sentinel_count": f"count_if(lower({quoted(c)}) IN ({words}))",
          "whitespace_count": f"count_if({quoted(c)} RLIKE {text_literal(_STARTS_OR_ENDS_BLANK)})"}
         for c in object_columns(df)])
-    groups = fuzzy_categories(df).groupBy("column_name").agg(F.count("*").alias("fuzzy_values"))
+    groups = fuzzy_categories(df).groupBy("column_name").agg(F.countDistinct("value").alias("fuzzy_values"))
     joined = counted.join(groups, "column_name", "left").withColumn(
         "fuzzy_values", F.coalesce("fuzzy_values", F.lit(0).cast("long")))
     return joined.select(

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from grainsift.functions import fixed_values as fixed
 from grainsift.functions.columns import string_columns
 from grainsift.operators.aggkit import cells, few_valued, tidy_schema_rows
 from grainsift.operators.stringpairs import levenshtein_pairs
 
 
-def semantic_pairs(df: DataFrame, columns: Sequence[str],
-                   max_distinct: int = fixed.SEMANTIC_MAX_DISTINCT) -> DataFrame:
-    """Pairs of similar values of the chosen columns that have more than one and not too many values."""
-    chosen = [c for c in columns if c in string_columns(df)]
-    few = [c for c, d in few_valued(df, chosen, max_distinct).items() if d > 1]
+def semantic_pairs(df: DataFrame, columns: Sequence[str], max_distinct: Optional[int] = None) -> DataFrame:
+    """Pairs of similar values of the chosen text columns; ``max_distinct`` leaves out columns with as many values."""
+    few = [c for c in columns if c in string_columns(df)]
+    if max_distinct is not None:
+        few = list(few_valued(df, few, max_distinct))
     if not few:
         return tidy_schema_rows(df, [], "column_name string, value_a string, value_b string, score double")
     return levenshtein_pairs(cells(df, few).distinct())

@@ -8,15 +8,12 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainsift.functions import fixed_values as fixed
-from grainsift.functions.columns import object_columns, quoted, text_literal
+from grainsift.functions.columns import object_columns, quoted, text_literal, text_number_sql
 from grainsift.operators.aggkit import few_valued, long_aggregate, spread, tidy_schema_rows
 
-_CATEGORY_VALUES = 30
-_CATEGORY_SHARE = 0.10
 
-
-def _as_double(text: Column) -> Column:
-    return F.trim(text).try_cast("double")
+def _as_double(column: str) -> Column:
+    return F.expr(text_number_sql(quoted(column)))
 
 
 def infer_types(df: DataFrame, sample_rows: Optional[int] = None,
@@ -36,20 +33,20 @@ def infer_types(df: DataFrame, sample_rows: Optional[int] = None,
         shares = reduce(DataFrame.unionByName, [
             _shares(df.filter(F.col(c).isNotNull()).orderBy(*(order_by or [c])).limit(sample_rows), [c])
             for c in names])
-    n = F.col("n")
+    n, most = F.col("n"), fixed.TYPE_SHARE
     labelled = shares.withColumn("rule", (
         F.when(n == 0, F.lit("unknown"))
-        .when(F.col("booleans") / n >= 0.90, F.lit("boolean"))
-        .when(F.col("integers") / n >= 0.90, F.lit("integer"))
-        .when(F.col("floats") / n >= 0.90, F.lit("float"))
-        .when(F.col("dates") / n >= 0.85, F.lit("datetime"))
-        .when(F.col("numbers") / n >= 0.90,
+        .when(F.col("booleans") / n >= most, F.lit("boolean"))
+        .when(F.col("integers") / n >= most, F.lit("integer"))
+        .when(F.col("floats") / n >= most, F.lit("float"))
+        .when(F.col("dates") / n >= fixed.DATE_SHARE, F.lit("datetime"))
+        .when(F.col("numbers") / n >= most,
               F.when(F.col("wholes") == F.col("numbers"), F.lit("integer")).otherwise(F.lit("float")))))
     rows = labelled.select("column_name", "n", "rule").collect()      # one row per column
     unclaimed = [r["column_name"] for r in rows if r["rule"] is None]
-    few = few_valued(df, unclaimed, _CATEGORY_VALUES + 1)
+    few = few_valued(df, unclaimed, fixed.CATEGORY_VALUES + 1)
     totals = df.agg(*[F.count(c).alias(c) for c in few]).first() if few else {}
-    categories = {c for c, d in few.items() if d / max(totals[c], 1) < _CATEGORY_SHARE}
+    categories = {c for c, d in few.items() if d / max(totals[c], 1) < fixed.CATEGORY_SHARE}
     return tidy_schema_rows(df, [
         (r["column_name"], r["rule"] or ("categorical" if r["column_name"] in categories else "string"))
         for r in rows], schema)
@@ -59,7 +56,7 @@ def _shares(df: DataFrame, names: Sequence[str]) -> DataFrame:
     def matches(pattern: str) -> str:
         return f"count_if(text RLIKE {text_literal(pattern)})"
 
-    number = "try_cast(trim(text) AS DOUBLE)"
+    number = text_number_sql("text")
     counted = long_aggregate(df, [{"column_name": text_literal(c), "text": quoted(c)} for c in names], ["column_name"], {
         "n": "count(text)", "booleans": matches(fixed.BOOLEAN_PATTERN), "integers": matches(fixed.INTEGER_PATTERN),
         "floats": matches(fixed.FLOAT_PATTERN), "dates": matches(fixed.DATE_PATTERN),
@@ -69,7 +66,10 @@ def _shares(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def parse_date(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in fixed.DATE_FORMATS])
+    """ISO date-times (T or a blank, fraction, zone) and the fixed formats; a year may be set off by slashes."""
+    dashed = F.regexp_replace(F.trim(text), r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3")
+    timed = F.when(dashed.rlike(fixed.DATE_TIME_PATTERN), dashed.try_cast("timestamp"))
+    return F.coalesce(timed, *[F.try_to_timestamp(dashed, F.lit(f)) for f in fixed.DATE_FORMATS])
 
 
 def parse_boolean(text: Column) -> Column:
@@ -81,33 +81,39 @@ def convert_types(df: DataFrame, inferred: Optional[dict[str, str]] = None,
                   sample_rows: Optional[int] = None) -> tuple[DataFrame, DataFrame]:
     """Convert text columns to their inferred types; values that do not parse become missing.
 
-    A column of whole numbers that holds a fraction is left alone and reported as failed.
+    A column of whole numbers that holds a fraction, and a column of dates none of which can be read, is
+    left alone and reported as failed. Columns that are no text are reported with their own type.
     Returns (table, report).
     """
     if inferred is None:
         inferred = {r["column_name"]: r["inferred_type"] for r in infer_types(df, sample_rows).collect()}
     integers = [c for c, kind in inferred.items() if kind == "integer"]
-    whole = (df.agg(*[F.coalesce(F.bool_and(_as_double(F.col(c)) % 1 == 0), F.lit(True)).alias(c)
-                      for c in integers]).first().asDict() if integers else {})
+    dates = [c for c, kind in inferred.items() if kind == "datetime"]
+    fits = (df.agg(*[F.coalesce(F.bool_and(_as_double(c) % 1 == 0), F.lit(True)).alias(c) for c in integers],
+                   *[(F.count(parse_date(F.col(quoted(c)))) > 0).alias(c) for c in dates]).first().asDict()
+            if integers or dates else {})
     changes: dict[str, Column] = {}
     report = []
     for c, kind in inferred.items():
-        text = F.col(f"`{c}`")
+        text, number = F.col(quoted(c)), _as_double(c)
         target: Optional[str] = None
-        if kind == "integer" and whole[c]:
-            changes[c], target = F.coalesce(F.trim(text).try_cast("long"), _as_double(text).try_cast("long")), "bigint"
+        if kind == "integer" and fits[c]:
+            changes[c] = F.when(number.isNotNull(), F.coalesce(F.trim(text).try_cast("long"), number.try_cast("long")))
+            target = "bigint"
         elif kind == "float":
-            changes[c], target = F.when(~F.isnan(_as_double(text)), _as_double(text)), "double"
+            changes[c], target = F.when(~F.isnan(number), number), "double"
         elif kind == "boolean":
             changes[c], target = parse_boolean(text), "boolean"
-        elif kind == "datetime":
+        elif kind == "datetime" and fits[c]:
             changes[c], target = parse_date(text), "timestamp"
         elif kind == "categorical":
             changes[c], target = text.alias(c, metadata={"categorical": True}), "category"
-        failed = kind == "integer" and not whole[c]
-        report.append((c, kind, target, "holds numbers that are not whole" if failed else None))
+        failure = {"integer": "holds numbers that are not whole", "datetime": "holds no date that can be read"}
+        report.append((c, df.schema[c].dataType.simpleString(), kind, target, None if fits.get(c, True) else failure[kind]))
+    report += [(f.name, f.dataType.simpleString(), f.dataType.simpleString(), None, None) for f in df.schema
+               if f.name not in inferred]
     converted = df.select(*[changes[c].alias(c, metadata={"categorical": True} if inferred.get(c) == "categorical"
                                              else df.schema[c].metadata) if c in changes else F.col(f"`{c}`")
                             for c in df.columns])
     return converted, tidy_schema_rows(
-        df, report, "column_name string, inferred_type string, converted_to string, failure string")
+        df, report, "column_name string, original_type string, inferred_type string, converted_to string, failure string")

@@ -8,6 +8,7 @@ from typing import Mapping, Optional
 from pyspark.sql import DataFrame, functions as F
 
 from grainsift.config import AnalysisConfig
+from grainsift.operators.materialize import materialize
 from grainsift.operators import balance, bias, duplicates, nearpairs, noise, outliers, profile
 from grainsift.operators.aggkit import tidy_schema_rows
 from grainsift.operators.textscan import nlp_report
@@ -22,12 +23,6 @@ def as_sections(parts: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def as_one_row(sections: DataFrame) -> DataFrame:
-    """One row with a map from section to its items (a few items per column of the table)."""
-    grouped = sections.groupBy("section").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return grouped.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "items")))).alias("report"))
-
-
 def _config_row(df: DataFrame, config: AnalysisConfig) -> DataFrame:
     return tidy_schema_rows(df, [(",".join(config.sensitive_columns), config.target_column, config.bias_threshold)],
                             "sensitive_columns string, target_column string, bias_threshold double")
@@ -54,7 +49,8 @@ def summary_sections(analysis: Analysis) -> dict[str, DataFrame]:
 
 
 def statistical_summary(df: DataFrame, config: AnalysisConfig, row_id: str) -> DataFrame:
-    return as_one_row(as_sections(summary_sections(Analysis(df, config, row_id))))
+    """All figures as rows (section, item)."""
+    return as_sections(summary_sections(Analysis(df, config, row_id)))
 
 
 def quality_sections(df: DataFrame, config: AnalysisConfig, row_id: str) -> DataFrame:
@@ -67,13 +63,14 @@ def quality_sections(df: DataFrame, config: AnalysisConfig, row_id: str) -> Data
 
 
 def quality_report(df: DataFrame, config: AnalysisConfig, row_id: str) -> DataFrame:
-    return as_one_row(quality_sections(df, config, row_id))
+    return quality_sections(df, config, row_id)
 
 
 def library_sections(df: DataFrame, row_id: str, target: Optional[str] = None) -> DataFrame:
     """Profile, basic score, noise, duplicates, redundancy and balance metrics of a table."""
     data = df.drop(row_id)
-    pairs = nearpairs.near_duplicates(df, row_id)
+    pairs = materialize(nearpairs.near_duplicates(df, row_id))
+    structure = noise.structural_noise(df, row_id)
     parts = {
         "profile": profile.profile_columns(data),
         "numeric_profile": profile.profile_numeric(data),
@@ -81,9 +78,10 @@ def library_sections(df: DataFrame, row_id: str, target: Optional[str] = None) -
         "outliers": outliers.outliers_iqr(data),
         "datatype_noise": noise.datatype_noise(data),
         "value_noise": noise.value_noise(data),
-        "structural_noise": noise.structural_noise(df, row_id).filter("kind <> 'empty_row'"),
+        "structural_noise": structure.filter("kind <> 'empty_row'"),
+        "empty_rows": structure.agg(F.count_if(F.col("kind") == "empty_row").alias("n_rows")),
         "exact_duplicates": duplicates.exact_duplicates(data),
-        "near_duplicates": pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("row_pairs"), F.lit(0)).alias("row_pairs")),
+        "near_duplicates": pairs,
         "redundant_columns": bias.redundant_columns(data),
     }
     if target and target in data.columns:
@@ -92,7 +90,7 @@ def library_sections(df: DataFrame, row_id: str, target: Optional[str] = None) -
 
 
 def library_report(df: DataFrame, row_id: str, target: Optional[str] = None) -> DataFrame:
-    return as_one_row(library_sections(df, row_id, target))
+    return library_sections(df, row_id, target)
 
 
 def compare(left: DataFrame, right: DataFrame, left_config: AnalysisConfig, right_config: AnalysisConfig,

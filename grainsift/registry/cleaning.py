@@ -12,7 +12,8 @@ from grainsift.registry.duplicates import GROUPS_CTE
 from grainsift.registry.views import (
     EVENTS_CTE, HOLES_CTE, PEOPLE_CTE, TYPED_CTE, each, events_gappy, people, people_holes, typed_text)
 
-_TYPED_TEXTS = ["flag_text", "whole_text", "decimal_text", "date_text", "priority", "free_text", "nothing"]
+_TYPED_TEXTS = ["flag_text", "whole_text", "decimal_text", "date_text", "priority", "free_text", "time_text", "seat_text",
+                "gap_text", "no_date_text", "nothing"]
 _SHARES = each(
     r"SELECT '@' AS column_name, count(@) AS n, count(DISTINCT @) AS d, "
     r"count(*) FILTER (WHERE regexp_matches(lower(@), '^(true|false|yes|no|1|0|t|f|y|n)$')) AS b, "
@@ -35,11 +36,13 @@ def infer_types(spark, sf):
 @register("convert_types", f"""
 WITH {TYPED_CTE} SELECT row_id, flag_text = 'yes' AS flag_text, CAST(whole_text AS BIGINT) AS whole_text,
 TRY_CAST(decimal_text AS DOUBLE) AS decimal_text,
-CAST(coalesce(try_strptime(date_text, '%Y-%m-%d'), try_strptime(date_text, '%m/%d/%Y'), try_strptime(date_text, '%Y%m%d')) AS DATE)
-AS date_text, priority, free_text, nothing FROM typed""")
+epoch_us(coalesce(try_strptime(date_text, '%Y-%m-%d'), try_strptime(date_text, '%m/%d/%Y'), try_strptime(date_text, '%Y%m%d')))
+AS date_text, priority, free_text, epoch_us(coalesce(try_strptime(time_text, '%Y-%m-%dT%H:%M:%SZ'),
+try_strptime(time_text, '%Y-%m-%dT%H:%M:%S.%g'), try_strptime(time_text, '%Y-%m-%d %H:%M'), try_strptime(time_text, '%d/%m/%Y')))
+AS time_text, seat_text, gap_text = 'yes' AS gap_text, no_date_text, nothing FROM typed""")
 def convert_types(spark, sf):
     converted, _ = typeinfer.convert_types(typed_text(spark, sf))
-    return converted.withColumn("date_text", F.to_date("date_text"))
+    return converted.withColumns({c: F.unix_micros(c) for c in ("date_text", "time_text")})
 
 
 # --- filling --------------------------------------------------------------------------------
@@ -112,9 +115,15 @@ WITH {HOLES_CTE}, left_over AS (SELECT * FROM holes WHERE gender IS NOT NULL)
 SELECT 'age' AS column_name, 'mean' AS strategy_used, (SELECT count(*) - count(age) FROM holes) AS cells_filled,
   CAST((SELECT round(avg(age), 4) FROM holes) AS STRING) AS fill_value
 UNION ALL SELECT 'gender', 'drop', (SELECT count(*) - count(gender) FROM holes), NULL
-UNION ALL SELECT 'category', 'mode (fallback)', (SELECT count(*) - count(category) FROM left_over), {_mode('category', 'left_over')}""")
+UNION ALL SELECT 'category', 'mode (fallback)', (SELECT count(*) - count(category) FROM left_over), {_mode('category', 'left_over')}
+UNION ALL SELECT 'active', 'mode (fallback)', (SELECT count(*) FROM left_over WHERE row_id % 30 = 0),
+  (SELECT CASE WHEN count(*) FILTER (WHERE row_id % 3 = 0) > count(*) FILTER (WHERE row_id % 3 <> 0) THEN 'True' ELSE 'False' END
+   FROM left_over WHERE row_id % 30 <> 0)
+UNION ALL SELECT 'never', 'failed', CAST(0 AS BIGINT), NULL""")
 def impute_report(spark, sf):
-    _, report = impute.impute(people_holes(spark, sf), "mean", {"gender": "drop"})
+    rows = people_holes(spark, sf).withColumns({
+        "active": F.when(F.col("row_id") % 30 != 0, F.col("row_id") % 3 == 0), "never": F.lit(None).cast("timestamp")})
+    _, report = impute.impute(rows, "mean", {"gender": "drop"})
     return report
 
 
@@ -126,6 +135,7 @@ typed AS (SELECT row_id, id, age, gender, CAST(CASE WHEN regexp_matches(income,
   category, score = 1 AS unused, score, email, notes, flag FROM people),
 one AS (SELECT min(row_id) AS row_id, id, age, gender, income, category, score, email, notes, flag FROM typed
   GROUP BY id, age, gender, income, category, score, email, notes, flag),
+@two@
 filled AS (SELECT row_id, CAST(id AS DOUBLE) AS id, coalesce(age, (SELECT quantile_cont(age, 0.5) FROM one)) AS age, gender,
   coalesce(CAST(income AS DOUBLE), (SELECT CAST(quantile_cont(income, 0.5) AS DOUBLE) FROM one)) AS income, category, score,
   coalesce(email, (SELECT email FROM one WHERE email IS NOT NULL GROUP BY email ORDER BY count(*) DESC, email LIMIT 1)) AS email,
@@ -136,6 +146,11 @@ fences AS (SELECT quantile_cont(id, 0.25) - 1.5 * (quantile_cont(id, 0.75) - qua
   quantile_cont(age, 0.75) + 1.5 * (quantile_cont(age, 0.75) - quantile_cont(age, 0.25)) AS age_hi,
   quantile_cont(income, 0.25) - 1.5 * (quantile_cont(income, 0.75) - quantile_cont(income, 0.25)) AS income_lo,
   quantile_cont(income, 0.75) + 1.5 * (quantile_cont(income, 0.75) - quantile_cont(income, 0.25)) AS income_hi FROM filled)"""
+# all texts but the e-mails become categories, so near duplicates are rows with the same e-mail or with none
+_ALIKE = "two AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY email ORDER BY row_id) = 1),"
+_CLEAN_ALL_CTE = _CLEAN_CTE.replace("@two@", _ALIKE).replace("FROM one)", "FROM two)").replace("FROM one W", "FROM two W").replace(
+    "notes, flag FROM one", "notes, flag FROM two")
+_CLEAN_CTE = _CLEAN_CTE.replace("@two@", "")
 
 
 @register("clean_table", f"""
@@ -148,6 +163,16 @@ def clean_table(spark, sf):
                         "gender", "category", "score", "email", "notes", "flag")
 
 
+@register("clean_table_default", f"""
+WITH {_CLEAN_ALL_CTE} SELECT row_id, round(CASE WHEN age_lo = age_hi THEN age ELSE greatest(age_lo, least(age_hi, age)) END, 4) AS age,
+round(greatest(income_lo, least(income_hi, income)), 4) AS income, gender, category, score, email, notes, flag
+FROM filled, fences""")
+def clean_table_default(spark, sf):
+    table = clean(people(spark, sf), CleaningConfig(), "row_id").table
+    return table.select("row_id", F.round("age", 4).alias("age"), F.round("income", 4).alias("income"),
+                        "gender", "category", "score", "email", "notes", "flag")
+
+
 @register("clean_summary", f"""
 WITH {_CLEAN_CTE}, c AS (SELECT (SELECT count(*) FROM people) AS before, (SELECT count(*) FROM one) AS after,
 (SELECT count(*) * 3 - count(age) - count(income) - count(email) FROM one) AS filled_cells,

@@ -101,14 +101,13 @@ _LCS = """CAST(list_reduce(list_prepend(list_transform(range(0, length(b) + 1),
     lambda row, cj: list_append(row, CASE WHEN substr(a, ci[1], 1) = substr(b, cj[1], 1) THEN prev[cj[1]] + 1
                                      ELSE greatest(prev[cj[1] + 1], row[cj[1]]) END)))[-1] AS BIGINT)"""
 
-_SPELLINGS = each("SELECT DISTINCT '@' AS column_name, lower(regexp_replace(@, '^\\s+|\\s+$', '', 'g')) AS v, "
-                  "(SELECT count(@) FROM people) AS n FROM people WHERE @ IS NOT NULL", PEOPLE_TEXTS)
+_SPELLINGS = each("SELECT DISTINCT '@' AS column_name, lower(regexp_replace(@, '^\\s+|\\s+$', '', 'g')) AS v "
+                  "FROM people WHERE @ IS NOT NULL", PEOPLE_TEXTS)
 _FUZZY_CTE = f"""{PEOPLE_CTE}, spelled AS ({_SPELLINGS}),
-sized AS (SELECT column_name, v, n, count(*) OVER (PARTITION BY column_name) AS d FROM spelled),
-few AS (SELECT column_name, v FROM sized WHERE d < 100 AND d < n / 2.0),
-pairs AS (SELECT x.column_name, x.v AS a, y.v AS b FROM few x JOIN few y
+pairs AS (SELECT x.column_name, x.v AS a, y.v AS b FROM spelled x JOIN spelled y
           ON x.column_name = y.column_name AND x.v < y.v
-          AND 200.0 * least(length(x.v), length(y.v)) / (length(x.v) + length(y.v)) >= 85),
+          AND 200.0 * least(length(x.v), length(y.v)) / (length(x.v) + length(y.v)) >= 85
+          AND levenshtein(x.v, y.v) <= 0.15 * (length(x.v) + length(y.v))),
 scored AS (SELECT column_name, a, b, CAST(200.0 * {_LCS} / (length(a) + length(b)) AS DOUBLE) AS score FROM pairs),
 fuzzy AS (SELECT * FROM scored WHERE score >= 85)"""
 
@@ -120,9 +119,7 @@ def indel_theta_join(spark, sf):
     return pairs.select("column_name", "value_a", "value_b", F.round("score", 6).alias("score"))
 
 
-_CATEGORIES = """SELECT column_name, value, string_agg(m, ', ' ORDER BY m) AS matches FROM (
-SELECT column_name, a AS value, b AS m FROM fuzzy UNION ALL SELECT column_name, b, a FROM fuzzy)
-GROUP BY column_name, value"""
+_CATEGORIES = """SELECT column_name, a AS value, b AS match FROM fuzzy UNION ALL SELECT column_name, b, a FROM fuzzy"""
 
 
 @register("fuzzy_categories", f"WITH {_FUZZY_CTE} {_CATEGORIES}")
@@ -137,7 +134,7 @@ _VALUE_COUNTS = each(
 
 @register("value_noise", f"""
 WITH {_FUZZY_CTE}, categories AS ({_CATEGORIES}), counts AS ({_VALUE_COUNTS}),
-g AS (SELECT column_name, count(*) AS k FROM categories GROUP BY column_name)
+g AS (SELECT column_name, count(DISTINCT value) AS k FROM categories GROUP BY column_name)
 SELECT column_name, s AS sentinel_count, w AS whitespace_count, coalesce(k, 0) AS fuzzy_values,
        s + w AS noisy_count, s > 0 OR w > 0 OR coalesce(k, 0) > 0 AS affected
 FROM counts LEFT JOIN g USING (column_name)""")
@@ -194,26 +191,32 @@ def noise_breakdown(spark, sf):
 
 # --- spelled almost alike --------------------------------------------------------------
 
-_VALUES = each("SELECT '@' AS column_name, @ AS v, count(*) AS n FROM part GROUP BY @", ["p_name", "p_type", "p_brand"])
+_SPELLED = "(SELECT *, concat(p_name, ' ', p_type, ' ', p_brand) AS p_full FROM part)"
+_PART_TEXTS = ["p_name", "p_type", "p_brand", "p_full"]
+_VALUES = each(f"SELECT '@' AS column_name, @ AS v, count(*) AS n FROM {_SPELLED} GROUP BY @", _PART_TEXTS)
 _SIMILAR = f"""vals AS ({_VALUES}),
 sem AS (SELECT x.column_name, x.v AS a, y.v AS b, x.n + y.n AS n,
   CAST(1 AS DOUBLE) - levenshtein(x.v, y.v) / CAST(greatest(length(x.v), length(y.v)) AS DOUBLE) AS score
   FROM vals x JOIN vals y ON x.column_name = y.column_name AND x.v < y.v),
 hits AS (SELECT * FROM sem WHERE score >= 0.85)"""
-_PART_TEXTS = ["p_name", "p_type", "p_brand"]
+
+
+def _part(spark, sf):
+    """Parts with a text that has more than a thousand spellings."""
+    return table(spark, sf, "part").withColumn("p_full", F.concat_ws(" ", "p_name", "p_type", "p_brand"))
 
 
 @register("levenshtein_theta_join", f"""
 WITH {_SIMILAR} SELECT column_name, a AS value_a, b AS value_b, round(score, 6) AS score FROM hits""")
 def levenshtein_theta_join(spark, sf):
-    pairs = semantic.semantic_pairs(table(spark, sf, "part"), _PART_TEXTS)
+    pairs = semantic.semantic_pairs(_part(spark, sf), _PART_TEXTS)
     return pairs.select("column_name", "value_a", "value_b", F.round("score", 6).alias("score"))
 
 
 @register("semantic_duplicates", f"""
 WITH {_SIMILAR} SELECT column_name, a AS value_a, b AS value_b, round(score, 6) AS score, n AS n_rows FROM hits""")
 def semantic_duplicates(spark, sf):
-    return semantic.semantic_duplicates(table(spark, sf, "part"), _PART_TEXTS)
+    return semantic.semantic_duplicates(_part(spark, sf), _PART_TEXTS)
 
 
 @register("rows_of_pair_semijoin", f"""

@@ -113,8 +113,7 @@ def top_issues(spark, sf):
 
 @register("statistical_summary")
 def statistical_summary(spark, sf):
-    summary = report.statistical_summary(people(spark, sf), _CONFIG, "row_id")
-    return summary.select(F.to_json("report").alias("report"))
+    return report.statistical_summary(people(spark, sf), _CONFIG, "row_id")
 
 
 @register("quality_report")

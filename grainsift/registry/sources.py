@@ -32,6 +32,16 @@ def src_csv(spark, sf):
     return _by_segment(readers.read_csv(spark, folder))
 
 
+@register("src_csv_text", """
+SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS text_length, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines
+FROM documents""")
+def src_csv_text(spark, sf):
+    folder = _new_folder(spark, ".csv")
+    writers.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "text"), folder)
+    back = readers.read_csv(spark, folder)
+    return back.select("doc_id", "lang", F.length("text").alias("text_length"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
+
+
 @register("src_na_normalize", """
 SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS name,
        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS balance FROM customer""")
@@ -66,7 +76,7 @@ UNION ALL SELECT 'documents', 'ISO-8859-1', CAST(count(*) AS BIGINT) FROM docume
 def src_encoding_probe(spark, sf):
     plain, western = _new_folder(spark, ".csv"), _new_folder(spark, ".csv")
     table(spark, sf, "customer").select("c_custkey", "c_name").write.option("header", True).csv(plain)
-    words = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[\r\n]+", " ").alias("text"))
+    words = table(spark, sf, "documents").select("doc_id", "text")
     words.write.options(header=True, encoding="ISO-8859-1", escape='"').csv(western)
     frames = []
     for name, folder in (("customer", plain), ("documents", western)):

@@ -57,6 +57,11 @@ SELECT o_orderkey AS row_id,
             ELSE '20220630' END AS date_text,
        CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderpriority END AS priority,
        concat('order ', CAST(o_orderkey AS STRING)) AS free_text,
+       CASE o_orderkey % 4 WHEN 0 THEN '2024-01-31T10:00:00Z' WHEN 1 THEN '2024-01-31T10:00:00.250'
+            WHEN 2 THEN '2024-01-31 10:00' ELSE '31/12/2024' END AS time_text,
+       concat(CAST(o_orderkey % 40 + 1 AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN 'D' ELSE 'F' END) AS seat_text,
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'no' ELSE 'yes' END AS gap_text,
+       concat('9999-99-', CAST(10 + o_orderkey % 80 AS STRING)) AS no_date_text,
        CAST(NULL AS STRING) AS nothing
 FROM {orders}
 """

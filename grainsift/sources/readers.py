@@ -7,6 +7,7 @@ from typing import Optional, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from grainsift.functions import fixed_values as fixed
+from grainsift.functions.columns import quoted, text_number_sql
 
 READABLE = (".csv", ".json", ".parquet")
 DEFAULT_MAX_ROWS = 10_000
@@ -14,12 +15,13 @@ _TEXT_ENCODINGS = ("UTF-8", "ISO-8859-1")
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True, encoding: str = "UTF-8",
-             schema: Optional[T.StructType] = None) -> DataFrame:
+             schema: Optional[T.StructType] = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header; missing-value words become NULL before types are inferred.
 
-    Inference reads the files once more: give a schema for large inputs.
+    Inference reads the files once more: give a schema for large inputs. With ``multi_line`` a quoted cell may
+    hold line breaks, and one file is one task's work; without it, files are split and a line is a row.
     """
-    options = {"header": True, "encoding": encoding, "multiLine": False, "escape": '"'}
+    options = {"header": True, "encoding": encoding, "multiLine": multi_line, "escape": '"'}
     if schema is not None:
         return na_normalize(spark.read.options(**options).schema(schema).csv(path))
     raw = na_normalize(spark.read.options(**options).csv(path))
@@ -33,8 +35,8 @@ def _infer(raw: DataFrame) -> DataFrame:
     for i, c in enumerate(raw.columns):
         column = F.col(f"`{c}`")
         checks += [F.count(column).alias(f"n{i}"),
-                   F.count(column.try_cast("long")).alias(f"l{i}"),
-                   F.count(column.try_cast("double")).alias(f"d{i}"),
+                   F.count(F.when(column.rlike(fixed.INTEGER_PATTERN), column.try_cast("long"))).alias(f"l{i}"),
+                   F.count(F.expr(text_number_sql(quoted(c)))).alias(f"d{i}"),
                    F.count_if(F.lower(column).isin("true", "false")).alias(f"b{i}")]
     if not checks:
         return raw
@@ -68,7 +70,8 @@ def na_normalize(df: DataFrame) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of records, or one record per line: the first character decides."""
-    start = spark.read.text(path).filter(F.trim("value") != "").select(F.ltrim("value")).first()
+    mark = F.substring(F.ltrim("value"), 1, 1)       # one character travels, however long the line is
+    start = spark.read.text(path).select(mark).filter(mark != "").first()
     is_array = bool(start and start[0].startswith("["))
     return spark.read.option("multiLine", is_array).json(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from grainsift import AnalysisConfig, CleaningConfig
 from grainsift.functions.similarity import indel_ratio
 from grainsift.functions.text import language, reading_ease, syllable_count
-from grainsift.operators import balance, bias, duplicates, forest, noise, outliers, profile, textscan, typeinfer
+from grainsift.operators import balance, bias, duplicates, forest, noise, outliers, profile, semantic, textscan, typeinfer
 from grainsift.operators.impute import impute
 from grainsift.plans.cleaning import clean
 from grainsift.plans.scoring import score_measures
@@ -199,3 +199,66 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read_table(spark, "table.xlsx")
     assert writers.cleaned_name("my data (1).csv") == "my_data__1__cleaned.csv"
+
+
+def test_types_follow_plain_numbers_and_readable_dates(spark):
+    rows = [(f"{i % 9 + 1}D", f"2024-01-{i % 28 + 1:02d}T10:00:00{z}", "9999-99-99", None if i % 4 == 0 else "yes", "inf" if i % 20 == 0 else ".5")
+            for i, z in zip(range(100), ["Z", "", ".250", "+02:00"] * 25)]
+    df = spark.createDataFrame(rows, "seat string, at string, never string, gaps string, number string")
+    table, report = typeinfer.convert_types(df)
+    kinds = {r["column_name"]: (r["original_type"], r["inferred_type"], r["converted_to"], r["failure"]) for r in report.collect()}
+    assert kinds["seat"][1] == "categorical" and table.schema["seat"].dataType.simpleString() == "string"
+    assert kinds["at"] == ("string", "datetime", "timestamp", None)
+    assert table.filter("at IS NULL").count() == 0
+    assert kinds["never"] == ("string", "datetime", None, "holds no date that can be read")
+    assert kinds["number"][1:3] == ("float", "double") and kinds["gaps"][1:3] == ("boolean", "boolean")
+    filled, filling = impute(table, "median")
+    used = {r["column_name"]: (r["strategy_used"], r["fill_value"]) for r in filling.collect()}
+    assert used == {"gaps": ("mode (fallback)", "True")}
+    assert filled.schema["gaps"].dataType.simpleString() == "boolean"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("2024-01-31T10:00:00Z", "2024-01-31 10:00:00"), ("2024-01-31T10:00:00", "2024-01-31 10:00:00"),
+    ("2024-01-31 10:00:00.123", "2024-01-31 10:00:00.123"), ("2024-01-31 10:00", "2024-01-31 10:00:00"),
+    ("2024/01/31 10:00:05", "2024-01-31 10:00:05"), ("31/12/2024", "2024-12-31 00:00:00"), ("01/02/2024", "2024-01-02 00:00:00"),
+    ("31-12-2024 23:59", "2024-12-31 23:59:00"), ("20240131", "2024-01-31 00:00:00"), ("2024-13-41", None), ("12D", None)])
+def test_date_forms(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(typeinfer.parse_date(F.col("t")).cast("string")).first()[0]
+    assert (got and got.ljust(19, "0")) == want
+
+
+def test_columns_without_a_stand_in_are_reported_as_failed(spark):
+    df = spark.createDataFrame([(1, None, None), (2, None, None)], "id long, at timestamp, text string")
+    filled, report = impute(df, "median")
+    assert [tuple(r) for r in report.orderBy("column_name").collect()] == [("at", "failed", 0, None), ("text", "mode (fallback)", 2, "Unknown")]
+    assert {r["at"] for r in filled.collect()} == {None}
+
+
+def test_csv_keeps_line_breaks_and_codes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb", "12D", "7"), (2, "c, \"d\"", "7F", "8")], "id long, text string, seat string, n string")
+    writers.write_csv(df, f"{tmp_path}/x.csv")
+    back = readers.read_csv(spark, f"{tmp_path}/x.csv")
+    assert dict(back.dtypes) == {"id": "bigint", "text": "string", "seat": "string", "n": "bigint"}
+    assert sorted((r["id"], r["text"], r["seat"]) for r in back.collect()) == [(1, "a\nb", "12D"), (2, 'c, "d"', "7F")]
+
+
+def test_columns_with_many_spellings_are_compared(spark):
+    import random
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(1100)]
+    near = {tuple(sorted((w, w[:5] + "0" + w[6:]))) for w in words[:40]}
+    df = spark.createDataFrame([(w,) for w in {*words, *(w for pair in near for w in pair)}], "c string")
+    assert {(r["value_a"], r["value_b"]) for r in semantic.semantic_pairs(df, ["c"]).collect()} == near
+    assert semantic.semantic_pairs(df, ["c"], max_distinct=1000).count() == 0
+
+
+def test_long_spellings_end_in_time(spark):
+    import random
+    rng = random.Random(1)
+    rows = []
+    for _ in range(150):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60))
+        rows += [(text,), (text[:30] + "x" + text[33:],)]
+    found = noise.fuzzy_categories(spark.createDataFrame(rows, "c string"))
+    assert found.count() == 300
