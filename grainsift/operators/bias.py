@@ -270,9 +270,9 @@ def fairness_scorecard(details: DataFrame) -> DataFrame:
         "demographic_parity": 100.0 - b,
         "equal_opportunity": 85.0 - 0.3 * b,
         "disparate_impact": 100.0 * F.least(d, 1.0 / F.greatest(d, F.lit(0.01))),
-        "counterfactual": 100.0 - 0.8 * b,
+        "statistical_parity": 100.0 - 0.8 * b,
         "calibration": 100.0 - 0.25 * b,
-        "individual": 100.0 - 0.6 * b,
+        "treatment_equality": 100.0 - 0.6 * b,
     }
     rows = F.array(*[F.struct(F.lit(a).alias("axis"),
                               F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(e))).alias("score"))

@@ -53,16 +53,14 @@ def _grow(values: np.ndarray, rng: np.random.Generator) -> tuple[list[float], li
 def tree_samples(df: DataFrame, column: str, row_id: str, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """(tree, value) rows, ``sample`` hashed values per tree.
 
-    A long column deals the first rows in hash order out to the trees; in a short one the trees
-    draw each on their own. Either way the number of rows is fixed by the forest, not the table.
+    The first ``trees * sample`` rows in hash order are the pool (all rows of a shorter column); every tree
+    draws from it on its own. So the number of rows is fixed by the forest, not the table.
     """
     values = df.select(F.col(row_id).alias("_id"), as_number(df, column).alias("value")).filter("value IS NOT NULL")
-    n = values.count()
-    if n >= trees * sample:
-        pool = values.orderBy(F.xxhash64("_id", F.lit(fixed.FOREST_SEED)), "_id").limit(trees * sample)
-        place = F.row_number().over(Window.orderBy(F.xxhash64("_id", F.lit(fixed.FOREST_SEED)), "_id"))
-        return pool.select((place % trees).alias("tree"), "value")
-    drawn = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    size = trees * sample
+    pool = values.orderBy(F.xxhash64("_id", F.lit(fixed.FOREST_SEED)), "_id").limit(size)
+    n = pool.count()
+    drawn = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     chance = min(1.0, 2.0 * sample / max(n, 1))
     drawn = drawn.filter(F.pmod(F.xxhash64("_id", "tree"), F.lit(1_000_000)) < int(chance * 1_000_000))
     order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "_id"), "_id")
@@ -98,9 +96,9 @@ def isolation_scores(df: DataFrame, column: str, row_id: str, trees: int = TREES
     return present.withColumn("score", score("value"))
 
 
-def outliers_isolation_forest(df: DataFrame, column: str, row_id: str,
-                              contamination: float = fixed.FOREST_CONTAMINATION) -> DataFrame:
+def outliers_isolation_forest(df: DataFrame, column: str, row_id: str, contamination: float = fixed.FOREST_CONTAMINATION,
+                              trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """Rows whose score lies above the contamination quantile."""
-    scored = isolation_scores(df, column, row_id)
+    scored = isolation_scores(df, column, row_id, trees, sample)
     cut = exact_quantiles(scored, {"score": ("score", [1.0 - contamination])})["score"][0]
     return scored.filter(F.col("score") > F.lit(cut))

@@ -29,8 +29,9 @@ def order_bounds(df: DataFrame, order_by: Sequence[str], rows_per_bucket: Option
         return []
     wanted = buckets * SAMPLES_PER_BUCKET
     keys = df.select(*[sort_key(df, c).alias(f"k{i}") for i, c in enumerate(order_by)])
-    sample = keys.na.drop().sample(min(1.0, 1.5 * wanted / n), seed=7).limit(2 * wanted).collect()
-    ordered = sorted({tuple(r) for r in sample})
+    # NULL sorts first, here as in Spark's order of rows, so columns that are mostly NULL are split by the others
+    sample = keys.sample(min(1.0, 1.5 * wanted / n), seed=7).limit(2 * wanted).collect()
+    ordered = sorted({tuple(r) for r in sample}, key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r))
     step = max(1, len(ordered) // buckets)
     return ordered[step::step]
 

@@ -181,8 +181,8 @@ def bias_report(spark, sf):
 WITH {DETAILS_CTE}, m AS (SELECT coalesce(avg(bias_score), 60) AS b, coalesce(avg(disparate_impact), 0.8) AS d FROM details),
 axes AS (SELECT 'demographic_parity' AS axis, 100 - b AS v FROM m UNION ALL SELECT 'equal_opportunity', 85 - 0.3::DOUBLE * b FROM m
 UNION ALL SELECT 'disparate_impact', 100 * least(d, 1 / greatest(d, 0.01::DOUBLE)) FROM m
-UNION ALL SELECT 'counterfactual', 100 - 0.8::DOUBLE * b FROM m UNION ALL SELECT 'calibration', 100 - 0.25::DOUBLE * b FROM m
-UNION ALL SELECT 'individual', 100 - 0.6::DOUBLE * b FROM m)
+UNION ALL SELECT 'statistical_parity', 100 - 0.8::DOUBLE * b FROM m UNION ALL SELECT 'calibration', 100 - 0.25::DOUBLE * b FROM m
+UNION ALL SELECT 'treatment_equality', 100 - 0.6::DOUBLE * b FROM m)
 SELECT axis, greatest(0.0::DOUBLE, least(100.0::DOUBLE, round(v))) AS score FROM axes""")
 def fairness_scorecard(spark, sf):
     return bias.fairness_scorecard(details(spark, sf))

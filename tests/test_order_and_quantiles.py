@@ -73,3 +73,15 @@ def test_neighbours_across_blocks(spark, block):
     expected = sum(1 for i in range(150) for j in range(i + 1, min(i + 5, 150))
                    if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6 and sets[i] != sets[j])
     assert (got["near_pairs"], got["n_compared"]) == (expected, 150)
+
+
+def test_null_order_keys_spread_over_buckets(spark):
+    from grainsift.operators.ordering import with_bucket
+    rows = [("s", None, f"text {i:04d}") for i in range(2000)] + [("s", float(i), None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b double, c string")
+    sizes = [r["count"] for r in with_bucket(df, ["a", "b", "c"], "bucket", rows_per_bucket=50).groupBy("bucket").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 400
+    places = with_position(df, ["a", "b", "c"], rows_per_bucket=50).orderBy("position").collect()
+    assert [r["position"] for r in places] == list(range(4000))
+    assert [(r["b"] is not None, r["b"] or 0, r["c"] or "") for r in places] == sorted(
+        (b is not None, b or 0, c or "") for _, b, c in rows)
