@@ -76,17 +76,15 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     alike: dict[tuple, list[str]] = {}
     for i, c in enumerate(df.columns):
         alike.setdefault((df.schema[c].dataType.simpleString(), marks[f"n{i}"], marks[f"h{i}"]), []).append(c)
-    pairs = [(a, b) for group in alike.values() for j, b in enumerate(group) for a in group[:j]]
-    schema = "column_name string, same_as string"
-    if not pairs:
-        return tidy_schema_rows(df, [], schema)
-    equal = df.agg(*[F.coalesce(F.bool_and(cell_text(df, a).eqNullSafe(cell_text(df, b))), F.lit(True))
-                     .alias(f"e{i}") for i, (a, b) in enumerate(pairs)]).first()
     first: dict[str, str] = {}
-    for i, (a, b) in enumerate(pairs):
-        if equal[i]:
-            first.setdefault(b, a)
-    return tidy_schema_rows(df, list(first.items()), schema)
+    groups = [g for g in alike.values() if len(g) > 1]
+    while groups:                       # one comparison per column; a second round only where fingerprints lied
+        pairs = [(g[0], c) for g in groups for c in g[1:]]
+        equal = df.agg(*[F.coalesce(F.bool_and(cell_text(df, a).eqNullSafe(cell_text(df, b))), F.lit(True))
+                         .alias(f"e{i}") for i, (a, b) in enumerate(pairs)]).first()
+        first |= {b: a for i, (a, b) in enumerate(pairs) if equal[i]}
+        groups = [g for g in ([c for c in g[1:] if c not in first] for g in groups) if len(g) > 1]
+    return tidy_schema_rows(df, list(first.items()), "column_name string, same_as string")
 
 
 def neighbour_pairs(df: DataFrame, row_id: str, threshold: float, reach: int = 4,
