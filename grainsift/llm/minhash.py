@@ -9,9 +9,9 @@
    similarity has the posterior Beta(m + 1, n - m + 1); a pair goes when the probability of reaching
    the threshold is below the miss probability.
 4. Pairs that stay are verified on their full shingle sets, and give groups.
-5. Buckets that still hold several groups are compared in blocks across groups, twice: first only the
-   best pairs that would join the groups, then all that are left. Pairs inside a group need no check, so a
-   family of near copies costs a tree of checks, and no link between groups is lost to the blocks.
+5. Buckets that still hold several groups are compared in blocks across groups: the sequential test leaves
+   pairs, and these are verified on full sets, most equal values first, unless they were joined meanwhile. So a
+   family of near copies costs rows in proportion to its nodes, and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from grainsift.llm.common import free_name, small
-from grainsift.llm.links import component_labels, forest
+from grainsift.llm.links import component_labels
 from grainsift.llm.tokens import mix, sequence_hash, word_slices
 from grainsift.operators.materialize import materialize
 
@@ -40,6 +40,8 @@ BATCH = 32
 MISS_PROBABILITY = 1e-6
 #: nodes of one bucket compared in one block
 BLOCK = 512
+#: rows of bucket blocks that are handled in one call, on average
+LOT_ROWS = 3_000
 
 _rng = np.random.Generator(np.random.PCG64(20240817))
 _FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,43 +159,101 @@ def _prune(threshold: float, miss: float):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity; sizes too far apart need no look inside."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                    for x, y in zip(batch["set_a"], batch["set_b"])]
             yield batch.loc[np.array(good, dtype=bool), ["a", "b"]]
     return run
 
 
-def _across(threshold: float, miss: float, only_forest: bool):
-    """Pairs of nodes of different groups in a bucket's block pair that pass the sequential test."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        signs = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, HASHES)
-        label, side, nodes = group["code"].to_numpy(), group["side"].to_numpy(), group["node"].to_numpy()
-        within = (group["block_a"].iloc[0] == group["block_b"].iloc[0])
-        rows = np.arange(len(group)) if within else np.flatnonzero(side == 0)
-        cols = np.arange(len(group)) if within else np.flatnonzero(side == 1)
-        found = []
-        for i in rows:
-            others = cols[(label[cols] != label[i]) & ((cols > i) | (not within))]
-            if len(others):
-                alive, equal = sequential_survivors(np.broadcast_to(signs[i], (len(others), HASHES)), signs[others],
-                                                    threshold, miss)
-                found.append(np.stack([np.full(len(alive), i), others[alive], equal], axis=1))
-        found = np.concatenate(found) if found else np.zeros((0, 3), int)
-        if only_forest and len(found):
-            found = found[np.argsort(-found[:, 2], kind="stable")]
-            found = found[forest(label[found[:, 0]], label[found[:, 1]])]
-        a, b = nodes[found[:, 0]], nodes[found[:, 1]]
-        swap = np.array([x > y for x, y in zip(a, b)], dtype=bool)
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b)})
+def _across(threshold: float, miss: float):
+    """Nodes of a bucket's block pair in pairs across groups that pass the sequential test.
+
+    Each bucket gives one row per such node, with its place; the first one carries the pairs of places in order
+    of equal values. A pair is taken in the first band it agrees in only.
+    """
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "block_a", "block_b"], kind="stable", ignore_index=True)
+        signs = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
+        code, side, band = (rows[c].to_numpy() for c in ("code", "side", "band"))
+        place = rows[["key", "block_a", "block_b"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1)]))
+        picked, places, texts = [], [], []
+        for lo, hi in zip(starts, np.append(starts[1:], len(rows))):
+            if place[lo, 1] == place[lo, 2]:
+                first, second = _triangle(hi - lo)
+                first, second = first + lo, second + lo
+            else:
+                left, right = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)
+                first, second = np.repeat(left, len(right)), np.tile(right, len(left))
+            apart = code[first] != code[second]
+            first, second = first[apart], second[apart]
+            found = []
+            for at in range(0, len(first), 4096):
+                a, b = first[at:at + 4096], second[at:at + 4096]
+                alive, equal = sequential_survivors(signs[a], signs[b], threshold, miss)
+                a, b = a[alive], b[alive]
+                if band[lo]:
+                    early = (signs[a, :band[lo] * BAND_ROWS] == signs[b, :band[lo] * BAND_ROWS]).reshape(
+                        len(a), band[lo], BAND_ROWS).all(axis=2).any(axis=1)
+                    a, b, equal = a[~early], b[~early], equal[~early]
+                found.append(np.stack([a, b, equal], axis=1))
+            found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            if len(found):
+                found = found[np.argsort(-found[:, 2], kind="stable"), :2]
+                used, local = np.unique(found, return_inverse=True)
+                picked.append(used)
+                places.append(np.arange(len(used)))
+                texts += [local.reshape(-1, 2).astype(np.int32).tobytes()] + [None] * (len(used) - 1)
+        if not picked:
+            return pd.DataFrame({c: [] for c in ("key", "block_a", "block_b", "node", "place", "pairs")})
+        out = rows.loc[np.concatenate(picked), ["key", "block_a", "block_b", "node"]]
+        return out.assign(place=np.concatenate(places), pairs=texts)
     return run
 
 
+@lru_cache(maxsize=256)
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def _confirm(percent: int):
+    """Links that join the groups of each bucket: its pairs in order, those joined already left out."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, part in rows.sort_values(["key", "block_a", "block_b", "place"]).groupby(["key", "block_a", "block_b"], sort=False):
+            nodes = part["node"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+            root = list(range(len(nodes)))
+            for x, y in np.frombuffer(part["pairs"].iloc[0], np.int32).reshape(-1, 2).tolist():
+                x_root, y_root = _find(root, x), _find(root, y)
+                if x_root != y_root and similar(sets[x], sets[y], percent):
+                    root[max(x_root, y_root)] = min(x_root, y_root)
+                    a.append(min(nodes[x], nodes[y]))
+                    b.append(max(nodes[x], nodes[y]))
+        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+    return run
+
+
+def _find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
 def _with_groups(members: DataFrame, links: DataFrame | None) -> DataFrame:
     """Adds ``group``: the label of the node's group so far, else the node itself."""
     if links is None:
@@ -212,12 +272,17 @@ def _block_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
     dealt = (coded.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
              .join(signatures, "node"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    return (dealt.select("key", "node", "code", "signature", "own", other)
-            .select("key", "node", "code", "signature", F.least("own", "other").alias("block_a"),
+    return (dealt.select("key", "band", "node", "code", "signature", "own", other)
+            .select("key", "band", "node", "code", "signature", F.least("own", "other").alias("block_a"),
                     F.greatest("own", "other").alias("block_b"),
                     (F.col("own") > F.col("other")).cast("int").alias("side")))
 
 
+def _gathered(rows: DataFrame, total: int, size: int) -> DataFrame:
+    """Adds ``lot``: whole bucket blocks by hash, about ``size`` rows in each, so that small ones share a call."""
+    return rows.withColumn("lot", F.pmod(F.xxhash64("key", "block_a", "block_b"), F.lit(max(1, -(-total // size)))))
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, width: int = 3, miss: float = MISS_PROBABILITY,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``n_copies``,
@@ -245,7 +310,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = 3, miss: floa
     signatures = signatures.select("node", "signature")
 
     postings = (signatures.mapInPandas(_keys_of, "node binary, keys array<long>")
-                .select("node", F.xxhash64("node").alias("code"), F.explode("keys").alias("key")))
+                .select("node", F.xxhash64("node").alias("code"), F.posexplode("keys").alias("band", "key")))
     shared = (postings.groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("most"))
               .filter("least <> most").select("key", "least"))
     members = materialize(postings.join(shared, "key").distinct())
@@ -272,12 +337,12 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = 3, miss: floa
     with_signs = (stars.join(family_signs.select(F.col("node").alias("a"), F.col("signature").alias("sign_a")), "a")
                   .join(family_signs.select(F.col("node").alias("b"), F.col("signature").alias("sign_b")), "b"))
     links = confirmed(materialize(with_signs.mapInPandas(_prune(percent / 100, miss), "a binary, b binary")))
-    for only_forest in (True, False):
-        grouped = _with_groups(members.select("key", "node"), links)
-        blocks = _block_pairs(grouped, family_signs)
-        pairs = blocks.groupBy("key", "block_a", "block_b").applyInPandas(
-            _across(percent / 100, miss, only_forest), "a binary, b binary").distinct()
-        links = materialize(links.union(confirmed(materialize(pairs))))
+    grouped = _with_groups(members.select("key", "band", "node"), links)
+    blocks = _gathered(_block_pairs(grouped, family_signs), members.count(), LOT_ROWS)
+    pairs = materialize(blocks.groupBy("lot").applyInPandas(
+        _across(percent / 100, miss), "key long, block_a long, block_b long, node binary, place int, pairs binary"))
+    open_pairs = _gathered(pairs.join(sets, "node"), pairs.count(), LOT_ROWS)
+    links = links.union(open_pairs.groupBy("lot").applyInPandas(_confirm(percent), "a binary, b binary"))
     return _result(facts, nodes, component_labels(links))
 
 
