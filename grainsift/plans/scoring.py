@@ -248,6 +248,8 @@ def classify_issues(analysis: Analysis) -> DataFrame:
                 _rule(F.col("error_count"), None, None), "Bring the values to one number format."),
         _issues(analysis.constant, "noise", "constant_column", name, F.lit(1.0),
                 _rule(F.lit(1.0), None, None), "Drop the column: it carries no information."),
+        _issues(analysis.high_cardinality, "noise", "high_cardinality_column", name, F.lit(1.0),
+                _rule(F.lit(1.0), None, None), "Drop the column or group its values before it is encoded."),
         _issues(analysis.exact_duplicates.filter(same > 0), "duplicate", "duplicate_fraction", none, same,
                 _rule(same, 0.10, None), "Remove the repeated rows."),
         _issues(analysis.bias.filter(score > 0), "bias", "bias_score", name, score,

@@ -83,6 +83,7 @@ UNION ALL SELECT 'noise', 'outlier_fraction', f.column_name, f.value, 1e9::DOUBL
   JOIN findings c ON c.column_name = f.column_name AND c.finding = 'outliers' AND c.value > 0 WHERE f.finding = 'outlier_fraction'
 UNION ALL SELECT 'noise', 'formatting_errors', column_name, value, 1e18::DOUBLE, 1e18::DOUBLE FROM findings WHERE finding = 'formatting_errors'
 UNION ALL SELECT 'noise', 'constant_column', column_name, 1, 1e9, 1e9 FROM findings WHERE finding = 'constant_column'
+UNION ALL SELECT 'noise', 'high_cardinality_column', column_name, 1, 1e9, 1e9 FROM findings WHERE finding = 'high_cardinality_column'
 UNION ALL SELECT 'duplicate', 'duplicate_fraction', NULL, duplicate_fraction, 0.1, 1e9 FROM measures WHERE duplicate_fraction > 0
 UNION ALL SELECT 'bias', 'bias_score', column_name, bias_score, 60, 30 FROM details WHERE bias_score > 0
 UNION ALL SELECT 'imbalance', 'imbalance_ratio', 'score', ratio, 10, 3 FROM measures WHERE ratio >= 3),
