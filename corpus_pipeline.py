@@ -15,7 +15,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity model, fitted on the labelled rows, does not call toxic."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels))
     return toxicity.drop_toxic(docs, model)
 
 

@@ -60,11 +60,16 @@ def _run(weights: dict, side: str, projected: np.ndarray, rows: np.ndarray, here
     return states
 
 
-def forward(weights: dict, vectors: np.ndarray, rows: np.ndarray, here: np.ndarray, trace: dict | None = None) -> np.ndarray:
-    """Logit of each sequence; ``rows`` (steps, sequences) are positions in ``vectors``, ``here`` says which are words."""
+def projected(weights: dict, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What word vectors add to the gates, ahead and behind."""
+    return vectors @ weights["in_f"] + weights["bias_f"], vectors @ weights["in_b"] + weights["bias_b"]
+
+
+def forward(weights: dict, inputs: tuple, rows: np.ndarray, here: np.ndarray, trace: dict | None = None) -> np.ndarray:
+    """Logit of each sequence; ``rows`` (steps, sequences) are positions in ``inputs``, ``here`` says which are words."""
     keeps = ([], []) if trace is not None else (None, None)
-    ahead = _run(weights, "f", vectors @ weights["in_f"] + weights["bias_f"], rows, here, keeps[0])
-    behind = _run(weights, "b", vectors @ weights["in_b"] + weights["bias_b"], rows[::-1], here[::-1], keeps[1])[::-1]
+    ahead = _run(weights, "f", inputs[0], rows, here, keeps[0])
+    behind = _run(weights, "b", inputs[1], rows[::-1], here[::-1], keeps[1])[::-1]
     states = np.concatenate([ahead, behind], axis=2)
     level = np.where(here, states @ weights["attend"], -1e9)
     share = np.exp(level - level.max(axis=0))
@@ -100,7 +105,7 @@ def gradient(weights: dict, word: np.ndarray, gram: np.ndarray, owner: np.ndarra
              here: np.ndarray, target: np.ndarray, cost: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean weighted cross-entropy of sequences and its gradient."""
     vectors, trace = word_vectors(weights, word, gram, owner, scale), {}
-    logit = forward(weights, vectors, rows, here, trace)
+    logit = forward(weights, projected(weights, vectors), rows, here, trace)
     total = cost.sum()
     loss = float((cost * (np.logaddexp(0, logit) - target * logit)).sum() / total)
     on_logit = (cost * (_sigmoid(logit) - target) / total).astype(np.float32)

@@ -103,7 +103,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 0
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.filter(~held_out).join(labels.filter(~held_out), "doc_id"))
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels.filter(~held_out)))
     return toxicity.score_toxicity(docs.withColumn("held_out", held_out), model).drop("text")
 
 

@@ -22,11 +22,14 @@ from grainsift.llm import gru
 from grainsift.llm.common import free_name
 from grainsift.llm.langid import gram_hashes
 from grainsift.llm.tokens import LETTERS, HashIndex, Words, word_slices
+from grainsift.operators.materialize import materialize
 
 WINDOW, STRIDE = 48, 24
-#: labelled texts that the network is fitted on, per label at most (the smallest by a hash), and their longest size
-TRAIN_DOCS = {1: 1_500, 0: 3_000}
+#: labelled texts that are learned from, per label at most (the smallest by a hash), and their longest size
+EVIDENCE_DOCS = {1: 4_000, 0: 12_000}
 TRAIN_CHARS = 12_000
+#: of these, texts that the network is fitted on, per label at most
+TRAIN_DOCS = {1: 1_500, 0: 3_000}
 #: words and n-grams with embeddings of their own: those with most evidence, in three texts at least
 MODEL_WORDS, MODEL_GRAMS = 6_000, 20_000
 ORDERS = (3, 4, 5)
@@ -92,13 +95,14 @@ class Lookup:
         word = self.words.find(keys)
         grams, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         counts = np.ones(len(keys))
-        texts = [part.text(i) for i in first]
-        for order in ORDERS:
-            hashes, owner = gram_hashes(texts, order)
-            counts += np.bincount(owner, minlength=len(keys))
-            at = self.grams.find(hashes)
-            grams.append(at[at >= 0])
-            owners.append(owner[at >= 0])
+        for lo in range(0, len(keys), 30_000):
+            texts = [part.text(i) for i in first[lo:lo + 30_000]]
+            for order in ORDERS:
+                hashes, owner = gram_hashes(texts, order)
+                counts[lo:lo + 30_000] += np.bincount(owner, minlength=len(texts))
+                at = self.grams.find(hashes)
+                grams.append(at[at >= 0])
+                owners.append(owner[at >= 0] + lo)
         return word, np.concatenate(grams), np.concatenate(owners), (1 / np.sqrt(counts)).astype(np.float32), which
 
 
@@ -119,10 +123,10 @@ def _steps(start: np.ndarray, end: np.ndarray, which: np.ndarray) -> tuple[np.nd
 
 
 def window_logits(weights: dict, vectors: np.ndarray, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), np.float32)
+    out, inputs = np.empty(len(start), np.float32), gru.projected(weights, vectors)
     for at in range(0, len(start), 2048):
         rows, here = _steps(start[at:at + 2048], end[at:at + 2048], which)
-        out[at:at + 2048] = gru.forward(weights, vectors, rows, here)
+        out[at:at + 2048] = gru.forward(weights, inputs, rows, here)
     return out
 
 
@@ -189,27 +193,41 @@ def combine(features: np.ndarray, toxic: np.ndarray, penalty: float = 0.3, round
     return w
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", seed: int = SEED) -> Model | None:
-    """Model from rows with a label of 0 or 1; None without rows of both labels.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    label_col: str = "toxic") -> DataFrame:
+    """A bounded sample of labelled texts: (toxic, text). Ids are chosen among the labels first, so that no
+    text is moved but the sample's."""
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(
+        F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
+    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    order = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    chosen = [marked.filter((F.col("toxic") == label) & (order < int(min(1.0, 1.2 * most / sizes.get(label, 1) + 0.01) * (1 << 30))))
+              .orderBy(order, "id").limit(most) for label, most in EVIDENCE_DOCS.items()]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    joined = rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("_id") == F.col("id"))
+    return joined.filter(F.length("text") <= TRAIN_CHARS).select("toxic", "text")
+
+
+def fit(sample: DataFrame, seed: int = SEED) -> Model | None:
+    """Model from texts with a label of 0 or 1 (``text``, ``toxic``); None without texts of both labels.
 
-    The evidence counts all labelled rows up to the longest size; the network sees a bounded sample.
+    The evidence counts all given texts; the network sees some of them.
     """
-    rows = labelled.select(F.col(label_col).cast("int").alias("toxic"), F.col(text_col).alias("text")).filter(
-        F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    rows = materialize(sample.select(F.col("toxic").cast("int").alias("toxic"), "text").filter(
+        F.col("toxic").isin(0, 1) & F.col("text").isNotNull()))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {0, 1}:
         return None
-    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    share = {label: min(1.0, 1.3 * TRAIN_DOCS[label] / sizes[label] + 50 / sizes[label]) for label in (0, 1)}
-    near = [rows.filter((F.col("toxic") == label) & (order < int(share[label] * (1 << 30)))).orderBy(order, "text")
-            .limit(TRAIN_DOCS[label]).toPandas() for label in (1, 0)]
+    order = F.xxhash64("text")
+    near = [rows.filter(F.col("toxic") == label).orderBy(order, "text").limit(TRAIN_DOCS[label]).toPandas() for label in (1, 0)]
     sample = pd.concat(near, ignore_index=True)
 
     rate = sizes[1] / (sizes[0] + sizes[1])
     expected = F.col("n") * rate
     counted = (rows.mapInArrow(_evidence, "kind int, hash long, n long, toxic long").groupBy("kind", "hash")
                .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter("n >= 3")
-               .withColumn("z", (F.col("toxic") - expected) / F.sqrt(expected + 1)))
+               .withColumn("z", (F.col("toxic") - expected) / F.sqrt(expected + 1)).select("kind", "hash", "z"))
+    counted = materialize(counted)
     def most(words: bool, size: int) -> pd.DataFrame:
         picked = counted.filter("kind = 0" if words else "kind > 0")
         return picked.orderBy(F.desc(F.abs("z")), "hash").limit(size).select("hash", "z").toPandas()

@@ -131,6 +131,9 @@ def test_toxicity_of_odd_rows(spark, edge_docs):
     assert {r["score"] for r in toxicity.score_toxicity(edge_docs, None).collect()} == {0.0}
     assert toxicity.drop_toxic(edge_docs, model).columns == edge_docs.columns
     assert toxicity.fit(spark.createDataFrame([("a", 1), (None, 0), ("b", None)], "text string, toxic int")) is None
+    labels = spark.createDataFrame([(1, 1), (1, 1), (5, 0), (None, 1), (2, 0), (77, 1)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(edge_docs, labels)
+    assert sorted((r["toxic"], r["text"][:4]) for r in sample.collect()) == [(0, "same"), (1, "The "), (1, "The ")]
 
 
 def test_windows_cover_every_word():
