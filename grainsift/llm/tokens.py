@@ -116,6 +116,17 @@ def word_slices(column: pa.Array, letters: np.ndarray = SPACED, slice_bytes: int
         row = stop
 
 
+def joined(parts: list[Words]) -> Words:
+    """The words of consecutive slices as one (at least one slice)."""
+    at = np.cumsum([0] + [len(p.data) for p in parts])
+    words = np.cumsum([0] + [len(p.hash) for p in parts])
+    def shifted(name: str, by: np.ndarray, bounds: bool = False) -> np.ndarray:
+        rows = [getattr(p, name) + b for p, b in zip(parts, by)]
+        return np.concatenate([rows[0][:1], *[r[1:] for r in rows]] if bounds else rows)
+    return Words(parts[0].row, np.concatenate([p.data for p in parts]), shifted("offsets", at, True), shifted("start", at),
+                 shifted("end", at), np.concatenate([p.hash for p in parts]), shifted("first", words, True))
+
+
 def sequence_hash(parts: list[np.ndarray]) -> np.ndarray:
     """One hash per place from the hashes at that place of several arrays, in order."""
     total = np.full(len(parts[0]), 0x51ED270B9F4C1D3D, np.uint64)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from grainsift.llm import gru
 from grainsift.llm.common import free_name
 from grainsift.llm.langid import gram_hashes
-from grainsift.llm.tokens import LETTERS, HashIndex, Words, word_slices
+from grainsift.llm.tokens import LETTERS, HashIndex, Words, joined, word_slices
 from grainsift.operators.materialize import materialize
 
 WINDOW, STRIDE = 48, 24
@@ -241,7 +241,7 @@ def fit(sample: DataFrame, seed: int = SEED) -> Model | None:
     rng = np.random.Generator(np.random.PCG64(seed))
     weights = gru.initial(word_level, gram_level, seed)
     texts = pa.array(sample["text"], pa.string())
-    part = next(word_slices(texts, LETTERS, 1 << 40))
+    part = joined(list(word_slices(texts, LETTERS)))
     toxic = sample["toxic"].to_numpy()
     lookup = Lookup(words, grams)
     table = lookup.rows(part)

@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 
 from grainsift.llm.links import component_labels
 from grainsift.llm.sharding import permute, unpermute
-from grainsift.llm.tokens import LETTERS, SPACED, HashIndex, word_slices
+from grainsift.llm.tokens import LETTERS, SPACED, HashIndex, joined, word_slices
 
 _PATTERNS = {"spaced": (SPACED, r"[^\x20\x09-\x0D]+"), "letters": (LETTERS, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")}
 
@@ -36,6 +36,15 @@ def test_words_are_those_of_the_pattern(kind, texts, slice_bytes):
     assert len(set(hashes.values())) == len(hashes)
 
 
+def test_joined_slices_are_one_slice():
+    texts = pa.array(["a b", "", None, "ccc", "d\té x", " "], pa.string())
+    whole, parts = next(word_slices(texts, SPACED)), list(word_slices(texts, SPACED, 1))
+    one = joined(parts)
+    assert len(parts) > 2
+    for name in ("data", "offsets", "start", "end", "hash", "first"):
+        assert (getattr(one, name) == getattr(whole, name)).all()
+
+
 def test_hash_index_finds_exactly_its_keys():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
