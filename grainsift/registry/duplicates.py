@@ -130,12 +130,11 @@ def near_duplicates(spark, sf):
 
 
 @register("suggested_merges", f"""
-WITH {near_sql('text', 0.9, 'conversations', 'conv_id * 1000 + turn')}
+WITH {near_sql('text', 0.9)}
 SELECT id_a AS keep_id, id_b AS merge_id, round(jaccard, 6) AS score FROM pairs
 UNION ALL SELECT rep, rep, 1.0 FROM sets WHERE copies > 1""")
 def suggested_merges(spark, sf):
-    turns = table(spark, sf, "conversations").withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
-    pairs = nearpairs.near_duplicates(turns, "row_id", 0.9, ["text"])
+    pairs = nearpairs.near_duplicates(table(spark, sf, "documents"), "doc_id", 0.9, ["text"])
     return nearpairs.suggested_merges(pairs).withColumn("score", F.round("score", 6))
 
 
