@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from grainsift.operators.materialize import materialize
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Positions of edges that join two trees when edges are taken in order (union by smaller root)."""
-    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = list(range(len(ids)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    keep = []
-    for i, (x, y) in enumerate(zip(flat[:len(a)].tolist(), flat[len(a):].tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(i)
-    return np.array(keep, dtype=np.int64)
+def _mark(links: DataFrame) -> tuple:
+    """Number of links and a sum over their hashes: unequal for different sets of links."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -37,6 +21,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     """
     links = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .distinct())
+    mark = _mark(links)
     while True:
         both = links.union(links.select("v", "u").toDF("u", "v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -46,8 +31,16 @@ def component_labels(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = materialize(small.filter("u <> v").distinct())
-        if not links.exceptAll(after).limit(1).count() and links.count() == after.count():
+        links = materialize(small.filter("u <> v").distinct())
+        mark, before = _mark(links), mark
+        if mark == before:
             return links.select(F.col("u").alias("id"), F.col("v").alias("label")).union(
                 links.select("v", "v").distinct())
-        links = after
+
+
+def near_labels(edges: DataFrame) -> DataFrame:
+    """A label of every id in edges such that ids with one label are connected: the smallest neighbour's smallest
+    neighbour. Cheaper than components, which may come under several labels."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    low = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("m")))
+    return low.join(low.select(F.col("id").alias("m"), F.col("m").alias("label")), "m").select("id", "label")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from grainsift.llm.common import free_name, small
-from grainsift.llm.links import component_labels
+from grainsift.llm.links import component_labels, near_labels
 from grainsift.llm.tokens import mix, sequence_hash, word_slices
 from grainsift.operators.materialize import materialize
 
@@ -254,11 +254,9 @@ def _find(root: list[int], x: int) -> int:
     return x
 
 
-def _with_groups(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Adds ``group``: the label of the node's group so far, else the node itself."""
-    if links is None:
-        return members.withColumn("group", F.col("node"))
-    labels = component_labels(links)
+def _with_groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds ``group``: a label that only connected nodes share, else the node itself."""
+    labels = near_labels(links)
     return (members.join(labels, members["node"] == labels["id"], "left")
             .withColumn("group", F.coalesce("label", "node")).drop("id", "label"))
 
