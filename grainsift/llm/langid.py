@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from grainsift.llm.common import free_name
 from grainsift.llm.tokens import LETTERS, HashIndex, Words, sequence_hash, word_slices
+from grainsift.operators.materialize import materialize
 
 #: documents per language that the model is fitted on, at most: the smallest by a hash of their text
 TRAIN_DOCS = 3_000
 #: words kept per language, the most frequent, seen at least twice; and n-grams likewise
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 40_000
+MODEL_WORDS = 40_000
+MODEL_GRAMS = 15_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 #: words that count in full towards the certainty of an answer
@@ -93,25 +94,29 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
     sample = near.withColumn("_rank", rank).filter(F.col("_rank") <= train_docs).select("lang", "text")
     counted = (sample.mapInArrow(_counts, "lang string, kind int, hash long, n long")
                .groupBy("lang", "kind", "hash").agg(F.sum("n").alias("n")))
-    best = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "hash"))
-    keep = (counted.withColumn("_rank", best).withColumn("_all", F.sum("n").over(Window.partitionBy("lang", "kind")))
-            .filter((F.col("_rank") <= F.when(F.col("kind") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS))
-                    & ((F.col("n") > 1) | (F.col("kind") > 0))).drop("_rank").toPandas())
+    counted = materialize(counted)
     languages = sorted(sizes)
     position = {lang: i for i, lang in enumerate(languages)}
     prior = np.log(np.array([sizes[lang] for lang in languages], float) / sum(sizes.values()))
-
-    def scores(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    totals = np.ones((len(ORDERS) + 1, len(languages)))
+    for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect():
+        totals[r["kind"], position[r["lang"]]] = r["n"]
+    best = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "hash"))
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in position.items() for x in pair]), F.col("lang"))
+    keep = (counted.withColumn("rank", best)
+            .filter((F.col("rank") <= F.when(F.col("kind") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS))
+                    & ((F.col("n") > 1) | (F.col("kind") > 0)))
+            .select(number.alias("lang"), "kind", "hash", F.col("n").cast("int").alias("n")).toPandas())
+
+    def scores(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        part = keep[keep["kind"] == kind]
         keys, at = np.unique(part["hash"].to_numpy().view(np.uint64), return_inverse=True)
-        table = np.zeros((len(keys), len(languages)))
-        table[at, part["lang"].map(position)] = part["n"]
-        totals = np.ones(len(languages))
-        for lang, total in part.groupby("lang")["_all"].first().items():
-            totals[position[lang]] = total
-        return keys, np.log((table + SMOOTHING) / (totals + SMOOTHING * max(len(keys), 1))).astype(np.float32)
-
-    words, word_scores = scores(keep[keep["kind"] == 0])
-    parts = [scores(keep[keep["kind"] == order]) for order in ORDERS]
+        table = np.zeros((len(keys), len(languages)), np.float32)
+        table[at, part["lang"].to_numpy()] = part["n"]
+        return keys, np.log((table + SMOOTHING) / (totals[kind] + SMOOTHING * max(len(keys), 1))).astype(np.float32)
+
+    words, word_scores = scores(0)
+    parts = [scores(order) for order in ORDERS]
     return Model(languages, prior, words, word_scores, np.concatenate([p[0] for p in parts]),
                  np.concatenate([p[1] for p in parts]))
 
