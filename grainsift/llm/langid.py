@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from grainsift.llm.common import free_name
-from grainsift.llm.tokens import LETTERS, HashIndex, Words, sequence_hash, word_slices
+from grainsift.llm.tokens import COPIED_ROWS, LETTERS, HashIndex, Words, sequence_hash, word_slices
 from grainsift.operators.materialize import materialize
 
 #: documents per language that the model is fitted on, at most: the smallest by a hash of their text
@@ -206,13 +206,15 @@ def predict_language(df: DataFrame, model: Model | None, text_col: str = "text")
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
-        bytes_at_once = max(100_000, 8_000_000 // max(4, len(scorer.model.languages)))
+        bytes_at_once = max(100_000, 4_000_000 // max(4, len(scorer.model.languages)))
         for batch in batches:
             names, scores = [], []
-            for part in word_slices(pa.array(batch, pa.string(), from_pandas=True), LETTERS, bytes_at_once):
-                n, s = answers(scorer, part)
-                names += n
-                scores.append(s)
+            for at in range(0, len(batch), COPIED_ROWS):
+                texts = pa.array(batch.iloc[at:at + COPIED_ROWS], pa.string(), from_pandas=True)
+                for part in word_slices(texts, LETTERS, bytes_at_once):
+                    n, s = answers(scorer, part)
+                    names += n
+                    scores.append(s)
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object),
                                 "score": np.concatenate(scores) if scores else np.zeros(0)})
 

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text handled at once (a longer text is handled alone)
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: rows of a pandas column that are copied to Arrow at once
+COPIED_ROWS = 1_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from grainsift.llm import gru
 from grainsift.llm.common import free_name
 from grainsift.llm.langid import gram_hashes
-from grainsift.llm.tokens import LETTERS, HashIndex, Words, joined, word_slices
+from grainsift.llm.tokens import COPIED_ROWS, LETTERS, HashIndex, Words, joined, word_slices
 from grainsift.operators.materialize import materialize
 
 WINDOW, STRIDE = 48, 24
@@ -294,8 +294,8 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
         model = shared.value
         lookup = Lookup(model.words, model.grams)
         for batch in batches:
-            scores = [_score(model, lookup, part)
-                      for part in word_slices(pa.array(batch, pa.string(), from_pandas=True), LETTERS)]
+            scores = [_score(model, lookup, part) for at in range(0, len(batch), COPIED_ROWS) for part in word_slices(
+                pa.array(batch.iloc[at:at + COPIED_ROWS], pa.string(), from_pandas=True), LETTERS)]
             yield pd.Series(np.concatenate(scores) if scores else np.zeros(0))
 
     return judge
