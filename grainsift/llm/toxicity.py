@@ -29,7 +29,7 @@ WINDOW, STRIDE = 48, 24
 EVIDENCE_DOCS = {1: 4_000, 0: 12_000}
 TRAIN_CHARS = 12_000
 #: of these, texts that the network is fitted on, per label at most
-TRAIN_DOCS = {1: 1_500, 0: 3_000}
+TRAIN_DOCS = {1: 1_000, 0: 2_000}
 #: words and n-grams with embeddings of their own: those with most evidence, in three texts at least
 MODEL_WORDS, MODEL_GRAMS = 6_000, 20_000
 ORDERS = (3, 4, 5)
