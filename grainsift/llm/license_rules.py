@@ -1,17 +1,21 @@
 """Signature rules for licence mentions, over lower-cased words joined by single blanks.
 
+Every match of a rule holds the rule's keyword as a word; names without a common word have an entry for each.
 FAMILIES is written by hand: label, keyword, name pattern and short names as written in tags. Each
 family gives a tag rule, a grant rule and a name rule; PASSAGES are phrases of licence texts.
 """
 
 from __future__ import annotations
 
+import re
+
 _L = "licen[sc]e"
 _V = "(?:version |v|ver )?"
 
 #: label, keyword that must stand in the text as a word, pattern of the name, pattern of short names in tags
 FAMILIES = [
-    ("mit", "mit", f"mit(?: x11)?(?: style)?(?: public| open source)? {_L}|mit x11|x11 mit", "mit"),
+    ("mit", "mit", f"mit(?: x11)?(?: style)?(?: public| open source)? {_L}", "mit"),
+    ("mit", "x11", "mit x11|x11 mit", "mit"),
     ("mit-0", "mit", f"mit no attribution(?: {_L})?|mit 0(?: {_L})?", "mit 0"),
     ("x11", "x11", f"x11 {_L}", "x11"),
     ("isc", "isc", f"isc {_L}", "isc"),
@@ -114,22 +118,24 @@ FAMILIES = [
     ("freetype", "freetype", f"freetype(?: project)? {_L}", "ftl"),
     ("postgresql", "postgresql", f"postgresql {_L}", "postgresql"),
     ("upl", "universal", f"universal permissive {_L}", "upl 1 0"),
-    ("qpl", "qpl", f"q public {_L}|qpl", "qpl 1 0"),
+    ("qpl", "q", f"q public {_L}", "qpl 1 0"),
+    ("qpl", "qpl", "qpl", "qpl 1 0"),
     ("latex", "latex", f"latex project public {_L}", "lppl 1 [0123]c?"),
     ("lppl", "lppl", "lppl", "lppl"),
     ("sleepycat", "sleepycat", f"sleepycat {_L}", "sleepycat"),
     ("json", "json", f"json {_L}", "json"),
     ("proprietary", "proprietary", f"proprietary(?: and confidential| software)?(?: {_L})?", "proprietary"),
     ("commercial", "commercial", f"commercial {_L}", "commercial"),
-    ("eula", "eula", "end user licen[sc]e agreement|eula", "eula"),
+    ("eula", "agreement", f"end user {_L} agreement", "eula"),
+    ("eula", "eula", "eula", "eula"),
     ("shareware", "shareware", "shareware", "shareware"),
 ]
 
 #: label, keyword, pattern of a passage of the licence's own text
 PASSAGES = [
-    ("mit", "sublicense", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "obtaining", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
-    ("isc", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products"),
@@ -146,10 +152,10 @@ PASSAGES = [
     ("cc-by", "commons", f"this work is licensed under a creative commons attribution .{{0,40}}?{_L}"),
     ("wtfpl", "fuck", "do what the fuck you want to public licen[sc]e"),
     ("ofl", "font", f"this font software is licensed under the sil open font {_L}"),
-    ("proprietary", "rights", "all rights reserved"),
+    ("proprietary", "reserved", "all rights reserved"),
     ("copyleft", "copyleft", "copyleft"),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?"),
-    ("license-file", "file", f"see (?:the )?(?:accompanying )?(?:file )?{_L}(?: file| txt| md)? (?:file )?(?:in the|for|that)"),
+    ("license-file", "see", f"see (?:the )?(?:accompanying )?(?:file )?{_L}(?: file| txt| md)? (?:file )?(?:in the|for|that)"),
     ("license-tag", "spdx", f"spdx {_L} identifier"),
     ("dual", "dual", f"dual {_L}d?|dual licensed"),
 ]
@@ -159,23 +165,34 @@ _TAG, _TEXT, _GRANT, _NAME = (0, 1.0), (1, 0.95), (2, 0.9), (3, 0.6)
 _GRANTED = ("(?:licen[sc]ed|released|distributed|available|provided|published|covered|shared|governed)"
             "(?: to you| only)? (?:under|by|with)(?: the)?(?: terms of)?(?: the| an?)? ")
 
-#: pieces of words one of which every text that any rule matches must hold; other texts are not scanned
-ANCHORS = ["licen", "spdx", "copyright", "copyleft", "redistribut"]
-
 #: base phrases and labels
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
 
+def needed(pattern: str) -> str:
+    """A piece that each match of a pattern holds besides the keyword: ``licen`` where every alternative has it
+    outside of groups, else nothing."""
+    before = None
+    while before != pattern:
+        before, pattern = pattern, re.sub(r"\(\?:[^()]*\)\??", "", pattern)
+    return "licen" if all("licen" in part for part in pattern.split("|")) else ""
+
+
 def rules() -> list[dict]:
-    """All rules: ``label``, ``keyword``, ``pattern``, ``priority`` and ``weight``."""
+    """All rules: ``label``, ``keyword``, ``needed`` piece, ``pattern``, ``priority`` and ``weight``."""
     found = []
     for label, keyword, name, short in FAMILIES:
-        for (priority, weight), key, pattern in (
-                (_TAG, "spdx", f"spdx {_L} identifier (?:{short})"),
-                (_GRANT, keyword, f"{_GRANTED}(?:{name})"),
-                (_NAME, keyword, f"(?:{name})")):
-            found.append({"label": label, "keyword": key, "pattern": pattern, "priority": priority, "weight": weight})
+        for (priority, weight), key, piece, pattern in (
+                (_TAG, "spdx", "licen", f"spdx {_L} identifier (?:{short})"),
+                (_GRANT, keyword, needed(name), f"{_GRANTED}(?:{name})"),
+                (_NAME, keyword, needed(name), f"(?:{name})")):
+            found.append({"label": label, "keyword": key, "needed": piece, "pattern": pattern, "priority": priority,
+                          "weight": weight})
     for label, keyword, pattern in PASSAGES:
-        found.append({"label": label, "keyword": keyword, "pattern": f"(?:{pattern})", "priority": _TEXT[0],
-                      "weight": _TEXT[1]})
+        found.append({"label": label, "keyword": keyword, "needed": needed(pattern), "pattern": f"(?:{pattern})",
+                      "priority": _TEXT[0], "weight": _TEXT[1]})
     return found
+
+
+#: all keywords: every text that any rule matches holds one of them as a word
+ANCHORS = sorted({rule["keyword"] for rule in rules()})

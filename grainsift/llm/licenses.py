@@ -1,14 +1,13 @@
 """Licence mentions by ordered signature rules, with DataFrame operations only.
 
-A text that holds none of a few anchors is not looked at further. Of the rules, a text meets only those
-whose keyword it has as a word. Matches are intervals of words; an interval inside a longer one is
+Of the rules, a text meets only those whose keyword it has as a word, which every match of them holds.
+Matches are intervals of words; an interval inside a longer one is
 suppressed, and of equal intervals the rule of higher priority, then the earlier one, stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,7 +29,7 @@ def _blanks(text: Column) -> Column:
 
 def _rule_table() -> Column:
     return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r["label"]).alias("label"),
-                              F.lit(r["keyword"]).alias("keyword"),
+                              F.lit(r["keyword"]).alias("keyword"), F.lit(r["needed"]).alias("needed"),
                               F.lit(f"(?<= ){r['pattern']}(?= )").alias("pattern"),
                               F.lit(r["priority"]).alias("priority"), F.lit(r["weight"]).alias("weight"))
                      for i, r in enumerate(license_rules.rules())])
@@ -51,8 +50,9 @@ def _places(words: Column, pattern: Column) -> Column:
 
 
 def _matches(words: Column, rules: Column) -> Column:
-    own = F.array_distinct(F.split(words, " "))
-    fitting = _let(own, lambda have: F.filter(rules, lambda r: F.array_contains(have, r["keyword"])))
+    own = F.array_intersect(F.split(words, " "), F.array(*[F.lit(a) for a in license_rules.ANCHORS]))
+    fitting = _let(own, lambda have: F.filter(rules, lambda r: F.array_contains(have, r["keyword"])
+                                              & F.contains(words, r["needed"])))
     return F.flatten(F.transform(fitting, lambda r: F.transform(
         _places(words, r["pattern"]), lambda p: F.struct(
             p["start"].alias("start"), p["end"].alias("end"), r["priority"].alias("priority"),
@@ -91,20 +91,19 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     df = df.drop(*[c for c in added if c in df.columns and c != text_col])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    folded = F.lower(text)
-    gate = reduce(Column.__or__, [F.contains(folded, F.lit(a)) for a in license_rules.ANCHORS])
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(text), _BREAKS, " ")), F.lit(" "))
     rules = _rule_table()
-    base = F.array(*[F.struct(F.lit(f"(?<= ){phrase}(?= )").alias("pattern"), F.lit(label).alias("label"))
+    base = F.array(*[F.struct(F.lit(f"(?<= ){phrase}(?= )").alias("pattern"), F.lit(f" {phrase} ").alias("phrase"),
+                              F.lit(label).alias("label"))
                      for phrase, label in license_rules.BASE])
 
     def look(w: Column) -> Column:
-        places = F.flatten(F.transform(base, lambda b: F.transform(
+        places = F.flatten(F.transform(F.filter(base, lambda b: F.contains(w, b["phrase"])), lambda b: F.transform(
             _places(w, b["pattern"]), lambda p: F.struct(p["start"].alias("start"), b["label"].alias("label")))))
         return F.struct(places.alias("base"), _let(_matches(w, rules), _unsuppressed).alias("kept"))
 
     seen_col, place_col = free_name(df, "_seen"), free_name(df, "_places")
-    seen = F.when(gate, _let(words, look))
+    seen = _let(words, look)
     none = F.array().cast("array<struct<start:int,label:string>>")
     df = df.withColumns({"n_words": F.coalesce(F.regexp_count(text, F.lit(LETTER_WORD)), F.lit(0)).cast("long"),
                          seen_col: seen})

@@ -68,3 +68,54 @@ def test_odd_rows(spark, edge_docs):
     for r in got:
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == _plain(r["text"])
     assert scan_licenses(edge_docs.limit(0)).count() == 0
+
+
+BARE = ["Some page. All rights reserved.", "released under the GPLv2", "a GNU LGPL library", "CDDL and AGPL", "CC0 1.0",
+        "do WTFPL", "read the EULA", "this is shareware", "proprietary software", "the book is in the public domain",
+        "Apache 2.0", "Free and unencumbered software released into the public domain", "MIT X11",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "The origin of this software must not be misrepresented", "end user license agreement", "Q Public License",
+        "see the license for details", "nothing of the kind", "mit dem Zug um 10 Uhr"]
+
+
+def _ungated(text):
+    """Labels and score of all rules without keywords and other conditions."""
+    line = f" {' '.join(_WORD.findall(_lower(text)))} "
+    found = [(m.start(), m.end(), r["priority"], i, r["label"], r["weight"]) for i, r in enumerate(license_rules.rules())
+             for m in re.finditer(f"(?<= ){r['pattern']}(?= )", line)]
+    kept = [m for m in found if not any(o[0] <= m[0] and m[1] <= o[1] and (
+        o[1] - o[0] > m[1] - m[0] or o[2:4] < m[2:4]) for o in found)]
+    return ",".join(sorted({m[4] for m in kept})), max([m[5] for m in kept], default=0.0)
+
+
+def test_no_condition_keeps_a_rule_from_its_text(spark):
+    df = spark.createDataFrame(list(enumerate(BARE)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(df).collect()}
+    for i, text in enumerate(BARE):
+        assert got[i] == _ungated(text), text
+    assert got[0] == ("proprietary", 0.95) and got[1][0] == "gpl-2.0"
+
+
+def _shortest(parsed):
+    """Shortest texts of a parsed pattern, one for each choice of alternatives."""
+    texts = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            more = [chr(value)]
+        elif kind == "SUBPATTERN":
+            more = _shortest(value[-1])
+        elif kind == "BRANCH":
+            more = [t for branch in value[1] for t in _shortest(branch)]
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [t * value[0] for t in _shortest(value[2])] if value[0] else [""]
+        else:
+            more = ["s" if kind == "IN" and any(chr(v) == "s" for k, v in value if str(k) == "LITERAL") else "1"]
+        texts = [a + b for a in texts for b in dict.fromkeys(more)]
+    return texts
+
+
+def test_every_match_holds_the_keyword():
+    for rule in license_rules.rules():
+        for text in _shortest(re._parser.parse(rule["pattern"])):
+            assert rule["keyword"] in text.split() and rule["needed"] in text, (rule, text)
