@@ -296,3 +296,15 @@ def test_model_of_odd_rows(spark, edge_docs):
     assert hpy.fit_and_score(edge_docs.limit(0), F.lit(False)).count() == 0
     none = hpy.fit_and_score(edge_docs, F.lit(True)).collect()
     assert len(none) == 12 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in none)
+
+
+def test_every_previous_word_has_its_own_restaurant(spark):
+    """Each of many words is always followed by one word of its own, which no shared restaurant could know."""
+    n = 40_000
+    rows = [(str(i), f"first{i} then{i} first{i} then{i}", False) for i in range(n)]
+    rows += [("own", "first7 then7", True), ("other", "first7 then8", True)]
+    got = {r["doc_id"]: r["score"] for r in hpy.fit_and_score(
+        spark.createDataFrame(rows, "doc_id string, text string, held boolean").repartition(2), F.col("held")).collect()}
+    assert len(got) == n + 2 and got["own"] - got["other"] > 4
+    words = np.array([zlib.crc32(str(i).encode()) for i in range(n)], np.uint64)
+    assert len(np.unique(hpy.mix(words) >> np.uint64(64 - hpy.CONTEXT_BITS))) == n
