@@ -206,3 +206,16 @@ def test_leaks_of_odd_rows(spark, edge_docs):
     assert decontaminate.find_leaks(edge_docs.limit(0), items).count() == 0
     assert decontaminate.find_leaks(edge_docs, items.limit(0)).count() == 0
     assert math.isclose(decontaminate.SIMILARITY, 0.8)
+
+
+@pytest.mark.parametrize("n", [80, 120, 200, 400, 800])
+def test_long_items_are_found_at_the_full_share_of_edits(n):
+    rng, trials = random.Random(n), 100
+    size = decontaminate.SizeClass(decontaminate.class_of(n), [n], 0.8)
+    items = [[rng.getrandbits(63) for _ in range(n)] for _ in range(trials)]
+    # only the window at the passage's own start, as others are further from the item
+    texts = [[w if isinstance(w, int) else int(w[1:]) + 1 for w in _edited(rng, item, n // 5)]
+             + [rng.getrandbits(63) for _ in range(n)] for item in items]
+    windows = np.array([t[:size.length] for t in texts], np.uint64)
+    found = (size.keys(windows) == size.keys(np.array(items, np.uint64))).any(axis=1).sum()
+    assert found >= 0.98 * trials
