@@ -82,12 +82,10 @@ DATE_PATTERN = r"^\d{4}[-/]\d{2}[-/]\d{2}|^\d{2}[-/]\d{2}[-/]\d{4}|^\d{4}\d{2}\d
 TRUE_WORDS = ["true", "yes", "1", "t", "y"]
 FALSE_WORDS = ["false", "no", "0", "f", "n"]
 NUMBER_TEXT_PATTERN = r"(?i)^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
-DATE_TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
-#: dates without a time that begins with T or a blank and follows year, month, day; month first, then day first
-DATE_FORMATS = [
-    "yyyy-MM-dd", "MM/dd/yyyy[ HH:mm[:ss]]", "MM-dd-yyyy[ HH:mm[:ss]]", "dd/MM/yyyy[ HH:mm[:ss]]",
-    "dd-MM-yyyy[ HH:mm[:ss]]", "yyyyMMdd",
-]
+#: dates with the year in front and at the end, of two or four digits a part, and of eight digits
+DATE_YEAR_FIRST = r"^(\d{4})[-/](\d{2})[-/](\d{2})([T ]\d{2}:\d{2}.*)?$"
+DATE_YEAR_LAST = r"^(\d{2})[-/](\d{2})[-/](\d{4})( \d{2}:\d{2}(?::\d{2})?)?$"
+DATE_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
 
 # --- fixed values: shares and counts of type inference --------------------------------
 TYPE_SHARE = 0.90

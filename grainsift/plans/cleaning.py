@@ -76,12 +76,10 @@ def clean(df: DataFrame, config: CleaningConfig, row_id: str, order_by: Sequence
     table = df
 
     if config.infer_types:
-        data_types = infer_types(table.drop(row_id))
         if config.apply_type_conversions:
-            kinds = {r["column_name"]: r["inferred_type"] for r in data_types.collect()}
-            table, reports["types"] = convert_types(table, kinds)
+            table, reports["types"] = convert_types(table, columns=[c for c in object_columns(table) if c != row_id])
         else:
-            reports["types"] = settle(data_types)
+            reports["types"] = settle(infer_types(table.drop(row_id)))
     if config.remove_exact_duplicates:
         table, reports["duplicates"] = remove_duplicates(
             table, row_id, config.fuzzy_threshold, config.remove_fuzzy_duplicates)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainsift.config import CleaningConfig
-from grainsift.operators import impute, typeinfer
+from grainsift.operators import dates, impute, typeinfer
 from grainsift.plans.cleaning import clean, clean_summary
 from grainsift.registry import register
 from grainsift.registry.duplicates import GROUPS_CTE
@@ -13,36 +13,81 @@ from grainsift.registry.views import (
     EVENTS_CTE, HOLES_CTE, PEOPLE_CTE, TYPED_CTE, each, events_gappy, people, people_holes, typed_text)
 
 _TYPED_TEXTS = ["flag_text", "whole_text", "decimal_text", "date_text", "priority", "free_text", "time_text", "seat_text",
-                "gap_text", "no_date_text", "nothing"]
+                "gap_text", "no_date_text", "day_text", "half_text", "slip_text", "both_text", "nothing"]
+_DATE_COLUMNS = ["date_text", "time_text", "no_date_text", "day_text", "half_text", "slip_text", "both_text"]
+_YEAR_FIRST = ("try_strptime(@, ['%Y-%m-%d', '%Y/%m/%d', '%Y%m%d', '%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%dT%H:%M:%S.%g', "
+               "'%Y-%m-%d %H:%M'])")
+_MONTH_FIRST = "try_strptime(@, ['%m/%d/%Y', '%m-%d-%Y', '%m/%d/%Y %H:%M', '%m-%d-%Y %H:%M'])"
+_DAY_FIRST = "try_strptime(@, ['%d/%m/%Y', '%d-%m-%Y', '%d/%m/%Y %H:%M', '%d-%m-%Y %H:%M'])"
 _SHARES = each(
     r"SELECT '@' AS column_name, count(@) AS n, count(DISTINCT @) AS d, "
     r"count(*) FILTER (WHERE regexp_matches(lower(@), '^(true|false|yes|no|1|0|t|f|y|n)$')) AS b, "
     r"count(*) FILTER (WHERE regexp_matches(@, '^-?\d+$')) AS i, "
     r"count(*) FILTER (WHERE regexp_matches(@, '^-?\d+(\.\d+)?([eE][+-]?\d+)?$')) AS f, "
     r"count(*) FILTER (WHERE regexp_matches(@, '^\d{4}[-/]\d{2}[-/]\d{2}|^\d{2}[-/]\d{2}[-/]\d{4}|^\d{8}$')) AS t, "
+    f"count({_YEAR_FIRST}) AS year_first, count({_MONTH_FIRST}) AS month_first, count({_DAY_FIRST}) AS day_first, "
     r"count(TRY_CAST(@ AS DOUBLE)) AS x, count(*) FILTER (WHERE TRY_CAST(@ AS DOUBLE) % 1 = 0) AS w FROM typed",
     _TYPED_TEXTS)
+_KINDS = f"""{TYPED_CTE}, s AS ({_SHARES}), kinds AS (SELECT *, CASE WHEN n = 0 THEN 'unknown'
+WHEN b >= 0.9 * n THEN 'boolean' WHEN i >= 0.9 * n THEN 'integer' WHEN f >= 0.9 * n THEN 'float'
+WHEN t >= 0.85 * n AND year_first + greatest(month_first, day_first) >= 0.85 * n THEN 'datetime'
+WHEN x >= 0.9 * n THEN CASE WHEN w = x THEN 'integer' ELSE 'float' END
+WHEN d < 0.1 * n AND d <= 30 THEN 'categorical' ELSE 'string' END AS inferred_type FROM s)"""
 
 
-@register("infer_types", f"""
-WITH {TYPED_CTE}, s AS ({_SHARES}) SELECT column_name, CASE WHEN n = 0 THEN 'unknown'
-WHEN b >= 0.9 * n THEN 'boolean' WHEN i >= 0.9 * n THEN 'integer' WHEN f >= 0.9 * n THEN 'float' WHEN t >= 0.85 * n THEN 'datetime'
-WHEN x >= 0.9 * n THEN CASE WHEN w = x THEN 'integer' ELSE 'float' END
-WHEN d < 0.1 * n AND d <= 30 THEN 'categorical' ELSE 'string' END AS inferred_type FROM s""")
+@register("infer_types", f"WITH {_KINDS} SELECT column_name, inferred_type FROM kinds")
 def infer_types(spark, sf):
     return typeinfer.infer_types(typed_text(spark, sf))
 
 
+def _micros(column: str, *readings: str) -> str:
+    return f"epoch_us(coalesce({', '.join(readings)})) AS {column}".replace("@", column)
+
+
 @register("convert_types", f"""
 WITH {TYPED_CTE} SELECT row_id, flag_text = 'yes' AS flag_text, CAST(whole_text AS BIGINT) AS whole_text,
-TRY_CAST(decimal_text AS DOUBLE) AS decimal_text,
-epoch_us(coalesce(try_strptime(date_text, '%Y-%m-%d'), try_strptime(date_text, '%m/%d/%Y'), try_strptime(date_text, '%Y%m%d')))
-AS date_text, priority, free_text, epoch_us(coalesce(try_strptime(time_text, '%Y-%m-%dT%H:%M:%SZ'),
-try_strptime(time_text, '%Y-%m-%dT%H:%M:%S.%g'), try_strptime(time_text, '%Y-%m-%d %H:%M'), try_strptime(time_text, '%d/%m/%Y')))
-AS time_text, seat_text, gap_text = 'yes' AS gap_text, no_date_text, nothing FROM typed""")
+TRY_CAST(decimal_text AS DOUBLE) AS decimal_text, {_micros('date_text', _YEAR_FIRST, _MONTH_FIRST)}, priority, free_text,
+{_micros('time_text', _YEAR_FIRST, _DAY_FIRST)}, seat_text, gap_text = 'yes' AS gap_text, no_date_text,
+{_micros('day_text', _YEAR_FIRST, _DAY_FIRST)}, half_text, {_micros('slip_text', _YEAR_FIRST, _MONTH_FIRST)}, both_text, nothing
+FROM typed""")
 def convert_types(spark, sf):
     converted, _ = typeinfer.convert_types(typed_text(spark, sf))
-    return converted.withColumns({c: F.unix_micros(c) for c in ("date_text", "time_text")})
+    return converted.withColumns({c: F.unix_micros(c) for c in ("date_text", "time_text", "day_text", "slip_text")})
+
+
+@register("convert_report", f"""
+WITH {_KINDS}
+SELECT column_name, 'string' AS original_type, inferred_type, CASE inferred_type WHEN 'integer' THEN 'bigint' WHEN 'float' THEN 'double'
+  WHEN 'boolean' THEN 'boolean' WHEN 'datetime' THEN 'timestamp' WHEN 'categorical' THEN 'category' END AS converted_to,
+  CASE WHEN inferred_type IN ('string', 'categorical') AND t > 0 AND t >= 0.85 * n
+    THEN 'looks like dates that cannot be read in one order' END AS failure,
+  CASE inferred_type WHEN 'integer' THEN n - x WHEN 'float' THEN n - x WHEN 'boolean' THEN n - b
+    WHEN 'datetime' THEN n - year_first - greatest(month_first, day_first) ELSE 0 END AS values_lost,
+  CASE WHEN inferred_type = 'datetime' AND greatest(month_first, day_first) > 0
+    THEN CASE WHEN day_first > month_first THEN 'day first' ELSE 'month first' END END AS date_order FROM kinds
+UNION ALL SELECT 'row_id', 'bigint', 'bigint', NULL, NULL, 0, NULL""")
+def convert_report(spark, sf):
+    _, report = typeinfer.convert_types(typed_text(spark, sf))
+    return report
+
+
+_FORMS = {"yyyy-MM-dd": ["%Y-%m-%d"], "yyyy-MM-dd HH:mm": ["%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S.%g"],
+          "yyyyMMdd": ["%Y%m%d"], "MM/dd/yyyy": ["%m/%d/%Y"], "dd/MM/yyyy": ["%d/%m/%Y"],
+          "MM-dd-yyyy": ["%m-%d-%Y", "%m-%d-%Y %H:%M"], "dd-MM-yyyy": ["%d-%m-%Y", "%d-%m-%Y %H:%M"]}
+
+
+def _formed(patterns: list[str]) -> str:
+    return f"try_strptime(text, {patterns}) IS NOT NULL"
+
+
+@register("date_formats", f"""
+WITH {TYPED_CTE},
+v AS ({each("SELECT '@' AS column_name, @ AS text, count(*) AS n FROM typed WHERE @ IS NOT NULL GROUP BY @", _DATE_COLUMNS)}),
+hits AS ({" UNION ALL ".join(f"SELECT column_name, '{form}' AS date_format, n FROM v WHERE {_formed(p)}" for form, p in _FORMS.items())}
+  UNION ALL SELECT column_name, 'none', n FROM v WHERE NOT ({_formed(sum(_FORMS.values(), []))}))
+SELECT column_name, date_format, CAST(sum(n) AS BIGINT) AS n FROM hits GROUP BY 1, 2""")
+def date_formats(spark, sf):
+    return dates.date_formats(typed_text(spark, sf), _DATE_COLUMNS)
 
 
 # --- filling --------------------------------------------------------------------------------

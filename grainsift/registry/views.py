@@ -62,6 +62,12 @@ SELECT o_orderkey AS row_id,
        concat(CAST(o_orderkey % 40 + 1 AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN 'D' ELSE 'F' END) AS seat_text,
        CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'no' ELSE 'yes' END AS gap_text,
        concat('9999-99-', CAST(10 + o_orderkey % 80 AS STRING)) AS no_date_text,
+       CASE WHEN o_orderkey % 11 = 0 THEN '13/02/2024' WHEN o_orderkey % 11 = 1 THEN '05-02-2024 08:30'
+            WHEN o_orderkey % 11 = 2 THEN '2024-03-04' ELSE '05/02/2024' END AS day_text,
+       CASE WHEN o_orderkey % 60 = 0 THEN '2024-02-15'
+            ELSE concat('2024-02-', CAST(10 + o_orderkey % 19 AS STRING), ' at noon') END AS half_text,
+       CASE WHEN o_orderkey % 10 = 0 THEN '2024-02-30' WHEN o_orderkey % 10 = 1 THEN '12/31/2023' ELSE '06-07-2023' END AS slip_text,
+       CASE WHEN o_orderkey % 2 = 0 THEN '12/31/2023' ELSE '31/12/2023' END AS both_text,
        CAST(NULL AS STRING) AS nothing
 FROM {orders}
 """

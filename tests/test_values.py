@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from grainsift import AnalysisConfig, CleaningConfig
 from grainsift.functions.similarity import indel_ratio
 from grainsift.functions.text import language, reading_ease, syllable_count
-from grainsift.operators import balance, bias, duplicates, forest, noise, outliers, profile, semantic, textscan, typeinfer
+from grainsift.operators import (
+    balance, bias, dates, duplicates, forest, noise, outliers, profile, semantic, textscan, typeinfer)
 from grainsift.operators.impute import impute
 from grainsift.plans.cleaning import clean
 from grainsift.plans.scoring import score_measures
@@ -210,7 +211,7 @@ def test_types_follow_plain_numbers_and_readable_dates(spark):
     assert kinds["seat"][1] == "categorical" and table.schema["seat"].dataType.simpleString() == "string"
     assert kinds["at"] == ("string", "datetime", "timestamp", None)
     assert table.filter("at IS NULL").count() == 0
-    assert kinds["never"] == ("string", "datetime", None, "holds no date that can be read")
+    assert kinds["never"][2:] == ("category", "looks like dates that cannot be read in one order")
     assert kinds["number"][1:3] == ("float", "double") and kinds["gaps"][1:3] == ("boolean", "boolean")
     filled, filling = impute(table, "median")
     used = {r["column_name"]: (r["strategy_used"], r["fill_value"]) for r in filling.collect()}
@@ -224,10 +225,51 @@ def test_types_follow_plain_numbers_and_readable_dates(spark):
     ("2024/01/31 10:00:05", "2024-01-31 10:00:05"), ("31/12/2024", "2024-12-31 00:00:00"), ("01/02/2024", "2024-01-02 00:00:00"),
     ("31-12-2024 23:59", "2024-12-31 23:59:00"), ("20240131", "2024-01-31 00:00:00"), ("2024-13-41", None), ("12D", None)])
 def test_date_forms(spark, text, want):
-    got = spark.createDataFrame([(text,)], "t string").select(typeinfer.parse_date(F.col("t")).cast("string")).first()[0]
+    order = dates.DAY_FIRST if text.startswith("31") else dates.MONTH_FIRST
+    got = spark.createDataFrame([(text,)], "t string").select(dates.read_date("t", order).cast("string")).first()[0]
     assert (got and got.ljust(19, "0")) == want
 
 
+def test_one_day_order_per_column(spark):
+    """Days beyond 12 in a few values decide for the values that read both ways."""
+    rows = [(f"{i % 28 + 1:02d}/02/2024", f"02-{i % 28 + 1:02d}-2024 10:00", f"{i % 9 + 1:02d}/{i % 8 + 1:02d}/2024",
+             "05/02/2024" if i % 2 else "2024-02-05") for i in range(60)]
+    table, report = typeinfer.convert_types(spark.createDataFrame(rows, "d string, m string, open string, mixed string"))
+    got = {r["column_name"]: (r["converted_to"], r["values_lost"], r["date_order"]) for r in report.collect()}
+    assert got == {"d": ("timestamp", 0, "day first"), "m": ("timestamp", 0, "month first"),
+                   "open": ("timestamp", 0, "month first"), "mixed": ("timestamp", 0, "month first")}
+    for r, (d, m, open_, _) in zip(table.collect(), rows):
+        assert r["d"].strftime("%d/%m/%Y") == d and r["m"].strftime("%m-%d-%Y %H:%M") == m
+        assert r["open"].strftime("%m/%d/%Y") == open_
+
+
+def test_lost_values_are_counted_and_too_many_keep_the_text(spark):
+    rows = [("2024-02-15" if i == 0 else "2024-02-15 at noon", "2024-02-30" if i < 6 else "2024-02-03",
+             "13/01/2024" if i % 2 else "01/13/2024", "x" if i < 4 else str(i), "n.a." if i < 5 else f"{i}.5", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "half string, some string, both string, whole string, part string, none string")
+    table, report = typeinfer.convert_types(df)
+    got = {r["column_name"]: (r["inferred_type"], r["converted_to"], r["values_lost"], r["failure"] is not None)
+           for r in report.collect()}
+    assert got == {"half": ("categorical", "category", 0, True), "some": ("datetime", "timestamp", 6, False),
+                   "both": ("categorical", "category", 0, True), "whole": ("integer", "bigint", 4, False),
+                   "part": ("float", "double", 5, False), "none": ("unknown", None, 0, False)}
+    assert table.filter("half = '2024-02-15 at noon'").count() == 59 and table.filter("some IS NULL").count() == 6
+    # the same where a caller names the type
+    table, report = typeinfer.convert_types(df, {"half": "datetime", "both": "datetime"})
+    assert {(r["column_name"], r["converted_to"], r["values_lost"]) for r in report.collect() if r["failure"]} == {
+        ("half", None, 59), ("both", None, 30)}
+    assert table.filter("half IS NULL OR both IS NULL").count() == 0
+
+
+def test_forms_of_dates_are_counted(spark):
+    values = ["05/02/2024", "13/02/2024", "02-13-2024", "2024-02-13", "2024/02/13", "2024-02-13T10:00:00Z", "20240213", "20241399", "x",
+              " 2024-02-13 ", "", None]
+    df = spark.createDataFrame([(v, None) for v in values], "d string, e string")
+    got = {(r["column_name"], r["date_format"]): r["n"] for r in dates.date_formats(df, ["d", "e"]).collect()}
+    assert got == {("d", "MM/dd/yyyy"): 1, ("d", "dd/MM/yyyy"): 2, ("d", "MM-dd-yyyy"): 1, ("d", "yyyy-MM-dd"): 3,
+                   ("d", "yyyy-MM-dd HH:mm"): 1, ("d", "yyyyMMdd"): 1, ("d", "none"): 3}
+
+
 def test_columns_without_a_stand_in_are_reported_as_failed(spark):
     df = spark.createDataFrame([(1, None, None), (2, None, None)], "id long, at timestamp, text string")
     filled, report = impute(df, "median")
