@@ -83,9 +83,9 @@ TRUE_WORDS = ["true", "yes", "1", "t", "y"]
 FALSE_WORDS = ["false", "no", "0", "f", "n"]
 NUMBER_TEXT_PATTERN = r"(?i)^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
 #: dates with the year in front and at the end, of two or four digits a part, and of eight digits
-DATE_YEAR_FIRST = r"^(\d{4})[-/](\d{2})[-/](\d{2})([T ]\d{2}:\d{2}.*)?$"
-DATE_YEAR_LAST = r"^(\d{2})[-/](\d{2})[-/](\d{4})( \d{2}:\d{2}(?::\d{2})?)?$"
-DATE_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+DATE_YEAR_FIRST = r"^\d{4}[-/]\d{2}[-/]\d{2}([T ]\d{2}:\d{2}.*)?$"
+DATE_YEAR_LAST = r"^\d{2}[-/]\d{2}[-/]\d{4}( \d{2}:\d{2}(:\d{2})?)?$"
+DATE_DIGITS = r"^\d{8}$"
 
 # --- fixed values: shares and counts of type inference --------------------------------
 TYPE_SHARE = 0.90

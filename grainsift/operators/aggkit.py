@@ -31,18 +31,22 @@ def tidy_aggregate(df: DataFrame, rows: Sequence[Mapping[str, Union[str, Column]
 
 
 def long_aggregate(df: DataFrame, items: Sequence[Mapping[str, str]], keys: Sequence[str],
-                   aggregates: Mapping[str, str]) -> DataFrame:
+                   aggregates: Mapping[str, str], derived: Mapping[str, str] | None = None) -> DataFrame:
     """The same aggregates for many items of a row, grouped by the item.
 
     Each item is a mapping of field to SQL over ``df``, of which ``keys`` are constants that name it;
-    ``aggregates`` speak of the other fields. Rows are unfolded inside the scan stage and folded to
+    ``aggregates`` speak of the other fields, and of ``derived`` ones, which are computed once per cell from the others.
+    Rows are unfolded inside the scan stage and folded to
     one row per item before the shuffle, and the generated code stays as small as for one item
     however many columns the table has.
     """
     structs = ", ".join(
         "named_struct(" + ", ".join([f"'item', {i}"] + [f"'{n}', {v}" for n, v in item.items() if n not in keys]) + ")"
         for i, item in enumerate(items))
-    grouped = (spread(df).selectExpr(f"inline(array({structs}))").groupBy("item")
+    cells = spread(df).selectExpr(f"inline(array({structs}))")
+    if derived:
+        cells = cells.selectExpr("*", *[f"{e} AS {n}" for n, e in derived.items()])
+    grouped = (cells.groupBy("item")
                .agg(*[F.expr(f"{e} AS {n}") for n, e in aggregates.items()]))
     names = [f"array({', '.join(item[k] for item in items)})[item] AS {k}" for k in keys]
     return grouped.selectExpr(*names, *aggregates)

@@ -18,35 +18,46 @@ from grainsift.operators.aggkit import long_aggregate, spread
 MONTH_FIRST, DAY_FIRST = "month first", "day first"
 
 
-def _read(text: str, shape: str, parts: str) -> str:
-    return f"try_cast(CASE WHEN {text} RLIKE {text_literal(shape)} THEN regexp_replace({text}, {text_literal(shape)}, '{parts}') END AS timestamp)"
+def _when(text: str, shape: str, *parts: str) -> str:
+    return f"WHEN {text} RLIKE {text_literal(shape)} THEN concat({', '.join(parts)})"
 
 
-def _gated(text: str, readings: Sequence[str]) -> str:
-    """No pattern but the first is tried on a value that does not begin with two digits."""
-    return f"CASE WHEN {text} RLIKE '^[0-9][0-9]' THEN coalesce({', '.join(readings)}) END"
+def _parsed(text: str, *cases: str) -> str:
+    """No pattern is tried on a value that does not begin with a digit."""
+    return f"try_cast(CASE WHEN left({text}, 1) NOT BETWEEN '0' AND '9' THEN NULL {' '.join(cases)} END AS timestamp)"
+
+
+def _year_first(text: str) -> list[str]:
+    def part(start: int, size: int) -> str:
+        return f"substr({text}, {start}, {size}), '-'"
+    return [_when(text, fixed.DATE_YEAR_FIRST, part(1, 4), part(6, 2), f"substr({text}, 9)"),
+            _when(text, fixed.DATE_DIGITS, part(1, 4), part(5, 2), f"substr({text}, 7)")]
+
+
+def _year_last(text: str, order: str) -> str:
+    month, day = (1, 4) if order == MONTH_FIRST else (4, 1)
+    return _when(text, fixed.DATE_YEAR_LAST, f"substr({text}, 7, 4)", "'-'", f"substr({text}, {month}, 2)", "'-'",
+                 f"substr({text}, {day}, 2)", f"substr({text}, 11)")
 
 
 def year_first_sql(text: str) -> str:
     """Timestamp of a value with the year in front, with or without a time, or of eight digits."""
-    text = f"trim({text})"
-    return _gated(text, [_read(text, fixed.DATE_YEAR_FIRST, "$1-$2-$3$4"), _read(text, fixed.DATE_DIGITS, "$1-$2-$3")])
+    return _parsed(f"trim({text})", *_year_first(f"trim({text})"))
 
 
 def year_last_sql(text: str, order: str) -> str:
     """Timestamp of a value with the year at the end, in the given order of day and month."""
-    text = f"trim({text})"
-    return _gated(text, [_read(text, fixed.DATE_YEAR_LAST, "$3-$1-$2$4" if order == MONTH_FIRST else "$3-$2-$1$4")])
+    return _parsed(f"trim({text})", _year_last(f"trim({text})", order))
 
 
 def read_date(text: str, order: str = MONTH_FIRST) -> Column:
     """Timestamp of a text (given as SQL) by one order of day and month; missing where it is no date by it."""
-    return F.expr(f"coalesce({year_first_sql(text)}, {year_last_sql(text, order)})")
+    return F.expr(_parsed(f"trim({text})", *_year_first(f"trim({text})"), _year_last(f"trim({text})", order)))
 
 
-#: counts that choose the order and tell what it loses, over a field ``text``
-ORDER_COUNTS = {"year_first": f"count({year_first_sql('text')})", "month_first": f"count({year_last_sql('text', MONTH_FIRST)})",
-                "day_first": f"count({year_last_sql('text', DAY_FIRST)})"}
+#: a field ``text`` read in each way; the counts of these choose the order and tell what it loses
+READINGS = {"year_first": year_first_sql("text"), "month_first": year_last_sql("text", MONTH_FIRST),
+            "day_first": year_last_sql("text", DAY_FIRST)}
 
 
 def chosen_order(month_first: int, day_first: int) -> str | None:
@@ -62,7 +73,7 @@ def date_formats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     A value such as 05/02/2024 counts under both orders. Values that are dates of no form come as ``none``; forms that
     no value has do not come.
     """
-    year, month, day = year_first_sql("text"), year_last_sql("text", MONTH_FIRST), year_last_sql("text", DAY_FIRST)
+    year, month, day = READINGS
     slash, dash = "substr(trim(text), 3, 1) = '/'", "substr(trim(text), 3, 1) = '-'"
     timed, digits = "trim(text) RLIKE '^.{10}[T ]'", "trim(text) RLIKE '^[0-9]+$'"
     forms = {"yyyy-MM-dd": f"{year} IS NOT NULL AND NOT {timed} AND NOT {digits}",
@@ -73,6 +84,6 @@ def date_formats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = {f"f{i}": f"count_if(text IS NOT NULL AND ({rule}))" for i, rule in enumerate(forms.values())}
     counted = long_aggregate(spread(df.select(*columns)),
                              [{"column_name": text_literal(c), "text": cell_sql(df, c)} for c in columns],
-                             ["column_name"], counts)
+                             ["column_name"], counts, READINGS)
     pairs = ", ".join(f"{text_literal(name)}, {c}" for name, c in zip(forms, counts))
     return counted.selectExpr("column_name", f"stack({len(forms)}, {pairs}) AS (date_format, n)").filter("n > 0")

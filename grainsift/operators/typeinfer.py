@@ -77,13 +77,12 @@ def _counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     def matches(pattern: str) -> str:
         return f"count_if(text RLIKE {text_literal(pattern)})"
 
-    number = text_number_sql("text")
     counted = long_aggregate(df, [{"column_name": text_literal(c), "text": quoted(c)} for c in names], ["column_name"], {
         "n": "count(text)", "booleans": matches(fixed.BOOLEAN_PATTERN), "integers": matches(fixed.INTEGER_PATTERN),
         "floats": matches(fixed.FLOAT_PATTERN), "dates": matches(fixed.DATE_PATTERN),
-        "numbers": f"count(nullif({number}, double('NaN')))", "wholes": f"count_if({number} % 1 = 0)",
-        "longs": f"count(CASE WHEN {number} IS NOT NULL THEN coalesce(try_cast(trim(text) AS bigint), try_cast({number} AS bigint)) END)",
-        **dates.ORDER_COUNTS})
+        "numbers": "count(nullif(number, double('NaN')))", "wholes": "count_if(number % 1 = 0)",
+        "longs": "count(CASE WHEN number IS NOT NULL THEN coalesce(try_cast(trim(text) AS bigint), try_cast(number AS bigint)) END)",
+        **{c: f"count({c})" for c in dates.READINGS}}, {"number": text_number_sql("text"), **dates.READINGS})
     listed = tidy_schema_rows(df, [(c,) for c in names], "column_name string")
     return listed.join(counted, "column_name", "left").na.fill(0)
 
