@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence, Union
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from grainsift.functions.columns import cell_sql, cell_text, quoted, short_sql, text_literal
 
@@ -63,6 +63,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted)
 
 
+def work_parts(spark: SparkSession) -> int:
+    """Number of parts for a shuffle in front of work that few bytes say nothing about."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-missing cells as (column_name, value) rows."""
     texts = df.select(*[cell_text(df, c).alias(c) for c in columns])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from grainsift.functions.columns import string_columns
 from grainsift.functions.similarity import jaccard
 from grainsift.functions.text import row_tokens
-from grainsift.operators.aggkit import spread
+from grainsift.operators.aggkit import spread, work_parts
 from grainsift.operators.materialize import materialize
 
 FREQUENCY_SLOTS = 1 << 15
@@ -85,10 +85,12 @@ def block_self_join(postings: DataFrame, key: str, condition: Column,
            .select(key, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks")))
     dealt = postings.join(hot, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn(
         "_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
+    # a number of parts of our own: the work is in the comparisons, so few bytes are no reason for few tasks
+    parts = work_parts(postings.sparkSession)
     left = dealt.withColumn("_i", F.col("_own")).withColumn(
-        "_j", F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1)))
+        "_j", F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1))).repartition(parts, key, "_i", "_j")
     right = dealt.withColumn("_j", F.col("_own")).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.col("_own"))))
+        "_i", F.explode(F.sequence(F.lit(0), F.col("_own")))).repartition(parts, key, "_i", "_j")
     a, b = left.alias("a"), right.alias("b")
     meet = ((F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._i") == F.col("b._i"))
             & (F.col("a._j") == F.col("b._j")))

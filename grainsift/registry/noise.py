@@ -197,7 +197,8 @@ _VALUES = each(f"SELECT '@' AS column_name, @ AS v, count(*) AS n FROM {_SPELLED
 _SIMILAR = f"""vals AS ({_VALUES}),
 sem AS (SELECT x.column_name, x.v AS a, y.v AS b, x.n + y.n AS n,
   CAST(1 AS DOUBLE) - levenshtein(x.v, y.v) / CAST(greatest(length(x.v), length(y.v)) AS DOUBLE) AS score
-  FROM vals x JOIN vals y ON x.column_name = y.column_name AND x.v < y.v),
+  FROM vals x JOIN vals y ON x.column_name = y.column_name AND x.v < y.v
+    AND least(length(x.v), length(y.v)) >= 0.85 * greatest(length(x.v), length(y.v)) - 1e-9),
 hits AS (SELECT * FROM sem WHERE score >= 0.85)"""
 
 

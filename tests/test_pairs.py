@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from grainsift.operators import nearpairs
+from grainsift.operators import nearpairs, stringpairs
 from grainsift.operators.graph import components, greedy_drop
 from grainsift.operators.stringpairs import indel_pairs, levenshtein_pairs
 from grainsift.plans.cleaning import fuzzy_dedup
@@ -147,3 +147,50 @@ def test_indel_pairs_equal_brute_force(spark, spellings):
     got = {(r["value_a"], r["value_b"]): r["score"] for r in indel_pairs(df).collect()}
     expected = {(a, b): 200 * _common(a, b) / (len(a) + len(b)) for a, b in itertools.combinations(spellings, 2)}
     assert got == pytest.approx({p: s for p, s in expected.items() if s >= 85})
+
+
+@pytest.mark.parametrize("at_least", [0.3, 0.6, 0.75, 0.9, 1.0])
+def test_levenshtein_pairs_at_other_thresholds(spark, spellings, at_least):
+    df = spark.createDataFrame([(c, s) for c in "cd" for s in spellings[::2]] + [("c", ""), ("c", None)], "column_name string, value string")
+    got = {(r["column_name"], r["value_a"], r["value_b"]) for r in levenshtein_pairs(df, at_least).collect()}
+    assert got == {(c, a, b) for a, b in itertools.combinations(spellings[::2], 2) for c in "cd"
+                   if 1 - _edit(a, b) / max(len(a), len(b)) >= at_least}
+
+
+@pytest.mark.parametrize("at_least", [40, 70, 95])
+def test_indel_pairs_at_other_thresholds(spark, spellings, at_least):
+    df = spark.createDataFrame([("c", s) for s in spellings[::2]], "column_name string, value string")
+    got = {(r["value_a"], r["value_b"]) for r in indel_pairs(df, at_least).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(spellings[::2], 2)
+                   if 200 * _common(a, b) / (len(a) + len(b)) >= at_least}
+
+
+def test_long_strings_and_hot_grams(spark, monkeypatch):
+    """Edits up to the full share in strings of every gram size, among strings that share most q-grams."""
+    monkeypatch.setattr(nearpairs, "BLOCK_ROWS", 7)
+    rng = random.Random(11)
+    values = set()
+    for length in (30, 47, 55, 90, 110, 150, 170, 260):
+        base = [rng.choice("abcdefgh ") for _ in range(length)]
+        for edits in (0, 1, int(length * 0.1), int(length * 0.145), int(length * 0.15), int(length * 0.16)):
+            for _ in range(3):
+                text = list(base)
+                for _ in range(edits):
+                    at = rng.randrange(len(text))
+                    text[at:at + rng.randrange(2)] = rng.choice(["", "x", "y", "\u00e9"])
+                values.add("same beginning " + "".join(text))
+    values = sorted(values)
+    df = spark.createDataFrame([("c", s) for s in values], "column_name string, value string")
+    got = {(r["value_a"], r["value_b"]) for r in levenshtein_pairs(df).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(values, 2) if 1 - _edit(a, b) / max(len(a), len(b)) >= 0.85}
+
+
+def test_few_candidates_among_texts_of_few_words(spark):
+    rng = random.Random(2)
+    words = [["large", "small", "old", "new", "red", "blue", "green", "heavy"],
+             ["plate", "bolt", "ring", "gear", "screw", "widget", "bracket", "spring"],
+             ["PROMO", "MEDIUM", "ECONOMY", "SMALL", "STANDARD", "LARGE"]]
+    values = sorted({" ".join([*[rng.choice(w) for w in words], f"Brand#{rng.randrange(25)}"]) for _ in range(700)})
+    df = spark.createDataFrame([(i, "c", v, len(v)) for i, v in enumerate(values)], "rep long, column_name string, value string, len int")
+    n = stringpairs.candidate_pairs(df, stringpairs.levenshtein_rule(0.85)).count()
+    assert n < 0.05 * len(values) * (len(values) - 1) / 2
