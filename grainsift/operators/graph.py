@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from grainsift.operators.materialize import materialize
 
+#: pairs of one group of linked rows that one task decides
+GROUP_EDGES = 200_000
+
 
 def components(pairs: DataFrame) -> DataFrame:
     """Connected groups of a pair list (``id_a``, ``id_b``) as (``id``, ``cluster_id``).
@@ -33,11 +37,34 @@ def components(pairs: DataFrame) -> DataFrame:
 def greedy_drop(pairs: DataFrame) -> DataFrame:
     """Ids to drop when rows are taken in id order and every kept row drops its later partners.
 
-    A row is decided once all its earlier partners are: kept if all of them were dropped, dropped
-    as soon as one was kept. Each round settles a layer of the order and is written down.
+    The choice never crosses a group of linked rows, so groups of up to ``GROUP_EDGES`` pairs are decided in one grouped
+    pass. Larger ones are decided in rounds, which settle a layer of the order each.
     """
     edges = materialize(pairs.select(F.least("id_a", "id_b").alias("lo"), F.greatest("id_a", "id_b").alias("hi"))
-                        .distinct())
+                        .filter("lo <> hi").distinct())
+    labels = components(edges.toDF("id_a", "id_b"))
+    named = materialize(edges.join(labels.withColumnRenamed("id", "lo"), "lo"))
+    sizes = materialize(named.groupBy("cluster_id").agg(F.count("*").alias("n")))
+    large = sizes.filter(F.col("n") > GROUP_EDGES).select("cluster_id")
+    small = named.join(large, "cluster_id", "left_anti")
+    dropped = small.groupBy("cluster_id").applyInPandas(_greedy, f"id {edges.schema['hi'].dataType.simpleString()}")
+    if not large.limit(1).count():
+        return dropped
+    return dropped.union(_greedy_rounds(materialize(named.join(large, "cluster_id", "left_semi").select("lo", "hi"))))
+
+
+def _greedy(group: pd.DataFrame) -> pd.DataFrame:
+    dropped = set()
+    ordered = group.sort_values(["lo", "hi"])
+    for lo, hi in zip(ordered["lo"], ordered["hi"]):
+        if lo not in dropped:
+            dropped.add(hi)
+    return pd.DataFrame({"id": sorted(dropped)})
+
+
+def _greedy_rounds(edges: DataFrame) -> DataFrame:
+    """A row is decided once all its earlier partners are: kept if all of them were dropped, dropped
+    as soon as one was kept. Each round is written down."""
     ids = edges.select(F.col("lo").alias("id")).union(edges.select("hi")).distinct()
     dropped = None
     open_ids, open_edges = materialize(ids), edges

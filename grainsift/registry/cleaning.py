@@ -218,12 +218,35 @@ def clean_table_default(spark, sf):
                         "gender", "category", "score", "email", "notes", "flag")
 
 
+_AGE_CAPPED = "(age_lo <> age_hi AND (age < age_lo OR age > age_hi))"
+
+
 @register("clean_summary", f"""
-WITH {_CLEAN_CTE}, c AS (SELECT (SELECT count(*) FROM people) AS before, (SELECT count(*) FROM one) AS after,
-(SELECT count(*) * 3 - count(age) - count(income) - count(email) FROM one) AS filled_cells,
-(SELECT count(*) FILTER (WHERE age < age_lo OR age > age_hi) + count(*) FILTER (WHERE income < income_lo OR income > income_hi)
+WITH {_CLEAN_ALL_CTE}, c AS (SELECT (SELECT count(*) FROM people) AS before, (SELECT count(*) FROM one) AS exact,
+(SELECT count(*) FROM two) AS after, (SELECT count(*) * 3 - count(age) - count(income) - count(email) FROM two) AS filled_cells,
+(SELECT count(*) FILTER (WHERE {_AGE_CAPPED}) + count(*) FILTER (WHERE income < income_lo OR income > income_hi)
  + count(*) FILTER (WHERE id < id_lo OR id > id_hi) FROM filled, fences) AS capped)
 SELECT before - after AS rows_removed, filled_cells + capped AS cells_cleaned, round(100.0::DOUBLE * after / before, 4)
-AS retention_pct, round(100.0::DOUBLE * (before - after) / before, 4) AS exact_duplicate_pct FROM c""")
+AS retention_pct, round(100.0::DOUBLE * (before - exact) / before, 4) AS exact_duplicate_pct FROM c""")
 def q_clean_summary(spark, sf):
-    return clean_summary(clean(people(spark, sf), _EXACT_ONLY, "row_id"))
+    return clean_summary(clean(people(spark, sf), CleaningConfig(), "row_id"))
+
+
+@register("change_log", f"""
+WITH {_CLEAN_CTE}, lost AS (SELECT row_id, income AS old FROM people WHERE income IS NOT NULL AND NOT regexp_matches(income, '^-?\d+$')),
+same AS (SELECT p.row_id, o.row_id AS kept FROM typed p JOIN one o ON p.id IS NOT DISTINCT FROM o.id AND p.row_id <> o.row_id)
+SELECT row_id, 'types' AS stage, 'income' AS column_name, old AS old_value, NULL AS new_value, NULL AS kept_id FROM lost
+UNION ALL SELECT row_id, 'exact_duplicate', NULL, NULL, NULL, CAST(kept AS STRING) FROM same
+UNION ALL SELECT row_id, 'missing', 'age', NULL, CAST(CAST(f.age AS DECIMAL(18, 2)) AS STRING), NULL FROM one o JOIN filled f USING (row_id) WHERE o.age IS NULL
+UNION ALL SELECT row_id, 'missing', 'income', NULL, CAST(CAST(f.income AS DECIMAL(18, 2)) AS STRING), NULL FROM one o JOIN filled f USING (row_id) WHERE o.income IS NULL
+UNION ALL SELECT row_id, 'missing', 'email', NULL, f.email, NULL FROM one o JOIN filled f USING (row_id) WHERE o.email IS NULL
+UNION ALL SELECT row_id, 'outliers', 'age', CAST(CAST(age AS DECIMAL(18, 2)) AS STRING),
+  CAST(CAST(greatest(age_lo, least(age_hi, age)) AS DECIMAL(18, 2)) AS STRING), NULL FROM filled, fences WHERE {_AGE_CAPPED}
+UNION ALL SELECT row_id, 'outliers', 'income', CAST(CAST(income AS DECIMAL(18, 2)) AS STRING),
+  CAST(CAST(greatest(income_lo, least(income_hi, income)) AS DECIMAL(18, 2)) AS STRING), NULL
+  FROM filled, fences WHERE income < income_lo OR income > income_hi""")
+def change_log(spark, sf):
+    changes = clean(people(spark, sf), _EXACT_ONLY, "row_id").changes.drop("similarity")
+    number = F.col("column_name").isin("age", "income") & (F.col("stage") != "types")
+    return changes.withColumns({c: F.when(number, F.col(c).cast("decimal(18,2)").cast("string")).otherwise(F.col(c))
+                                for c in ("old_value", "new_value")})

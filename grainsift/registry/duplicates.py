@@ -8,7 +8,7 @@ from grainsift.functions.similarity import jaccard
 from grainsift.functions.text import tokens
 from grainsift.operators import duplicates, nearpairs
 from grainsift.operators.graph import duplicate_clusters
-from grainsift.plans.cleaning import fuzzy_dedup
+from grainsift.plans.cleaning import deduplicate, fuzzy_dedup
 from grainsift.registry import register
 from grainsift.registry.views import PEOPLE_COLUMNS, PEOPLE_CTE, TWICE_CTE, orders_twice, people, table
 
@@ -37,15 +37,6 @@ def exact_dedup(spark, sf):
     return duplicates.exact_dedup(people(spark, sf), "row_id")
 
 
-@register("dedup_report", f"""
-WITH {GROUPS_CTE} SELECT CAST(sum(n) - count(*) AS BIGINT) AS exact_removed, CAST(0 AS BIGINT) AS fuzzy_removed,
-CAST(sum(n) - count(*) AS BIGINT) AS total_removed, CAST(sum(n) AS BIGINT) AS original_rows, count(*) AS cleaned_rows,
-CAST(0.9 AS DOUBLE) AS fuzzy_threshold FROM g""")
-def dedup_report(spark, sf):
-    from grainsift.plans.cleaning import remove_duplicates
-    return remove_duplicates(people(spark, sf), "row_id", 0.9, fuzzy=False)[1]
-
-
 @register("duplicate_columns", f"""
 WITH {TWICE_CTE}, e AS (SELECT bool_and(o_custkey IS NOT DISTINCT FROM cust_copy) AS a,
 bool_and(o_orderstatus IS NOT DISTINCT FROM status_copy) AS b, bool_and(o_custkey IS NOT DISTINCT FROM cust_next) AS c FROM twice)
@@ -144,11 +135,42 @@ def minhash_candidates(spark, sf):
     return nearpairs.minhash_pairs(found, 0.9)
 
 
-@register("fuzzy_dedup")
+# the greedy choice: pairs in order, each dropping its second unless its first was dropped
+_GREEDY = """lost AS (SELECT unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), (SELECT list([id_a, id_b] ORDER BY id_a, id_b)
+  FROM pairs)), lambda s, p: CASE WHEN list_contains(s, p[1]) OR list_contains(s, p[2]) THEN s ELSE list_append(s, p[2]) END)) AS rep),
+by_row AS (SELECT t.id AS row_id, s.rep, coalesce(r.id_a, s.rep) AS kept_id, coalesce(r.jaccard, 1.0::DOUBLE) AS similarity
+  FROM toks t JOIN sets s ON s.t = t.t LEFT JOIN (SELECT id_b, min(id_a) AS id_a, arg_min(jaccard, id_a) AS jaccard FROM pairs
+    WHERE id_b IN (FROM lost) AND id_a NOT IN (FROM lost) GROUP BY id_b) r ON r.id_b = s.rep)"""
+
+
+@register("fuzzy_dedup", f"""
+WITH {near_sql('lower(text)', 0.9)}, {_GREEDY} SELECT doc_id, lang, source FROM documents JOIN by_row ON doc_id = row_id
+WHERE row_id = kept_id""")
 def q_fuzzy_dedup(spark, sf):
     return fuzzy_dedup(table(spark, sf, "documents"), "doc_id", 0.90, ["text"]).select("doc_id", "lang", "source")
 
 
+_ROW_TEXT = "lower(concat_ws(' ', gender, income, category, email, notes, flag))"
+_DEDUP = f"""{GROUPS_CTE}, one AS (SELECT first_id AS row_id, {_ALL} FROM g), {near_sql(_ROW_TEXT, 0.8, 'one', 'row_id')}, {_GREEDY},
+removed AS (SELECT p.row_id, 'exact_duplicate' AS stage, g.first_id AS kept_id, 1.0::DOUBLE AS similarity FROM people p JOIN g ON {_SAME}
+  WHERE p.row_id <> g.first_id
+  UNION ALL SELECT row_id, 'near_duplicate', kept_id, similarity FROM by_row WHERE row_id <> kept_id)"""
+
+
+@register("dedup_report", f"""
+WITH {_DEDUP} SELECT count(*) FILTER (WHERE stage = 'exact_duplicate') AS exact_removed,
+count(*) FILTER (WHERE stage = 'near_duplicate') AS fuzzy_removed, count(*) AS total_removed,
+(SELECT count(*) FROM people) AS original_rows, (SELECT count(*) FROM people) - count(*) AS cleaned_rows,
+CAST(0.8 AS DOUBLE) AS fuzzy_threshold FROM removed""")
+def dedup_report(spark, sf):
+    return deduplicate(people(spark, sf), "row_id", 0.8).report
+
+
+@register("dedup_removals", f"WITH {_DEDUP} SELECT row_id, stage, kept_id, round(similarity, 6) AS similarity FROM removed")
+def dedup_removals(spark, sf):
+    return deduplicate(people(spark, sf), "row_id", 0.8).removed.withColumn("similarity", F.round("similarity", 6))
+
+
 @register("duplicate_clusters", f"""
 WITH RECURSIVE {near_sql('text', 0.9)},
 edges AS (SELECT id_a AS u, id_b AS v FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),

@@ -4,10 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from grainsift.operators import nearpairs, stringpairs
+from grainsift.operators import graph, nearpairs, stringpairs
 from grainsift.operators.graph import components, greedy_drop
 from grainsift.operators.stringpairs import indel_pairs, levenshtein_pairs
-from grainsift.plans.cleaning import fuzzy_dedup
+from grainsift.plans.cleaning import deduplicate, fuzzy_dedup
 
 
 def _texts(seed=4, n=160):
@@ -105,6 +105,31 @@ def test_greedy_drop_on_random_graph(spark):
     assert got == dropped
 
 
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_greedy_choice_in_one_pass_and_in_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "GROUP_EDGES", most)
+    rng = random.Random(most)
+    pairs = sorted({tuple(sorted(rng.sample(range(k * 40, k * 40 + 30), 2))) for k in range(4) for _ in range(5 + 12 * k)})
+    dropped = set()
+    for a, b in pairs:
+        if a not in dropped:
+            dropped.add(b)
+    got = greedy_drop(spark.createDataFrame([(b, a) for a, b in pairs], "id_a long, id_b long")).collect()
+    assert sorted(r["id"] for r in got) == sorted(dropped)
+
+
+def test_removed_rows_name_the_row_they_repeat(spark):
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "j i h g f e d c b a"), (4, "a b c d e f g h i j k"),
+            (5, "a b c d e f g h i j k l"), (6, "other words"), (7, None), (8, ""), (9, None)]
+    found = deduplicate(spark.createDataFrame(rows, "id long, t string"), "id", 0.9)
+    got = {r["id"]: (r["stage"], r["kept_id"], round(r["similarity"], 4)) for r in found.removed.collect()}
+    # 5 is alike to 4 only, and 4 is dropped
+    assert got == {2: ("exact_duplicate", 1, 1.0), 9: ("exact_duplicate", 7, 1.0), 3: ("near_duplicate", 1, 1.0),
+                   4: ("near_duplicate", 1, 0.9091), 8: ("near_duplicate", 7, 1.0)}
+    assert sorted(r["id"] for r in found.table.collect()) == [1, 5, 6, 7]
+    assert tuple(found.report.first()) == (2, 3, 5, 9, 4, 0.9)
+
+
 def _edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

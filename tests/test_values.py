@@ -304,3 +304,24 @@ def test_long_spellings_end_in_time(spark):
         rows += [(text,), (text[:30] + "x" + text[33:],)]
     found = noise.fuzzy_categories(spark.createDataFrame(rows, "c string"))
     assert found.count() == 300
+
+
+def test_change_log_names_every_change(spark):
+    rows = [(i, f"{i % 7 + 10}" if i else "ten", None if i == 3 else "x" if i % 3 else "y", 500.0 if i == 5 else float(i % 4)) for i in range(40)]
+    rows += [(100, *rows[5][1:])]
+    df = spark.createDataFrame(rows, "id long, n string, c string, v double")
+    result = clean(df, CleaningConfig(remove_fuzzy_duplicates=False, imputation_strategy="median"), "id")
+    log = {(r["id"], r["stage"], r["column_name"]): (r["old_value"], r["new_value"], r["kept_id"]) for r in result.changes.collect()}
+    assert log[0, "types", "n"] == ("ten", None, None) and log[3, "missing", "c"][:2] == (None, "x")
+    assert log[100, "exact_duplicate", None] == (None, None, "5")
+    assert log[5, "outliers", "v"][0] == "500.0" and float(log[5, "outliers", "v"][1]) < 500
+    assert log[0, "missing", "n"][0] is None and float(log[0, "missing", "n"][1]) > 0
+    # every row beyond the first of its values repeats it
+    seen, repeats = {}, 0
+    for i, *values in rows:
+        repeats += tuple(values) in seen
+        seen.setdefault(tuple(values), i)
+    assert sum(stage == "exact_duplicate" for _, stage, _ in log) == repeats
+    dropped = clean(df, CleaningConfig(infer_types=False, imputation_strategy="drop", handle_outliers=False,
+                                       remove_exact_duplicates=False), "id").changes.collect()
+    assert [(r["id"], r["stage"]) for r in dropped] == [(3, "dropped")]
