@@ -4,12 +4,13 @@ Texts and items are sequences of word hashes and distance is the edit distance o
 embedding walks a sequence with one random bit per (step, word): each step writes the current word and
 the bit says whether to move on. Two sequences at a small edit distance come back into step after each
 edit, so they agree in most steps: edit distance becomes Hamming distance. Each walk is sampled at a few
-steps, again and again; a window and an item that agree in one sample are a candidate pair, and the edit
-distance of the item to the text from that place on decides. The longer an item, the longer walks are out of
-step, so every size class has as many walks as bring its recall at the full share of edits to RECALL.
+steps, again and again; a window and an item that agree in one sample are a candidate pair. Neighbouring windows that
+agree somewhere are one run with their text, and the edit distance of an item to the best stretch of the run
+decides. The longer an item, the longer walks are out of step, so every size class has as many walks as bring its
+recall at the full share of edits to RECALL.
 
-A window starts at every word and is as long as an item of a size class with its edits. Most windows are
-spared by two conditions that every true one meets: at d edits, a window holds at least n - d of the
+A window starts at every word of the items and is as long as an item of a size class with its edits. Most windows
+are spared by two conditions that every true one meets: at d edits, a window holds at least n - d of the
 n item words and n - 1 - 2d of the item's word pairs. Words, pairs and samples of items are kept as bit
 tables of a fixed size; a shared slot only adds candidates.
 """
@@ -45,6 +46,8 @@ CLASS_RATIO = 1.2
 WINDOW_BATCH = 4096
 SEED = 7
 
+_ODD, _TOP = np.uint32(0x9E3779B1), np.uint32(31)
+
 
 def edits(n: int, similarity: float) -> int:
     """Most edits of an item of n words that count as the same passage."""
@@ -56,6 +59,7 @@ class SizeClass:
 
     def __init__(self, index: int, sizes: list[int], similarity: float):
         self.index = index
+        self.edits = max(edits(n, similarity) for n in sizes)
         self.length = max(n + edits(n, similarity) for n in sizes)
         self.words = min(n - edits(n, similarity) for n in sizes)
         self.pairs = max(0, min(n - 1 - 2 * edits(n, similarity) for n in sizes))
@@ -85,18 +89,21 @@ class SizeClass:
         return walks
 
     def _walk(self, windows: np.ndarray, first: int, last: int) -> Iterator[np.ndarray]:
-        """The words (rows, walks) that some of the walks write in each step."""
+        """The words (rows, walks), as 32 of their bits, that some of the walks write in each step."""
         count, width = windows.shape
-        at = np.zeros((count, last - first), np.int64)
-        rows = np.arange(count)[:, None]
-        walks = np.arange(first, last, dtype=np.uint64)
-        for step in range(self.steps):
-            seen = windows[rows, np.minimum(at, width - 1)]
-            seen[at >= width] = 0
-            salts = mix((walks << np.uint64(32)) + np.uint64(step) + mix(np.full(1, SEED + self.index, np.uint64)))
-            bits = (seen + salts) * np.uint64(0x9E3779B97F4A7C15)
-            bits ^= bits >> np.uint64(31)
-            at += ((bits * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(63)).astype(np.int64)
+        flat = np.zeros((count, max(width, self.steps)), np.uint32)      # a walk moves on by one word a step at most
+        flat[:, :width] = windows >> np.uint64(32)
+        at = np.repeat(np.arange(count) * flat.shape[1], last - first).reshape(count, -1)
+        flat = flat.ravel()
+        steps = np.arange(self.steps, dtype=np.uint64)[:, None] + mix(np.full(1, SEED + self.index, np.uint64))
+        salts = (mix((np.arange(first, last, dtype=np.uint64) << np.uint64(32)) + steps) >> np.uint64(32)).astype(np.uint32)
+        bits = np.empty(at.shape, np.uint32)
+        for salt in salts:
+            seen = flat.take(at)
+            np.bitwise_xor(seen, salt, out=bits)
+            bits *= _ODD
+            bits >>= _TOP
+            at += bits
             yield seen
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
@@ -105,13 +112,16 @@ class SizeClass:
         rows = max(1, HELD_STEPS // (self.steps * WALKS))
         for first in range(0, self.walks, WALKS):
             last = min(first + WALKS, self.walks)
+            walk = np.arange(last - first)[:, None, None]
+            names = (np.arange(first, last)[:, None] * SAMPLES + np.arange(SAMPLES)).astype(np.uint64) + np.uint64(self.index << 32)
             for at in range(0, len(windows), rows):
                 seen = np.stack(list(self._walk(windows[at:at + rows], first, last)))
-                for walk in range(first, last):
-                    for sample in range(SAMPLES):
-                        name = np.full(seen.shape[1], (self.index << 32) + walk * SAMPLES + sample, np.uint64)
-                        out[at:at + rows, walk, sample] = sequence_hash(
-                            [name, *(seen[s, :, walk - first] for s in self.samples[walk, sample])])
+                sampled = seen[self.samples[first:last], :, walk]        # walk, sample, step, row
+                key = np.broadcast_to(mix(names)[:, :, None], (last - first, SAMPLES, seen.shape[1]))
+                for step in range(self.sample_steps):
+                    key = (key ^ sampled[:, :, step]) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                out[at:at + rows, first:last] = np.moveaxis(key * np.uint64(0xBF58476D1CE4E5B9), 2, 0)
         return out.reshape(len(windows), -1)
 
 
@@ -188,7 +198,7 @@ def _ends(part: Words) -> np.ndarray:
 
 
 def _hits(classes: dict[int, SizeClass], tables) -> callable:
-    """Windows of texts that agree with some item's sample, with the words from there on."""
+    """Runs of neighbouring windows that agree with some item's samples, with the words around them and the keys they share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in, pairs_in, keys_in = (np.unpackbits(np.frombuffer(t, np.uint8)).view(bool) for t in tables.value)
         for batch in batches:
@@ -197,69 +207,111 @@ def _hits(classes: dict[int, SizeClass], tables) -> callable:
                 n = len(part.hash)
                 if not n:
                     continue
-                ends, rows = _ends(part), part.owner() + part.row
-                known = np.concatenate([[0], np.cumsum(words_in[_slot(part.hash)])])
+                ends, rows = _ends(part), part.owner()
+                first = words_in[_slot(part.hash)]
+                known = np.concatenate([[0], np.cumsum(first)])
                 pair = np.zeros(n, bool)
                 if n > 1:
                     pair[:-1] = pairs_in[_slot(_pairs(part.hash))]
                     pair[part.first[1:][part.first[1:] > 0] - 1] = False
                 known_pairs = np.concatenate([[0], np.cumsum(pair)])
-                places = np.arange(n)
+                # some nearest place begins with a word of the item: another first word is as well left out
+                places = np.flatnonzero(first)
                 for c, size in classes.items():
-                    stop = np.minimum(places + size.length, ends)
-                    fits = np.flatnonzero((known[stop] - known[:-1] >= size.words)
-                                          & (known_pairs[np.maximum(stop - 1, places)] - known_pairs[:-1] >= size.pairs))
+                    stop = np.minimum(places + size.length, ends[places])
+                    fits = places[(known[stop] - known[places] >= size.words)
+                                  & (known_pairs[np.maximum(stop - 1, places)] - known_pairs[places] >= size.pairs)]
                     for at in range(0, len(fits), WINDOW_BATCH):
                         some = fits[at:at + WINDOW_BATCH]
-                        reach = some[:, None] + np.arange(size.length)
-                        region = part.hash[np.minimum(reach, n - 1)]
-                        region[reach >= ends[some][:, None]] = 0
-                        waiting[c].append((rows[some], some - part.first[rows[some] - part.row], region))
+                        begin = part.first[rows[some]]
+                        reach = some[:, None] + np.arange(-size.edits, size.length)
+                        region = part.hash[np.clip(reach, 0, n - 1)]
+                        region[(reach >= ends[some][:, None]) | (reach < begin[:, None])] = 0
+                        waiting[c].append((rows[some] + part.row, some - begin, region))
                         if sum(len(w[0]) for w in waiting[c]) >= WINDOW_BATCH:
-                            yield from _walk(batch, classes[c], waiting[c], keys_in)
+                            yield from _runs(batch, classes[c], waiting[c], keys_in)
                             waiting[c] = []
             for c, left in waiting.items():
-                yield from _walk(batch, classes[c], left, keys_in)
+                yield from _runs(batch, classes[c], left, keys_in)
     return run
 
 
-def _walk(batch: pa.RecordBatch, size: SizeClass, waiting: list, keys_in: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _runs(batch: pa.RecordBatch, size: SizeClass, waiting: list, keys_in: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows that agree somewhere, those within a quarter of a window of the first as one row: ``start`` is the first
+    place from which the words are given, ``free`` how many places after it may begin a passage, too."""
     if not waiting:
         return
     rows, starts, regions = (np.concatenate([w[i] for w in waiting]) for i in range(3))
+    window, key = [], []
     for at in range(0, len(rows), WINDOW_BATCH):
-        keys = size.keys(regions[at:at + WINDOW_BATCH])
-        window, column = np.nonzero(keys_in[_slot(keys)])
-        if len(window):
-            own = pa.array(rows[at + window])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(own), batch.column(1).take(own), pa.array(starts[at + window], pa.int64()),
-                 pa.array(keys[window, column].view(np.int64)),
-                 pa.array([regions[at + w].tobytes() for w in window], pa.binary())],
-                ["id", "text_key", "start", "key", "region"])
-
-
-def prefix_distances(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
-    """Edit distance of each item to the nearest prefix of its region (zeros at a region's end are no words)."""
+        keys = size.keys(regions[at:at + WINDOW_BATCH, size.edits:])
+        hit, column = np.nonzero(keys_in[_slot(keys)])
+        window.append(at + hit)
+        key.append(keys[hit, column])
+    window, key = np.concatenate(window), np.concatenate(key)
+    if not len(window):
+        return
+    at = np.flatnonzero(np.diff(window, prepend=-1))                     # first key of every window that hits
+    firsts, bounds = [], []
+    for i, w in zip(at, window[at]):
+        if not firsts or rows[w] != rows[firsts[-1]] or not 0 <= starts[w] - starts[firsts[-1]] <= size.length // 4:
+            firsts.append(w)
+            bounds.append(i)
+    bounds.append(len(window))
+    out: dict[str, list] = {c: [] for c in ("row", "start", "free", "keys", "region")}
+    for w, low, high in zip(firsts, bounds[:-1], bounds[1:]):
+        last = window[high - 1]
+        before, spread = min(size.edits, int(starts[w])), int(starts[last] - starts[w])
+        out["row"].append(rows[w])
+        out["start"].append(starts[w] - before)
+        out["free"].append(before + spread)
+        out["keys"].append(np.unique(key[low:high]).view(np.int64))
+        tail = regions[last, regions.shape[1] - spread:] if spread else regions[last, :0]
+        out["region"].append(np.concatenate([regions[w, size.edits - before:], tail]).tobytes())
+    own = pa.array(np.array(out["row"]))
+    yield pa.RecordBatch.from_arrays(
+        [batch.column(0).take(own), batch.column(1).take(own), pa.array(np.array(out["start"], np.int64)),
+         pa.array(np.array(out["free"], np.int32)), pa.array(out["keys"], pa.list_(pa.int64())), pa.array(out["region"], pa.binary())],
+        ["id", "text_key", "start", "free", "keys", "region"])
+
+
+def nearest_places(items: list[np.ndarray], regions: list[np.ndarray], free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edit distance of each item to the nearest stretch of its region that begins in one of the first ``free`` + 1 places,
+    and the first such place (zeros at a region's end are no words)."""
     n, m = max(map(len, items)), max(map(len, regions))
     a, b = np.zeros((len(items), n), np.uint64), np.zeros((len(items), m), np.uint64)
     for i, (x, y) in enumerate(zip(items, regions)):
         a[i, :len(x)], b[i, :len(y)] = x, y
     sizes = np.array([len(x) for x in items])
-    steps = np.arange(m + 1)
-    row = np.tile(steps, (len(items), 1))
-    best = np.where(sizes == 0, 0, -1)
+    # a cell holds its distance and, below, the place where its stretch begins
+    one = 1 << (int(free.max(initial=0)) + 1).bit_length()
+    steps = np.arange(m + 1, dtype=np.int64) * one
+    row = np.maximum(steps - free[:, None] * one, 0) + np.minimum(np.arange(m + 1), free[:, None])
+    least = np.where(sizes == 0, 0, -1)
     void = np.concatenate([np.zeros((len(items), 1), bool), b == 0], axis=1)
+    b[b == 0] = _NO_WORD                                                # agrees with no word of an item
     for i in range(n):
-        match = (b != a[:, i:i + 1]) | (b == 0)
+        match = (b != a[:, i:i + 1]) * np.int64(one)
         new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + match)
-        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        new[:, 0] = row[:, 0] + one
+        match += row[:, :-1]
+        np.minimum(row[:, 1:] + one, match, out=new[:, 1:])
+        new -= steps
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += steps
+        row = new
         done = sizes == i + 1
         if done.any():
-            best[done] = np.where(void[done], 1 << 30, row[done]).min(axis=1)
-    return best
+            least[done] = np.where(void[done], 1 << 62, row[done]).min(axis=1)
+    return least // one, least % one
+
+
+_NO_WORD = np.uint64((1 << 64) - 1)
+
+
+def prefix_distances(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
+    """Edit distance of each item to the nearest prefix of its region."""
+    return nearest_places(items, regions, np.zeros(len(items), np.int64))[0]
 
 
 def _distance(similarity: float):
@@ -269,7 +321,9 @@ def _distance(similarity: float):
                 some = batch.iloc[at:at + 512].copy()
                 items = [np.frombuffer(x, np.uint64) for x in some.pop("item")]
                 regions = [np.frombuffer(x, np.uint64) for x in some.pop("region")]
-                some["distance"] = prefix_distances(items, regions).astype(np.int32)
+                distance, place = nearest_places(items, regions, some.pop("free").to_numpy(np.int64))
+                some["start"] += place
+                some["distance"] = distance.astype(np.int32)
                 allowed = np.array([edits(len(x), similarity) for x in items])
                 yield some[some["distance"].to_numpy() <= allowed]
     return run
@@ -304,14 +358,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     keys = words.select("item_row", "item").mapInPandas(_item_keys(classes), "item_row long, key long")
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    hits = texts.mapInArrow(_hits(classes, tables),
-                            f"id {id_type}, text_key long, start long, key long, region binary")
+    runs = materialize(texts.mapInArrow(
+        _hits(classes, tables), f"id {id_type}, text_key long, start long, free int, keys array<long>, region binary")
+        .withColumn("run", F.monotonically_increasing_id()))
     n_items = words.count()
-    pairs = (hits.join(small(keys, n_items * max(c.walks for c in classes.values()) * SAMPLES), "key")
-             .groupBy("id", "text_key", "start", "item_row").agg(F.max("region").alias("region")))
+    pairs = (runs.select("run", F.explode("keys").alias("key"))
+             .join(small(keys, n_items * max(c.walks for c in classes.values()) * SAMPLES), "key")
+             .select("run", "item_row").distinct())
     known = words.withColumnRenamed("item_row", "_row")
-    near = (pairs.join(small(known, n_items), F.col("item_row") == F.col("_row"))
-            .select("id", "text_key", "start", "item_id", "n_item_words", "item", "region")
+    near = (pairs.join(runs.drop("keys"), "run").join(small(known, n_items), F.col("item_row") == F.col("_row"))
+            .select("id", "text_key", "start", "free", "item_id", "n_item_words", "item", "region")
             .mapInPandas(_distance(similarity), f"id {id_type}, text_key long, start long, item_id {item_type}, "
                                                 "n_item_words int, distance int"))
     best = F.min(F.struct((F.col("distance") / F.col("n_item_words")).alias("share"), "start", "distance", "n_item_words"))

@@ -176,11 +176,58 @@ def test_leaks_are_found_and_exact(spark):
     assert set(found) <= want
     assert len(found) >= 0.99 * len(want)
     assert {(d, i) for d, i in planted.items()} <= want
+    exact = 0
     for (d, i), r in found.items():
-        assert r["distance"] == _nearest(items[i], docs[d]) or r["distance"] <= decontaminate.edits(len(items[i]), 0.8)
+        near = _nearest(items[i], docs[d])
+        assert near <= r["distance"] <= decontaminate.edits(len(items[i]), 0.8)
+        assert _from(items[i], docs[d][r["start_word"]:]) == r["distance"]
+        exact += near == r["distance"]
+        assert near < r["distance"] or all(_from(items[i], docs[d][s:]) > near for s in range(r["start_word"]))
         assert r["similarity"] == pytest.approx(1 - r["distance"] / len(items[i])) and r["n_item_words"] == len(items[i])
 
 
+    assert exact >= 0.99 * len(found)
+
+
+def _from(item, text):
+    """Least edit distance of the item to any beginning of the text."""
+    row = list(range(len(text) + 1))
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_long_leaks_at_the_full_share_of_edits(spark):
+    rng = random.Random(17)
+    items = [[f"v{rng.randrange(3000)}" for _ in range(n)] for n in (50, 90, 150, 300) for _ in range(25)]
+    docs = [[f"u{rng.randrange(900)}" for _ in range(rng.randrange(40))] + _edited(rng, item, len(item) // 5)
+            + [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(40))] for item in items]
+    got = decontaminate.find_leaks(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+                                   spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    assert len(found & {(i, i) for i in range(len(items))}) >= 0.99 * len(items)
+
+
+def test_a_verbatim_long_leak_is_few_rows(spark):
+    rng = random.Random(1)
+    item = [f"v{rng.randrange(5000)}" for _ in range(800)]
+    text = " ".join(["before"] * 50 + item + ["after"] * 50)
+    runs = []
+    original = decontaminate.materialize
+    decontaminate.materialize = lambda df: runs.append(original(df)) or runs[-1]
+    try:
+        got = decontaminate.find_leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"),
+                                       spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    finally:
+        decontaminate.materialize = original
+    assert [(r["start_word"], r["distance"]) for r in got] == [(50, 0)]
+    size = [r for r in runs if "region" in r.columns][0].selectExpr("sum(octet_length(region) + 8 * size(keys))").first()[0]
+    assert size < 1_000_000
+
+
 def test_distance_to_prefixes():
     rng = random.Random(8)
     pairs = [([rng.randrange(1, 5) for _ in range(rng.randrange(1, 9))], [rng.randrange(1, 5) for _ in range(rng.randrange(0, 9))])
