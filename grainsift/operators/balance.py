@@ -14,6 +14,14 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
             .groupBy("label").agg(F.count("*").alias("n")))
 
 
+REBALANCE_ADVICE = {
+    "SMOTE": {"when_to_use": "The features are continuous numbers.", "pros": "New rows lie between known ones and repeat none.",
+              "cons": "It can add noise and suits many categories badly."},
+    "Class Weights": {"when_to_use": "The learner takes costs per class.", "pros": "The data stay as they are.",
+                      "cons": "Only some learners can use it."},
+}
+
+
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Rows and share per class, most frequent first."""
     total = df.agg(F.count(cell_text(df, target))).first()[0]
@@ -88,11 +96,11 @@ def drift_vulnerability(df: DataFrame, target: str) -> DataFrame:
 
 
 def rebalance_plan(df: DataFrame, target: str) -> DataFrame:
-    """Advice rows for a target that is out of balance."""
-    options = F.array(
-        F.struct(F.lit("SMOTE").alias("strategy"),
-                 (F.col("majority_count") - F.col("minority_count")).alias("samples_generated")),
-        F.struct(F.lit("Class Weights").alias("strategy"), F.lit(0).cast("long").alias("samples_generated")))
+    """Advice rows for a target that is out of balance: what to do, how many rows it makes, when it fits, for and against."""
+    made = {"SMOTE": F.col("majority_count") - F.col("minority_count"), "Class Weights": F.lit(0).cast("long")}
+    options = F.array(*[F.struct(F.lit(name).alias("strategy"), made[name].alias("samples_generated"),
+                                 *[F.lit(text).alias(field) for field, text in advice.items()])
+                        for name, advice in REBALANCE_ADVICE.items()])
     return class_stats(df, target).filter("raw_ratio > 1.5").select(F.inline(options))
 
 

@@ -10,6 +10,8 @@ from grainsift.functions import fixed_values as fixed
 from grainsift.functions.columns import object_columns
 from grainsift.functions.text import has_encoding_issue, language, reading_ease, words
 from grainsift.operators.aggkit import spread, tidy_aggregate, tidy_schema_rows
+from grainsift.operators.extractors import Extractor, extract_entities, listed_names
+from grainsift.operators.values import sampled_columns
 
 Columns = Union[str, Sequence[str]]
 LANGUAGES = [*fixed.STOPWORDS, "other"]
@@ -38,6 +40,11 @@ def resolve_columns(df: DataFrame, columns: Columns) -> list[str]:
     return list(columns)
 
 
+def sample_texts(df: DataFrame, row_id: str, k: int, columns: Columns = "text") -> DataFrame:
+    """A sample of ``k`` present texts of each column, to be scanned in place of the table."""
+    return sampled_columns(df, row_id, resolve_columns(df, columns), k)
+
+
 def pii_scan(df: DataFrame, columns: Columns = "text") -> DataFrame:
     """Rows that match each personal-data pattern, per text column, in one scan."""
     names = resolve_columns(df, columns)
@@ -99,16 +106,27 @@ def _phrases(text: Column, longest: int) -> Column:
     return F.array_distinct(F.concat(found, *[_runs(found, n) for n in range(2, longest + 1)]))
 
 
-def entity_leakage(df: DataFrame, gazetteer: DataFrame, columns: Columns = "text") -> DataFrame:
-    """Known names (``term``, ``entity_type``) found in texts, with the number of texts per term.
+def entity_leakage(df: DataFrame, gazetteer: Union[DataFrame, Extractor], columns: Columns = "text") -> DataFrame:
+    """Names found in texts, with the number of texts per term.
 
-    Phrases are counted before the join, so a word found everywhere is one row per task; the join
-    keeps only the names. Spark broadcasts the names when they are small and shuffles otherwise.
+    ``gazetteer`` is a list of names (``term``, ``entity_type``) or an extractor of the caller's. A list goes to the
+    tasks as one automaton; one too long for that is joined with the texts' phrases.
     """
     names = resolve_columns(df, columns)
-    schema = "column_name string, entity_type string, term string, n_rows long"
     if not names:
-        return tidy_schema_rows(df, [], schema)
+        return tidy_schema_rows(df, [], "column_name string, entity_type string, term string, n_rows long")
+    if not isinstance(gazetteer, DataFrame):
+        return extract_entities(df, gazetteer, names)
+    found = listed_names(df, gazetteer, names)
+    return found if found is not None else joined_names(df, gazetteer, names)
+
+
+def joined_names(df: DataFrame, gazetteer: DataFrame, names: Sequence[str]) -> DataFrame:
+    """As ``entity_leakage`` by a join of the names with all phrases of the texts.
+
+    Phrases are counted before the join, so a word found everywhere is one row per task; the join
+    keeps only the names.
+    """
     terms = gazetteer.select(F.lower("term").alias("phrase"), "entity_type").distinct()
     longest = terms.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     texts = df.select(*names).unpivot([], names, "column_name", "text").filter("text IS NOT NULL")
@@ -117,29 +135,31 @@ def entity_leakage(df: DataFrame, gazetteer: DataFrame, columns: Columns = "text
     return phrases.join(terms, "phrase").select("column_name", "entity_type", F.col("phrase").alias("term"), "n_rows")
 
 
-def nlp_report(df: DataFrame, columns: Columns = "text", gazetteer: Optional[DataFrame] = None) -> DataFrame:
-    """All text findings, one row per column. One scan, plus one for names when a list is given."""
+def nlp_report(df: DataFrame, columns: Columns = "text", gazetteer: Union[DataFrame, Extractor, None] = None) -> DataFrame:
+    """All text findings, one row per column: texts, texts with each kind of personal data, share of each language,
+    scored texts and their mean reading ease, texts with encoding faults, names found and texts that hold each on average.
+    One scan, plus one for names when a list or an extractor is given."""
     names = resolve_columns(df, columns)
-    schema = ("column_name string, n_texts long, pii_types string, language_mix string, avg_readability double, "
-              "encoding_issues long, entity_leakage boolean, entity_types string")
+    counts = ["n_texts", *[f"pii_{kind}" for kind in fixed.PII_PATTERNS]]
+    shares = [f"share_{lang}" for lang in LANGUAGES]
     if not names:
-        return tidy_schema_rows(df, [], schema)
+        return tidy_schema_rows(df, [], ", ".join(
+            ["column_name string", *[f"{c} long" for c in counts], *[f"{c} double" for c in shares], "n_scored long",
+             "avg_readability double", "encoding_issues long", "entity_leakage boolean", "n_entity_types long", "n_terms long"]))
     prepared = spread(df.select(*names)).select(*[e for i, c in enumerate(names) for e in (
         F.col(c).alias(f"t{i}"), language(F.col(c)).alias(f"l{i}"), reading_ease(F.col(c)).alias(f"r{i}"))])
     rows = []
     for i, c in enumerate(names):
-        text = F.col(f"t{i}")
-        pii = F.array(*[F.when(F.count_if(text.rlike(p)) > 0, F.lit(kind)) for kind, p in fixed.PII_PATTERNS.items()])
-        mix = F.array(*[F.when(F.count_if(F.col(f"l{i}") == lang) > 0, F.concat_ws(
-            ":", F.lit(lang), F.count_if(F.col(f"l{i}") == lang).cast("string"))) for lang in LANGUAGES])
-        rows.append({"column_name": F.lit(c), "n_texts": F.count(text), "pii_types": F.array_join(pii, ","),
-                     "language_mix": F.array_join(mix, ","), "avg_readability": _mean_score(f"r{i}"),
+        text, label = F.col(f"t{i}"), F.col(f"l{i}")
+        rows.append({"column_name": F.lit(c), "n_texts": F.count(text),
+                     **{f"pii_{kind}": F.count_if(text.rlike(p)) for kind, p in fixed.PII_PATTERNS.items()},
+                     **{f"share_{lang}": F.round(F.count_if(label == lang) / F.greatest(F.count(label), F.lit(1)), 4) for lang in LANGUAGES},
+                     "n_scored": F.count(f"r{i}"), "avg_readability": _mean_score(f"r{i}"),
                      "encoding_issues": F.count_if(has_encoding_issue(text))})
     report = tidy_aggregate(prepared, rows)
     if gazetteer is None:
-        return report.withColumn("entity_leakage", F.lit(False)).withColumn("entity_types", F.lit(""))
+        return report.withColumns({"entity_leakage": F.lit(False), "n_entity_types": F.lit(0).cast("long"), "n_terms": F.lit(0).cast("long")})
     kinds = (entity_leakage(df, gazetteer, names).groupBy("column_name")
-             .agg(F.array_join(F.array_sort(F.collect_set("entity_type")), ",").alias("entity_types")))
-    return (report.join(kinds, "column_name", "left")
-            .withColumn("entity_leakage", F.col("entity_types").isNotNull())
-            .withColumn("entity_types", F.coalesce("entity_types", F.lit(""))))
+             .agg(F.countDistinct("entity_type").alias("n_entity_types"), F.countDistinct("entity_type", "term").alias("n_terms")))
+    return (report.join(kinds, "column_name", "left").withColumn("entity_leakage", F.col("n_terms").isNotNull())
+            .na.fill(0, ["n_entity_types", "n_terms"]))

@@ -78,8 +78,12 @@ def drift_vulnerability(spark, sf):
 
 
 @register("rebalance_plan", f"""
-WITH {_STATS} SELECT 'SMOTE' AS strategy, majority_count - minority_count AS samples_generated FROM stats WHERE ratio > 1.5
-UNION ALL SELECT 'Class Weights', CAST(0 AS BIGINT) FROM stats WHERE ratio > 1.5""")
+WITH {_STATS}, advice(strategy, made, when_to_use, pros, cons) AS (VALUES
+('SMOTE', 1, 'The features are continuous numbers.', 'New rows lie between known ones and repeat none.',
+ 'It can add noise and suits many categories badly.'),
+('Class Weights', 0, 'The learner takes costs per class.', 'The data stay as they are.', 'Only some learners can use it.'))
+SELECT strategy, made * (majority_count - minority_count) AS samples_generated, when_to_use, pros, cons FROM stats, advice
+WHERE ratio > 1.5""")
 def rebalance_plan(spark, sf):
     return balance.rebalance_plan(_labels(spark, sf), "quality")
 

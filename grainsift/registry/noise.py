@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from grainsift.functions import fixed_values as fixed
 from grainsift.functions.similarity import indel_ratio, levenshtein_similarity
-from grainsift.operators import noise, semantic
-from grainsift.operators.aggkit import value_counts
+from grainsift.operators import noise, semantic, values
 from grainsift.operators.outliers import outlier_rows
 from grainsift.registry import register
 from grainsift.registry.views import (
@@ -248,11 +247,15 @@ def q_levenshtein_similarity(spark, sf):
 
 @register("distinct_values", "SELECT DISTINCT p_name AS value FROM part WHERE p_name IS NOT NULL")
 def distinct_values(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_name").alias("value")).filter("value IS NOT NULL").distinct()
+    return values.distinct_values(table(spark, sf, "part"), "p_name")
 
 
-@register("value_counts_topk", """
-SELECT value, n FROM (SELECT p_name AS value, count(*) AS n FROM part GROUP BY p_name) ORDER BY n DESC, value LIMIT 10""")
+_TOP_COLUMNS = ["p_name", "p_type", "p_size", "p_partkey"]
+
+
+@register("value_counts_topk", f"""
+WITH c AS ({each("SELECT '@' AS column_name, CAST(@ AS STRING) AS value, count(*) AS n FROM part WHERE @ IS NOT NULL GROUP BY @", _TOP_COLUMNS)})
+SELECT column_name, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INTEGER) AS rank, value, n FROM c
+QUALIFY rank <= 10""")
 def value_counts_topk(spark, sf):
-    return (value_counts(table(spark, sf, "part"), ["p_name"]).select("value", "n")
-            .orderBy(F.desc("n"), "value").limit(10))
+    return values.top_values(table(spark, sf, "part"), _TOP_COLUMNS, 10)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainsift.config import AnalysisConfig
+from grainsift.operators import values
 from grainsift.operators.ordering import with_position
 from grainsift.plans import report, scoring
 from grainsift.plans.scoring import Analysis
@@ -150,7 +151,7 @@ def compare_join(spark, sf):
 @register("sample_rows")
 def sample_rows(spark, sf):
     # a sampling operator: the first rows in hash order
-    return table(spark, sf, "orders").orderBy(F.xxhash64("o_orderkey"), "o_orderkey").limit(2000)
+    return values.sample_rows(table(spark, sf, "orders"), "o_orderkey", 2000)
 
 
 @register("row_positions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -127,21 +128,27 @@ def entity_leakage(spark, sf):
     return textscan.entity_leakage(letters(spark, sf), place_names(spark, sf))
 
 
-_ONE = [("letters", "letter")]
-_NLP_PII = "concat_ws(',', " + ", ".join(
-    f"CASE WHEN count(*) FILTER (WHERE regexp_matches(letter, '{p}')) > 0 THEN '{k}' END"
-    for k, p in fixed.PII_PATTERNS.items()) + ")"
+@register("entity_extractor", f"WITH {_LETTERS}, {_ENTITIES} SELECT * FROM found")
+def entity_extractor(spark, sf):
+    """Place names by an extractor of the caller's, here one regular expression."""
+    names = {r["term"].lower(): r["entity_type"] for r in place_names(spark, sf).collect()}
+    pattern = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)")
+    return textscan.entity_leakage(letters(spark, sf), lambda texts: ([(names[t], t) for t in pattern.findall(x.lower())] for x in texts))
+
+
+_LANGUAGES = ["en", "es", "fr", "other"]
+_DOC_ENTITIES = _ENTITIES.replace("letter", "text").replace("FROM texts", "FROM documents")
 
 
 @register("nlp_report", f"""
-WITH {_LETTERS}, {_ENTITIES}, lang AS ({_LANGUAGE.replace('#', 'letters').replace('@', 'letter')}),
-ease AS ({_EASE.replace('#', 'letters').replace('@', 'letter')}),
-mix AS (SELECT string_agg(concat(language, ':', n), ',' ORDER BY pos) AS language_mix FROM (SELECT language, count(*) AS n,
-  CASE language WHEN 'en' THEN 0 WHEN 'es' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS pos FROM lang GROUP BY language))
-SELECT 'letter' AS column_name, count(letter) AS n_texts, {_NLP_PII} AS pii_types, (SELECT language_mix FROM mix) AS language_mix,
-(SELECT {_MEAN} FROM ease) AS avg_readability,
-count(*) FILTER (WHERE regexp_matches(letter, '[\\x00-\\x1F\\x7F-\\x{{9F}}\\x{{FFFD}}]')) AS encoding_issues,
-(SELECT count(*) > 0 FROM found) AS entity_leakage,
-(SELECT coalesce(string_agg(DISTINCT entity_type, ',' ORDER BY entity_type), '') FROM found) AS entity_types FROM letters""")
+WITH {_DOC_ENTITIES}, lang AS ({_LANGUAGE.replace('#', 'documents').replace('@', 'text')}),
+ease AS ({_EASE.replace('#', 'documents').replace('@', 'text')})
+SELECT 'text' AS column_name, count(text) AS n_texts,
+{", ".join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS pii_{k}" for k, p in fixed.PII_PATTERNS.items())},
+{", ".join(f"(SELECT round(count(*) FILTER (WHERE language = '{x}') / CAST(count(*) AS DOUBLE), 4) FROM lang) AS share_{x}" for x in _LANGUAGES)},
+(SELECT count(ease) FROM ease) AS n_scored, (SELECT {_MEAN} FROM ease) AS avg_readability,
+count(*) FILTER (WHERE regexp_matches(text, '[\\x00-\\x1F\\x7F-\\x{{9F}}\\x{{FFFD}}]')) AS encoding_issues,
+(SELECT count(*) > 0 FROM found) AS entity_leakage, (SELECT count(DISTINCT entity_type) FROM found) AS n_entity_types,
+(SELECT count(*) FROM found) AS n_terms FROM documents""")
 def nlp_report(spark, sf):
-    return textscan.nlp_report(letters(spark, sf), gazetteer=place_names(spark, sf))
+    return textscan.nlp_report(table(spark, sf, "documents"), ["text"], place_names(spark, sf))
