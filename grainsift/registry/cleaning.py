@@ -232,7 +232,7 @@ def q_clean_summary(spark, sf):
     return clean_summary(clean(people(spark, sf), CleaningConfig(), "row_id"))
 
 
-@register("change_log", f"""
+@register("change_log", rf"""
 WITH {_CLEAN_CTE}, lost AS (SELECT row_id, income AS old FROM people WHERE income IS NOT NULL AND NOT regexp_matches(income, '^-?\d+$')),
 same AS (SELECT p.row_id, o.row_id AS kept FROM typed p JOIN one o ON p.id IS NOT DISTINCT FROM o.id AND p.row_id <> o.row_id)
 SELECT row_id, 'types' AS stage, 'income' AS column_name, old AS old_value, NULL AS new_value, NULL AS kept_id FROM lost
