@@ -1,8 +1,10 @@
 """Sharding and mixing."""
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from math import comb
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,12 +91,57 @@ def test_mix_is_the_same_again_and_splits_blocks_evenly(spark):
     assert len(hot) == 16 and max(hot.values()) < 4 * min(hot.values())
 
 
+@pytest.mark.parametrize("total, marked, drawn", [(20, 7, 10), (9, 9, 4), (12, 0, 5), (30, 25, 28), (300, 40, 150), (1, 1, 0)])
+def test_hypergeometric_draws_follow_the_law(spark, total, marked, drawn):
+    grid = 20_000
+    n, k, m = (F.lit(v).cast("long") for v in (total, marked, drawn))
+    got = spark.range(grid).select(mixing.hypergeometric(n, k, m, (F.col("id") + 0.5) / grid).alias("x"))
+    counts = {r["x"]: r["count"] for r in got.groupBy("x").count().collect()}
+    for x in range(marked + 1):
+        law = comb(marked, x) * comb(total - marked, drawn - x) / comb(total, drawn) if x <= drawn else 0
+        assert abs(counts.pop(x, 0) / grid - law) < 2 / grid
+    assert not counts
+
+
 def test_split_tree_partitions_places(spark):
-    for total, shards in ((0, 4), (1, 4), (10, 4), (1000, 16), (37, 5)):
-        tree = spark.range(total).select(mixing._shard_of(F.col("id"), total, shards).alias("s"))
-        sizes = Counter(r["s"] for r in tree.collect())
-        assert sum(sizes.values()) == total and all(0 <= s < shards for s in sizes)
-        assert all(abs(sizes[s] - total / shards) < 2 for s in range(shards))
+    for sizes, shards in (([0, 3], 4), ([1], 4), ([], 4), ([600, 300, 7, 93], 16), ([20, 17], 5), ([8], 1)):
+        quotas = spark.createDataFrame(list(enumerate(sizes)), "number int, n long")
+        got = {r["number"]: r["ends"] for r in mixing.split_tree(quotas, 3, shards).collect()}
+        assert set(got) == set(range(len(sizes)))
+        for number, ends in got.items():
+            assert len(ends) == shards and ends == sorted(ends) and ends[-1] == sizes[number]
+        held = np.array([np.diff([0, *ends]) for ends in got.values()]).reshape(len(sizes), shards)
+        assert all(abs(held[:, s].sum() - sum(sizes) / shards) < 2 for s in range(shards))
+
+
+def test_split_tree_follows_the_multivariate_law(spark):
+    """Over many seeds, the first shard of four holds of each source what a random set of places would."""
+    sizes, shards, seeds = [40, 30, 10], 4, 30
+    quotas = spark.createDataFrame(list(enumerate(sizes)), "number int, n long")
+    trees = [mixing.split_tree(quotas, seed, shards) for seed in range(seeds)]
+    rows = [{r["number"]: np.diff([0, *r["ends"]]) for r in tree.collect()} for tree in trees]
+    for number, n in enumerate(sizes):
+        held = np.array([r[number] for r in rows])
+        share, total = n / sum(sizes), sum(sizes)
+        m = total // shards
+        spread = m * share * (1 - share) * (total - m) / (total - 1)
+        assert abs(held.mean(0) - m * share).max() < 4 * (spread / seeds) ** 0.5
+        assert 0.6 * spread < held.var(0).mean() < 1.5 * spread
+
+
+def test_small_sources_are_in_every_shard_and_shards_come_in_parts(spark, monkeypatch):
+    docs = _docs(spark, 3000)
+    got = _plan(docs).collect()
+    shards, drawn = defaultdict(set), Counter()
+    for r in got:
+        shards[r["source"]] |= set(r["shards"])
+        drawn[r["source"]] += len(r["shards"])
+    assert any(n > 150 for n in drawn.values())
+    assert all(len(shards[s]) == 16 for s, n in drawn.items() if n > 150)
+    monkeypatch.setattr(mixing, "PART_BYTES", 2_000)
+    mixed = mixing.mix(docs)
+    assert mixed.rdd.getNumPartitions() > 16
+    assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(r["doc_id"] for r in got for _ in r["shards"])
 
 
 def test_mix_of_odd_rows(spark, edge_docs):
