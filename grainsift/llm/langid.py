@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 from grainsift.llm.common import free_name
 from grainsift.llm.tokens import COPIED_ROWS, LETTERS, HashIndex, Words, sequence_hash, word_slices
@@ -81,9 +82,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model | None:
-    """Model from labelled rows (rows without text or language are left out); None if there are none."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    order = F.xxhash64("text")
+    """Model from labelled rows (rows without text or language are left out); None if there are none.
+
+    The sample follows a hash of whole rows, so that copies of a text under ids of their own come in by their share.
+    """
+    content = [F.col(f.name) for f in labelled.schema.fields if isinstance(f.dataType, AtomicType)]
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
+                           F.xxhash64(*content).alias("_order")).dropna()
+    order = F.col("_order")
     # the bounded sample: a threshold on the hash first, so that only about the sample is ranked
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:

@@ -7,13 +7,17 @@ import random
 import re
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME_WORD = re.compile(r"[a-z]{2,}")
 
 #: elements whose content is no text of the page
 _SKIPPED = frozenset("script style template noscript textarea svg math iframe object canvas audio video select title head".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select".split())
+#: of these, those that HTML reads as text up to the closing tag, whatever stands between
+_RAW_TEXT = frozenset("script style textarea title noscript iframe".split())
+#: those that stand inside a run of text without ending it
+_PHRASING = _RAW - {"title", "noscript", "template"}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
                     "strike strong sub sup time tt u var wbr img br".split())
@@ -21,7 +25,22 @@ _SECTIONS = frozenset("article main nav aside header footer form section".split(
 #: opening one of these ends an open element of the second set
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
          "option": {"option"}}
-_CLOSE = {name: re.compile(rf"</{name}\s*[^>]*>?", re.I) for name in _RAW}
+_CLOSE = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in _RAW}
+
+
+def _after(page: str, tag: str, at: int, around: str | None) -> int:
+    """Where a page goes on after an element whose content is no text. One that is not raw text ends at the
+    latest with the element around it; never closed and inside none, it is its opening tag alone."""
+    close = _CLOSE[tag].search(page, at)
+    if tag in _RAW_TEXT:
+        return close.end() if close else len(page)
+    stop = close.start() if close else len(page)
+    depth = 0
+    for m in re.compile(rf"<(/?){re.escape(around)}\b", re.I).finditer(page, at, stop) if around else ():
+        depth += -1 if m[1] else 1
+        if depth < 0:
+            return m.start()
+    return close.end() if close else at
 
 
 @dataclass
@@ -108,7 +127,16 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             pieces.append(" ")
             continue
-        if not inline:
+        if tag in _RAW and not closing:
+            if tag in _PHRASING:
+                if tag not in ("script", "style"):
+                    pieces.append(" ")
+            else:
+                flush()
+            if not (tag in ("svg", "math") and m[2].endswith("/")):
+                at = _after(page, tag, at, stack[-1][0] if stack else None)
+            continue
+        if not inline and not (closing and tag in _PHRASING):
             flush()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
@@ -118,10 +146,6 @@ def blocks(page: str) -> list[Block]:
                 if inline and stack[i][0] not in _INLINE:
                     break
             continue
-        if tag in _RAW:
-            close = _CLOSE[tag].search(page, at)
-            at = close.end() if close else end
-            continue
         if tag in _VOID or m[2].endswith("/") and tag in _SKIPPED:
             continue
         if tag == "a" and links:

@@ -73,7 +73,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 0
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(docs.filter(~held_out).select("text", "lang"))
+    model = langid.fit(docs.filter(~held_out).select("doc_id", "text", "lang"))
     texts = docs.select("doc_id", held_out.alias("held_out"), "text")
     return langid.predict_language(texts, model).drop("text")
 

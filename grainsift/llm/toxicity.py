@@ -195,23 +195,36 @@ def combine(features: np.ndarray, toxic: np.ndarray, penalty: float = 0.3, round
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "toxic") -> DataFrame:
-    """A bounded sample of labelled texts: (toxic, text). Ids are chosen among the labels first, so that no
-    text is moved but the sample's."""
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(
-        F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
+    """A bounded sample of labelled texts: (toxic, text). Ids are chosen among the labels first, and of more ids than
+    are wanted those with texts of at most TRAIN_CHARS characters go first, so that no text is moved but the sample's.
+
+    Longer texts fill up a label that has too few short ones, each by TRAIN_CHARS characters from a place that
+    its id decides. An id with both labels teaches nothing; equal labels of one id count each time, and so do rows of
+    one id. Rows without id, text or label are left out.
+    """
+    marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
+              .filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
+              .groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"), F.count("*").alias("times"))
+              .filter(F.col("toxic") == F.col("_most")).drop("_most"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    chosen = [marked.filter((F.col("toxic") == label) & (order < int(min(1.0, 1.2 * most / sizes.get(label, 1) + 0.01) * (1 << 30))))
-              .orderBy(order, "id").limit(most) for label, most in EVIDENCE_DOCS.items()]
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    joined = rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("_id") == F.col("id"))
-    return joined.filter(F.length("text") <= TRAIN_CHARS).select("toxic", "text")
+    chosen = [marked.filter((F.col("toxic") == label) & (order < int(min(1.0, 2.4 * most / sizes.get(label, 1) + 0.01) * (1 << 30))))
+              .orderBy(order, "id").limit(2 * most) for label, most in EVIDENCE_DOCS.items()]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    length = rows.select("_id", (F.length("text") > TRAIN_CHARS).cast("int").alias("long"))
+    facts = materialize(length.join(F.broadcast(chosen[0].union(chosen[1])), F.col("_id") == F.col("id"))
+                        .groupBy("id", "toxic", "times").agg(F.max("long").alias("long")))
+    best = [facts.filter(F.col("toxic") == label).orderBy("long", order, "id").limit(most) for label, most in EVIDENCE_DOCS.items()]
+    joined = rows.join(F.broadcast(best[0].union(best[1])), F.col("_id") == F.col("id"))
+    start = F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1
+    part = F.when(F.length("text") > TRAIN_CHARS, F.substring("text", start, F.lit(TRAIN_CHARS))).otherwise(F.col("text"))
+    return joined.select("toxic", part.alias("text"), F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("toxic", "text")
 
 
 def fit(sample: DataFrame, seed: int = SEED) -> Model | None:
     """Model from texts with a label of 0 or 1 (``text``, ``toxic``); None without texts of both labels.
 
-    The evidence counts all given texts; the network sees some of them.
+    The evidence counts all given texts; the network sees some of them, each text once.
     """
     rows = materialize(sample.select(F.col("toxic").cast("int").alias("toxic"), "text").filter(
         F.col("toxic").isin(0, 1) & F.col("text").isNotNull()))
@@ -219,7 +232,7 @@ def fit(sample: DataFrame, seed: int = SEED) -> Model | None:
     if set(sizes) != {0, 1}:
         return None
     order = F.xxhash64("text")
-    near = [rows.filter(F.col("toxic") == label).orderBy(order, "text").limit(TRAIN_DOCS[label]).toPandas() for label in (1, 0)]
+    near = [rows.filter(F.col("toxic") == label).dropDuplicates(["text"]).orderBy(order, "text").limit(TRAIN_DOCS[label]).toPandas() for label in (1, 0)]
     sample = pd.concat(near, ignore_index=True)
 
     rate = sizes[1] / (sizes[0] + sizes[1])

@@ -136,6 +136,30 @@ def test_toxicity_of_odd_rows(spark, edge_docs):
     assert sorted((r["toxic"], r["text"][:4]) for r in sample.collect()) == [(0, "same"), (1, "The "), (1, "The ")]
 
 
+def test_sample_of_labelled_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EVIDENCE_DOCS", {1: 5, 0: 4})
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 40)
+    docs = spark.createDataFrame([(i, f"text {i} " + "x " * (100 if i % 2 else 3)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    def sample(labels):
+        return [(r["toxic"], r["text"]) for r in toxicity.labelled_sample(docs, labels).collect()]
+    got = sample(labels)
+    assert Counter(t for t, _ in got) == {1: 5, 0: 4} and all(len(text) <= 40 for _, text in got)
+    # long texts only where short ones run out, and then a stretch of them
+    longs = sample(labels.filter("doc_id % 2 = 1"))
+    assert Counter(t for t, _ in longs) == {1: 5, 0: 4} and {len(text) for _, text in longs} == {40}
+    odd = sample(spark.createDataFrame([(2, 1), (2, 0), (4, 1), (4, 1), (6, 0), (99, 0), (None, 1), (8, 7)], "doc_id long, toxic int"))
+    assert Counter((t, text.split()[1]) for t, text in odd) == {(1, "4"): 2, (0, "6"): 1}
+
+
+def test_copies_do_not_fill_the_language_sample(spark):
+    rows = [(i, "das ist ein und derselbe Text", "de") for i in range(200)] + [
+        (200 + i, f"ein anderer Satz mit Wort{chr(97 + i % 26)}{chr(97 + i // 26)}", "de") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, train_docs=100)
+    assert len(model.words) >= 9                 # words of both kinds of text, seen more than once
+
+
 def test_windows_cover_every_word():
     first = np.array([0, 0, 3, 51, 150, 1000])
     start, end, row = toxicity.windows(first)
@@ -219,6 +243,23 @@ def test_odd_pages(spark, chain):
     assert [b.text for b in pages.blocks("<p>1 < 2 & 3 > 2</p>")] == ["1 < 2 & 3 > 2"]
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<article><p>Before.</p><p>Let <math/> be given.</p><p>More.</p></article>", ["Before.", "Let be given.", "More."]),
+    ('<p>One</p><svg class="x"/><p>Two</p>', ["One", "Two"]),
+    ('<p>One <svg viewBox="0 0 1 1"><path d="M0"/><text>no</text></svg> end</p><p>Two</p>', ["One end", "Two"]),
+    ("<form><select><option>a<option>b</form><p>After</p>", ["After"]),
+    ("<div><div><svg><g></div><p>In</p></div><p>Out</p>", ["In", "Out"]),
+    ("<div><svg><foreignObject><div>no</div></foreignObject></svg><p>In</p></div>", ["In"]),
+    ("<p>One</p><svg><p>Two</p>", ["One", "Two"]),
+    ("<p title=it's>One</p><p>It's two</p><p>Three</p>", ["One", "It's two", "Three"]),
+    ("<p title = 'a > b' id=\"c > d\">One</p><p data-x='>'>Two</p>", ["One", "Two"]),
+    ("<p>One <script>if (a < b) '</p>'</script>more</p>", ["One more"]),
+    ("<p \"odd' quotes>One</p>", ["One"]),
+])
+def test_markup_that_is_no_text_takes_none_with_it(page, texts):
+    assert [b.text for b in pages.blocks(page)] == texts
+
+
 def test_packing_is_a_round_trip():
     rng = np.random.default_rng(2)
     for values in (np.zeros(0, np.int64), np.arange(300), rng.integers(0, 1 << 40, 1000), rng.normal(size=50)):
