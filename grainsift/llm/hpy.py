@@ -76,6 +76,22 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data).astype(np.uint64), dtype=np.uint64)
 
 
+def pack_repeated(keys: np.ndarray) -> bytes:
+    """Keys of which many stand for themselves again: the distinct ones, often used ones first (in classes that double,
+    sorted within), and everyone's place among them."""
+    own, at, uses = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.lexsort((own, -np.floor(np.log2(uses))))
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own))
+    known = pack_sorted(own[order])         # steps down between classes wrap around
+    return len(known).to_bytes(8, "little") + known + pack(place[at])
+
+
+def unpack_repeated(data: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(data[:8], "little")
+    return unpack_sorted(data[8:end])[unpack(data[end:])]
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
@@ -149,7 +165,7 @@ def _by_bucket(buckets: int, part: str, words: np.ndarray, contexts: np.ndarray,
     for b in range(buckets):
         lo, hi = bounds[b], bounds[b + 1]
         if hi > lo or head is not None and b == carrier:
-            rows.append((b, part, int(counts[lo:hi].sum()), pack_sorted(words[lo:hi]), pack(contexts[lo:hi]),
+            rows.append((b, part, int(counts[lo:hi].sum()), pack_sorted(words[lo:hi]), pack_repeated(contexts[lo:hi]),
                          pack(counts[lo:hi]), None if docs is None else pack(docs[places[lo]:places[hi]]),
                          head if b == carrier else None))
     if rows:
@@ -179,13 +195,13 @@ def _postings(buckets: int):
 
 def _merge(group: pd.DataFrame) -> pd.DataFrame:
     words = np.concatenate([unpack_sorted(k) for k in group["keys"]])
-    contexts = np.concatenate([unpack(c).astype(np.uint64) for c in group["contexts"]])
+    contexts = np.concatenate([unpack_repeated(c) for c in group["contexts"]])
     counts = np.concatenate([unpack(c).astype(np.int64) for c in group["counts"]])
     order, starts = pair_groups(words, contexts)
     counts = np.add.reduceat(counts[order], starts)
     words, contexts = words[order[starts]], contexts[order[starts]]
     return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "salt": group["salt"].iloc[:1], "keys": [pack_sorted(words)],
-                         "contexts": [pack(contexts)], "counts": [pack(counts)], "tokens": int(counts.sum()),
+                         "contexts": [pack_repeated(contexts)], "counts": [pack(counts)], "tokens": int(counts.sum()),
                          "words": len(np.unique(words[counts > 0])), "ones": int((counts == 1).sum()),
                          "twos": int((counts == 2).sum()), "pairs": len(counts)})
 
@@ -281,7 +297,7 @@ def _by_block(kind: int, bucket: int, sweep: int, blocks: int, contexts: np.ndar
 
 
 def _pairs_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpack_sorted(row.keys), unpack(row.contexts).astype(np.uint64), unpack(row.counts).astype(np.int64)
+    return unpack_sorted(row.keys), unpack_repeated(row.contexts), unpack(row.counts).astype(np.int64)
 
 
 def _start(blocks: int):
@@ -295,7 +311,7 @@ def _start(blocks: int):
                 n = np.bincount(word[counts > 0], minlength=len(own))
                 at = np.flatnonzero(counts > 1)
                 asked = np.unique(contexts[at])
-                yield _frame([_row(_MOVING, row.bucket, None, 0, pack(word[at]), pack(contexts[at]), pack(counts[at]), pack(n),
+                yield _frame([_row(_MOVING, row.bucket, None, 0, pack(word[at]), pack_repeated(contexts[at]), pack(counts[at]), pack(n),
                                    sums=(int(n.sum()), int((n > 0).sum()), int((n == 1).sum()), int((n == 2).sum())))]
                              + _by_block(_EXTRA, row.bucket, 0, blocks, asked, np.zeros(len(asked), np.int64)))
     return run
@@ -355,7 +371,7 @@ def _sweep(blocks: int, totals: Totals, sweep: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         moving = next(group[group["kind"] == _MOVING].itertuples())
         word, counts, n = (unpack(v).astype(np.int64) for v in (moving.x, moving.z, moving.w))
-        contexts, context = np.unique(unpack(moving.y).astype(np.uint64), return_inverse=True)
+        contexts, context = np.unique(unpack_repeated(moving.y), return_inverse=True)
         states = group[group["kind"] == _STATE]
         if len(states):
             t, tt = (unpack(states[c].iloc[0]).astype(np.int64) for c in ("x", "y"))
@@ -395,7 +411,7 @@ def _scores(samples: list[Totals]):
             return pd.DataFrame([(r.part, r.head, *empty) for r in parts.itertuples()],
                                 columns=["part", "head", "docs", "known", "base", "score"])
         words, word = np.unique(unpack_sorted(pairs["x"].iloc[0]), return_inverse=True)
-        contexts, context = np.unique(unpack(pairs["y"].iloc[0]).astype(np.uint64), return_inverse=True)
+        contexts, context = np.unique(unpack_repeated(pairs["y"].iloc[0]), return_inverse=True)
         counts = unpack(pairs["z"].iloc[0]).astype(np.int64)
         customers = np.concatenate(_in_order(facts, "x"))
         tables = np.concatenate([v.reshape(SAMPLES, -1) for v in _in_order(facts, "y")], axis=1)
@@ -416,7 +432,7 @@ def _scores(samples: list[Totals]):
             n, docs = unpack(row.counts).astype(np.int64), unpack(row.docs)
             at_word = np.searchsorted(words, unpack_sorted(row.keys))
             at_pair = np.searchsorted(places, at_word * len(contexts) + np.searchsorted(
-                contexts, unpack(row.contexts).astype(np.uint64)))
+                contexts, unpack_repeated(row.contexts)))
             seen = word_counts[at_word]
             base = np.log10((seen + 1) / (first.tokens + first.words + 1))
             at, local = np.unique(docs, return_inverse=True)
