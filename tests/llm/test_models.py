@@ -260,6 +260,12 @@ def test_markup_that_is_no_text_takes_none_with_it(page, texts):
     assert [b.text for b in pages.blocks(page)] == texts
 
 
+@pytest.mark.parametrize("keys", [[], [5], [5, 5, 5], [2**48 - 1, 0, 7, 0, 7, 0, 2**40, 2**64 - 1]])
+def test_repeated_keys_are_a_round_trip(keys):
+    keys = np.array(keys, np.uint64)
+    assert np.array_equal(hpy.unpack_repeated(hpy.pack_repeated(keys)), keys)
+
+
 def test_packing_is_a_round_trip():
     rng = np.random.default_rng(2)
     for values in (np.zeros(0, np.int64), np.arange(300), rng.integers(0, 1 << 40, 1000), rng.normal(size=50)):
