@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from grainsift.operators.impute import fill_directional
+from grainsift.operators.materialize import materialize
 from grainsift.operators.ordering import with_position
 from grainsift.operators.quantiles import exact_quantiles
 from grainsift.operators.duplicates import neighbour_pairs
@@ -85,3 +86,17 @@ def test_null_order_keys_spread_over_buckets(spark):
     assert [r["position"] for r in places] == list(range(4000))
     assert [(r["b"] is not None, r["b"] or 0, r["c"] or "") for r in places] == sorted(
         (b is not None, b or 0, c or "") for _, b, c in rows)
+
+
+@pytest.mark.parametrize("before", [None, "false"])
+def test_a_written_table_outlives_its_shuffle_and_keeps_settings(spark, before):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if before is not None:
+        spark.conf.set(key, before)
+    try:
+        counts = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+        first, second = materialize(counts), materialize(counts)    # the same plan again
+        assert spark.conf.get(key, None) == before
+        assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect())) == sorted(map(tuple, counts.collect()))
+    finally:
+        spark.conf.unset(key)
