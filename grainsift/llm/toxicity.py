@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from grainsift.llm import gru
 from grainsift.llm.common import free_name
 from grainsift.llm.langid import gram_hashes
-from grainsift.llm.tokens import COPIED_ROWS, LETTERS, HashIndex, Words, joined, word_slices
+from grainsift.llm.tokens import COPIED_ROWS, LETTERS, HashIndex, Words, word_slices
 from grainsift.operators.materialize import materialize
 
 WINDOW, STRIDE = 48, 24
@@ -39,6 +39,8 @@ TOP = 4
 FLOOR = -8.0
 HELD_SHARE = 0.25
 BATCH = 256
+#: distinct words whose n-grams are looked up at once
+KNOWN_WORDS = 30_000
 RATE = 0.01
 SEED = 3
 
@@ -92,18 +94,42 @@ class Lookup:
         """Per distinct word: row in words; per known n-gram: row in grams and its word; per word the scale of
         its n-grams; and per occurrence its distinct word."""
         keys, first, which = np.unique(part.hash, return_index=True, return_inverse=True)
-        word = self.words.find(keys)
-        grams, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        return *self.known(keys, lambda i: part.text(first[i])), which
+
+    def known(self, keys: np.ndarray, text: Callable[[int], str]) -> tuple[np.ndarray, ...]:
+        """``rows`` of distinct words by their hashes, less the occurrences; ``text`` gives the word at a place in them."""
+        word = self.words.find(keys).astype(np.int32)
+        grams, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         counts = np.ones(len(keys))
-        for lo in range(0, len(keys), 30_000):
-            texts = [part.text(i) for i in first[lo:lo + 30_000]]
+        for lo in range(0, len(keys), KNOWN_WORDS):
+            texts = [text(i) for i in range(lo, min(lo + KNOWN_WORDS, len(keys)))]
             for order in ORDERS:
                 hashes, owner = gram_hashes(texts, order)
-                counts[lo:lo + 30_000] += np.bincount(owner, minlength=len(texts))
+                counts[lo:lo + KNOWN_WORDS] += np.bincount(owner, minlength=len(texts))
                 at = self.grams.find(hashes)
-                grams.append(at[at >= 0])
-                owners.append(owner[at >= 0] + lo)
-        return word, np.concatenate(grams), np.concatenate(owners), (1 / np.sqrt(counts)).astype(np.float32), which
+                grams.append(at[at >= 0].astype(np.int32))
+                owners.append((owner[at >= 0] + lo).astype(np.int32))
+        return word, np.concatenate(grams), np.concatenate(owners), (1 / np.sqrt(counts)).astype(np.float32)
+
+    def table(self, texts: pd.Series) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """``rows`` of all texts together, and the place of each text's first word (one entry more than texts).
+
+        Slice by slice, as this runs on the driver: beside a slice only distinct words and a number per occurrence
+        are held.
+        """
+        seen, new, spelled, parts, first = np.zeros(0, np.uint64), [], [], [], [np.zeros(1, np.int64)]
+        for at in range(0, len(texts), COPIED_ROWS):
+            for part in word_slices(pa.array(texts.iloc[at:at + COPIED_ROWS], pa.string(), from_pandas=True), LETTERS):
+                keys, place, which = np.unique(part.hash, return_index=True, return_inverse=True)
+                fresh = ~np.isin(keys, seen, assume_unique=True)
+                seen = np.union1d(seen, keys[fresh])
+                new.append(keys[fresh])
+                spelled += [part.text(i) for i in place[fresh]]
+                parts.append((keys, which.astype(np.int32)))
+                first.append(part.first[1:] + first[-1][-1])
+        order = np.argsort(np.concatenate([seen[:0], *new]))
+        which = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(seen, keys).astype(np.int32)[at] for keys, at in parts)])
+        return (*self.known(seen, lambda i: spelled[order[i]]), which), np.concatenate(first)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,8 +258,12 @@ def fit(sample: DataFrame, seed: int = SEED) -> Model | None:
     if set(sizes) != {0, 1}:
         return None
     order = F.xxhash64("text")
-    near = [rows.filter(F.col("toxic") == label).dropDuplicates(["text"]).orderBy(order, "text").limit(TRAIN_DOCS[label]).toPandas() for label in (1, 0)]
-    sample = pd.concat(near, ignore_index=True)
+    def near(label: int) -> pd.DataFrame:
+        # the last hash first, so that only texts that are wanted come to the driver
+        own = rows.filter(F.col("toxic") == label)
+        last = own.select(order.alias("order")).distinct().orderBy("order").limit(TRAIN_DOCS[label]).agg(F.max("order")).first()[0]
+        return own.filter(order <= last).dropDuplicates(["text"]).orderBy(order, "text").limit(TRAIN_DOCS[label]).toPandas()
+    sample = pd.concat([near(1), near(0)], ignore_index=True)
 
     rate = sizes[1] / (sizes[0] + sizes[1])
     expected = F.col("n") * rate
@@ -253,26 +283,28 @@ def fit(sample: DataFrame, seed: int = SEED) -> Model | None:
 
     rng = np.random.Generator(np.random.PCG64(seed))
     weights = gru.initial(word_level, gram_level, seed)
-    texts = pa.array(sample["text"], pa.string())
-    part = joined(list(word_slices(texts, LETTERS)))
     toxic = sample["toxic"].to_numpy()
-    lookup = Lookup(words, grams)
-    table = lookup.rows(part)
+    table, first = Lookup(words, grams).table(sample["text"])
+    del sample
     word, gram, owner, scale, which = table
     word[word < 0] = len(words)
-    start, end, row = windows(part.first)
-    held = rng.random(part.rows) < HELD_SHARE           # texts that only fit the last step
+    start, end, row = windows(first)
+    texts = len(first) - 1
+    held = rng.random(texts) < HELD_SHARE               # texts that only fit the last step
     if not (held & (toxic == 1)).any() or not (held & (toxic == 0)).any():
         held[:] = False
 
     level = np.maximum(np.append(word_level, 0)[word], 0)
     np.maximum.at(level, owner, gram_level[gram])
-    marks = np.concatenate([[0], np.cumsum(level[which] ** 2)])
+    level **= 2
+    marks = np.zeros(len(which) + 1)
+    np.cumsum(level[which], out=marks[1:])
     picked = marks[end] - marks[start]
+    del marks
     fitting = ~held[row]
     for epochs in EPOCHS:
-        top = _top_windows(picked, row, part.rows)
-        chance = rng.random(len(row)) < 1.5 * part.rows / max(len(row), 1)
+        top = _top_windows(picked, row, texts)
+        chance = rng.random(len(row)) < 1.5 * texts / max(len(row), 1)
         use = np.zeros(len(row), bool)
         use[top] = True
         use |= chance & (toxic[row] == 0)
@@ -281,8 +313,8 @@ def fit(sample: DataFrame, seed: int = SEED) -> Model | None:
         _train(weights, table, start[at], end[at], toxic[row[at]].astype(np.float32), epochs, rng)
         vectors = gru.word_vectors(weights, word, gram, owner, scale)
         picked = window_logits(weights, vectors, which, start, end)
-    measured = held if held.any() else np.ones(part.rows, bool)
-    facts = text_features(picked, row, part.rows)
+    measured = held if held.any() else np.ones(texts, bool)
+    facts = text_features(picked, row, texts)
     return Model(words, grams, weights, combine(facts[measured], toxic[measured]))
 
 

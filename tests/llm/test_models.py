@@ -3,15 +3,19 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from grainsift.llm import extraction, gru, hpy, langid, pages, toxicity
 from grainsift.llm.queries import QUERIES
+from grainsift.llm.tokens import LETTERS, joined, word_slices
 
 SF = "/root/testdata/sf0.01"
 
@@ -152,6 +156,31 @@ def test_sample_of_labelled_texts(spark, monkeypatch):
     assert Counter((t, text.split()[1]) for t, text in odd) == {(1, "4"): 2, (0, "6"): 1}
 
 
+def test_table_of_texts_is_that_of_their_words_together(monkeypatch):
+    monkeypatch.setattr(toxicity, "COPIED_ROWS", 7)
+    texts = pd.Series([text for _, text, _ in _toxic_texts(40, 4)] + ["", "one", "ÄÖ ü İK ß x", " \t "])
+    part = joined(list(word_slices(pa.array(texts, pa.string()), LETTERS)))
+    words, grams = np.unique(part.hash)[::3], np.unique(toxicity.gram_hashes([part.text(i) for i in range(50)], 4)[0])
+    for column, whole in ((texts, part), (texts[-1:], next(word_slices(pa.array(["-"]), LETTERS)))):
+        rows, first = toxicity.Lookup(words, grams).table(column)
+        assert first.tolist() == whole.first.tolist()
+        for got, want in zip(rows, toxicity.Lookup(words, grams).rows(whole), strict=True):
+            assert got.tolist() == want.tolist()
+
+
+def test_fitting_holds_little_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", (1, 1))
+    rows = spark.createDataFrame([(" ".join([text] * 8), toxic) for _, text, toxic in _toxic_texts(400, 5)], "text string, toxic int")
+    size = rows.agg(F.sum(F.length("text"))).first()[0]
+    list(word_slices(pa.array(["a table made once"])))
+    tracemalloc.start()
+    try:
+        toxicity.fit(rows)
+        assert tracemalloc.get_traced_memory()[1] < 9 * size
+    finally:
+        tracemalloc.stop()
+
+
 def test_copies_do_not_fill_the_language_sample(spark):
     rows = [(i, "das ist ein und derselbe Text", "de") for i in range(200)] + [
         (200 + i, f"ein anderer Satz mit Wort{chr(97 + i % 26)}{chr(97 + i // 26)}", "de") for i in range(200)]
