@@ -334,14 +334,14 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A function from a text column to its scores."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         lookup = Lookup(model.words, model.grams)
         for batch in batches:
-            scores = [_score(model, lookup, part) for at in range(0, len(batch), COPIED_ROWS) for part in word_slices(
-                pa.array(batch.iloc[at:at + COPIED_ROWS], pa.string(), from_pandas=True), LETTERS)]
-            yield pd.Series(np.concatenate(scores) if scores else np.zeros(0))
+            scores = [_score(model, lookup, part) for at in range(0, len(batch), COPIED_ROWS)
+                      for part in word_slices(batch.slice(at, COPIED_ROWS), LETTERS)]
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
     return judge
 
