@@ -49,6 +49,34 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, threshold, block_
     assert {(r["id_a"], r["id_b"]) for r in got if r["id_a"] != r["id_b"]} == expected
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9, 1.0])
+def test_similar_sets_in_small_blocks_and_cells(spark, monkeypatch, threshold):
+    monkeypatch.setattr(nearpairs, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(nearpairs, "CELL_PAIRS", 4)
+    monkeypatch.setattr(nearpairs, "BROADCAST_PAIRS", 5)
+    rows = _texts(seed=12) + [(500, None), (501, " ")]
+    found = nearpairs.token_sets(spark.createDataFrame(rows, "id long, text string"), "id")
+    got = {(r["id_a"], r["id_b"]): r["jaccard"] for r in nearpairs.similar_sets(found, threshold).collect()}
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(frozenset((t or "").split()), i)
+    scores = {tuple(sorted((first[a], first[b]))): _jaccard(a, b) for a, b in itertools.combinations(first, 2)}
+    assert got == pytest.approx({p: s for p, s in scores.items() if s >= threshold - 1e-9})
+
+
+def test_sets_with_the_same_id_are_compared_each(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d e"), (2, "a b c d f"), (None, "a b c d g")], "id long, text string")
+    got = sorted(tuple(r) for r in nearpairs.near_duplicates(df, "id", 0.6).select("id_a", "id_b", F.round("jaccard", 4)).collect())
+    assert got == [(1, 2, 0.6667), (1, 2, 0.8)]
+
+
+def test_few_candidates_where_common_tokens_are_in_every_prefix(spark):
+    rows = [(i, f"number{i} " + " ".join(f"common{k}" for k in range(11))) for i in range(300)]
+    rows += [(1000 + i, f"number{i} mail{i} " + " ".join(f"common{k}" for k in range(11))) for i in range(0, 300, 100)]
+    found = nearpairs.token_sets(spark.createDataFrame(rows, "id long, text string"), "id")
+    assert nearpairs.candidate_pairs(found.sets, 0.9).count() <= 20
+
+
 def test_members_lists_every_row_once(spark):
     rows = _texts()
     found = nearpairs.token_sets(spark.createDataFrame(rows, "id long, text string"), "id")
