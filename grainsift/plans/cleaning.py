@@ -12,10 +12,9 @@ from grainsift.config import CleaningConfig
 from grainsift.functions.columns import cell_text, numeric_columns, object_columns
 from grainsift.operators.aggkit import settle, tidy_schema_rows
 from grainsift.operators.duplicates import duplicate_groups, exact_dedup
-from grainsift.operators.graph import greedy_drop
 from grainsift.operators.impute import impute
 from grainsift.operators.materialize import materialize
-from grainsift.operators.nearpairs import similar_sets, token_sets
+from grainsift.operators.nearpairs import kept_partners, token_sets
 from grainsift.operators.outliers import cap_outliers
 from grainsift.operators.typeinfer import convert_types, infer_types
 
@@ -46,12 +45,7 @@ def near_removals(df: DataFrame, row_id: str, threshold: float = 0.90,
     if not columns:
         return tidy_schema_rows(df, [], f"{row_id} {id_type}, kept_id {id_type}, similarity double")
     found = token_sets(df, row_id, columns, lower=True)
-    pairs = materialize(similar_sets(found, threshold))
-    lost = materialize(greedy_drop(pairs)).select("id")
-    # of the pairs of a dropped set with kept earlier ones the first
-    removers = (pairs.join(lost.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
-                .join(lost.withColumnRenamed("id", "id_a"), "id_a", "left_anti")
-                .groupBy(F.col("id_b").alias("rep")).agg(F.min(F.struct("id_a", "jaccard")).alias("by")))
+    removers = materialize(kept_partners(found, threshold))
     members = found.members.join(removers, "rep", "left").select(
         F.col("row_id").alias(row_id), F.coalesce("by.id_a", "rep").alias("kept_id"),
         F.coalesce("by.jaccard", F.lit(1.0)).alias("similarity"))

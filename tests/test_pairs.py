@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from grainsift.operators import graph, nearpairs, stringpairs
 from grainsift.operators.graph import components, greedy_drop
 from grainsift.operators.stringpairs import indel_pairs, levenshtein_pairs
-from grainsift.plans.cleaning import deduplicate, fuzzy_dedup
+from grainsift.plans.cleaning import deduplicate, fuzzy_dedup, near_removals
 
 
 def _texts(seed=4, n=160):
@@ -111,6 +111,32 @@ def test_fuzzy_dedup_is_greedy_in_row_order(spark, threshold):
     assert again.count() == len(got)
 
 
+def test_greedy_choice_in_batches(spark, monkeypatch):
+    """Small batches, one of them taken again in smaller ones, and a family whose pairs are not all looked at."""
+    monkeypatch.setattr(nearpairs, "SEED_SETS", 15)
+    monkeypatch.setattr(nearpairs, "BATCH_GROWTH", 4)
+    monkeypatch.setattr(nearpairs, "BATCH_MEETINGS", 0)
+    monkeypatch.setattr(nearpairs, "BATCH_PAIRS", 60)
+    looked_at = []
+
+    def counted(pairs):
+        looked_at.append(pairs.count())
+        return greedy_drop(pairs)
+    monkeypatch.setattr(nearpairs, "greedy_drop", counted)
+    rows = [(i, "one two three four five six seven eight nine " + f"x{i}") for i in range(0, 300, 2)] + [
+        (i, t + " more") for i, t in _texts(seed=3, n=300) if i % 2]
+    got = {r["id"]: r["kept_id"] for r in near_removals(spark.createDataFrame(rows, "id long, text string"), "id", 0.8).collect()}
+    kept, expected = [], {}
+    for i, t in sorted(rows):
+        by = next((k for k, u in kept if _jaccard(set(t.split()), u) >= 0.8 - 1e-9), None)
+        if by is None:
+            kept.append((i, set(t.split())))
+        else:
+            expected[i] = by
+    assert got == expected
+    assert len(looked_at) > 1 and sum(looked_at) < 150 * 149 / 2 / 4
+
+
 def test_components_of_chain_star_and_ring(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 130)]
