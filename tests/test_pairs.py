@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from grainsift.functions import similarity
 from grainsift.operators import graph, nearpairs, stringpairs
 from grainsift.operators.graph import components, greedy_drop
 from grainsift.operators.stringpairs import indel_pairs, levenshtein_pairs
@@ -221,6 +223,17 @@ def test_levenshtein_pairs_equal_brute_force(spark, spellings):
                    if 1 - _edit(a, b) / max(len(a), len(b)) >= 0.85}
 
 
+def test_common_subsequences_of_many_pairs_at_once():
+    rng = random.Random(5)
+    texts = ["", "a", "\0", "a\0", "\U0001f600a\u00e9", "x" * 64, "x" * 65, "ab" * 32, "ba" * 40, None] + [
+        "".join(rng.choice("ab\u00e9\U0001f600\0") for _ in range(rng.choice([3, 20, 63, 64, 70]))) for _ in range(40)]
+    a, b = (pd.Series(list(x), dtype=object) for x in zip(*itertools.product(texts, texts)))
+    got = similarity.common_subsequence.func(a, b)
+    assert [None if pd.isna(n) else n for n in got] == [None if x is None or y is None else _common(x, y) for x, y in zip(a, b)]
+    short = [x for x in texts if x and len(x) <= 64] * 40
+    assert len(similarity._common_lengths(short, short[::-1])) == len(short)
+
+
 def test_indel_pairs_equal_brute_force(spark, spellings):
     df = spark.createDataFrame([("c", s) for s in spellings], "column_name string, value string")
     got = {(r["value_a"], r["value_b"]): r["score"] for r in indel_pairs(df).collect()}
